@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions import columns as C
 from wattline.functions.fixed_values import PRIMARY_USES, ROLL_ROWS
-from wattline.operators.ordering import MAX_GROUP_ROWS, POS, over_series, positions
+from wattline.operators.ordering import CHECK, MAX_GROUP_ROWS, POS, over_series, positions
 
 MAX_CODES = 1000
 
@@ -20,6 +20,7 @@ def meter_features(
     order: Sequence[str] = ("timestamp",),
     value: str = "meter_reading",
     max_rows: int = MAX_GROUP_ROWS,
+    hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
     """Seven lag and rolling features of ``value``; lags count rows of the node, not hours.
 
@@ -47,7 +48,7 @@ def meter_features(
             ),
         )
 
-    return over_series(df, [node], order, ROLL_ROWS, build, max_rows).drop(POS)
+    return over_series(df, [node], order, ROLL_ROWS, build, max_rows, hot=hot).drop(POS)
 
 
 def one_hot_fixed(df: DataFrame, col: str, values: Sequence[str] = tuple(PRIMARY_USES)) -> DataFrame:

@@ -157,69 +157,115 @@ def class_report(
     return totals.select(F.inline(F.concat("classes", summary)))
 
 
-def sweep_counts(df: DataFrame, prob: str = "prob", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """Per threshold: rows and positives at or above it.  Each score is put in one of 50 buckets once;
-    the sums run over buckets only."""
-    buckets = df.groupBy(*by, C.sweep_bucket(prob).alias("i")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
-    )
+def sweep_counts(buckets: DataFrame, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """From rows and positives per bucket ``i`` (0…49) to those at or above each threshold 1…49.
+
+    The sums run over at most 50 lines per group.  Totals of the ``extra`` columns go along.
+    """
     filled = buckets.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("i", F.struct("n", "pos")))).alias("_at"),
+        F.sum("n").alias("total"),
         F.sum("pos").alias("positives"),
+        *[F.sum(e).alias(e) for e in extra],
     )
-    every = filled.select(*by, "positives", "_at", F.explode(F.sequence(F.lit(0), F.lit(SWEEP_COUNT))).alias("i"))
+    every = filled.select("*", F.explode(F.sequence(F.lit(0), F.lit(SWEEP_COUNT))).alias("i"))
     got = F.element_at("_at", F.col("i"))
     from_top = Window.partitionBy(*by).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     return every.select(
-        *by, "i", "positives",
+        *by, "i", "total", "positives", *extra,
         F.sum(F.coalesce(got["n"], F.lit(0))).over(from_top).alias("called"),
         F.sum(F.coalesce(got["pos"], F.lit(0))).over(from_top).alias("tp"),
-    ).where("i > 0")
-
-
-def threshold_curve(df: DataFrame, prob: str = "prob", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """F1 at each of the 49 thresholds."""
-    counts = sweep_counts(df, prob, label, by)
-    return counts.select(
-        *by, C.sweep_threshold(F.col("i")).alias("threshold"),
-        f1_of(F.col("tp"), F.col("called") - F.col("tp"), F.col("positives") - F.col("tp")).alias("f1"),
+    ).where("i > 0").withColumn("threshold", C.sweep_threshold(F.col("i"))).withColumn(
+        "f1", f1_of(F.col("tp"), F.col("called") - F.col("tp"), F.col("positives") - F.col("tp"))
     )
 
 
-def threshold_sweep(df: DataFrame, prob: str = "prob", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """Best F1 and its threshold, the lowest one on ties; (0, 0.5) if no threshold scores above 0."""
-    curve = threshold_curve(df, prob, label, by)
-    best = curve.groupBy(*by).agg(F.min(F.struct((-F.col("f1")).alias("loss"), "threshold")).alias("b"))
+def best_threshold(counts: DataFrame, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    best = counts.groupBy(*by).agg(
+        F.min(F.struct((-F.col("f1")).alias("loss"), "threshold")).alias("b"),
+        *[F.max(e).alias(e) for e in extra],
+    )
     some = F.col("b.loss") < 0
     return best.select(
         *by,
         F.when(some, -F.col("b.loss")).otherwise(0.0).alias("best_f1"),
         F.when(some, F.col("b.threshold")).otherwise(F.lit(DEFAULT_THRESHOLD)).alias("best_threshold"),
+        *extra,
     )
 
 
-def score_areas(df: DataFrame, prob: str = "prob", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """Average precision (steps over distinct scores) and ROC area (ties count half), exactly.
+def _buckets(df: DataFrame, prob: str, label: str, by: Sequence[str]) -> DataFrame:
+    """Each score is put in its bucket once, whatever the number of thresholds."""
+    return df.groupBy(*by, C.sweep_bucket(prob).alias("i")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
+    )
+
+
+def threshold_curve(df: DataFrame, prob: str = "prob", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """F1 at each of the 49 thresholds."""
+    return sweep_counts(_buckets(df, prob, label, by), by).select(*by, "threshold", "f1")
+
+
+def threshold_sweep(df: DataFrame, prob: str = "prob", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """Best F1 and its threshold, the lowest one on ties; (0, 0.5) if no threshold scores above 0."""
+    return best_threshold(sweep_counts(_buckets(df, prob, label, by), by), by)
+
 
-    Rows collapse to one per distinct score before any ordering; the running counts over scores are
-    exact totals over range slices, so neither a popular score nor a large group ends up in one task.
+def _curve(df: DataFrame, prob: str, label: str, by: Sequence[str], sums: Sequence[Column] = ()) -> DataFrame:
+    """One line per distinct score with rows and positives at it and ahead of it, and its share of both areas.
+
+    Rows collapse to distinct scores before any ordering; the running counts are exact totals over range
+    slices, so neither a popular score nor a large group ends up in one task.
     """
-    by = list(by)
     distinct = df.groupBy(*by, prob).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"), *sums
     )
-    curve = running_totals(distinct, by, [F.desc(prob)], ["n", "pos"])
+    lines = running_totals(distinct, by, [F.desc(prob)], ["n", "pos"])
     n, pos, ahead_n, ahead_pos = (F.col(c) for c in ("n", "pos", "ahead_n", "ahead_pos"))
-    sums = curve.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.sum("pos").alias("n_pos"),
-        F.sum(pos * ((ahead_pos + pos) / (ahead_n + n))).alias("_ap"),
-        F.sum((n - pos) * (ahead_pos + pos / F.lit(2.0))).alias("_auc"),
-    )
-    return sums.select(
-        *by, "n", "n_pos",
-        F.coalesce(F.try_divide(F.col("_ap"), F.col("n_pos")), F.lit(0.0)).alias("pr_auc"),
-        F.try_divide(F.col("_auc"), (F.col("n_pos") * (F.col("n") - F.col("n_pos"))).cast("double")).alias("roc_auc"),
+    return lines.withColumn("_ap", pos * ((ahead_pos + pos) / (ahead_n + n))).withColumn(
+        "_auc", (n - pos) * (ahead_pos + pos / F.lit(2.0))
+    )
+
+
+def _areas(n: Column, n_pos: Column) -> list[Column]:
+    return [
+        F.coalesce(F.try_divide(F.col("_ap"), n_pos), F.lit(0.0)).alias("pr_auc"),
+        F.try_divide(F.col("_auc"), (n_pos * (n - n_pos)).cast("double")).alias("roc_auc"),
+    ]
+
+
+def score_areas(df: DataFrame, prob: str = "prob", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """Average precision (steps over distinct scores) and ROC area (ties count half), exactly."""
+    sums = _curve(df, prob, label, by).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("_ap").alias("_ap"), F.sum("_auc").alias("_auc")
+    )
+    return sums.select(*by, "n", "n_pos", *_areas(F.col("n"), F.col("n_pos")))
+
+
+def evaluate_scores(
+    df: DataFrame, logit: str = "logit", prob: str = "prob", label: str = "y", by: Sequence[str] = (),
+    cap: float | None = None,
+) -> DataFrame:
+    """Loss, best F1 and threshold, both areas and counts per group, from one pass over the scores.
+
+    Everything after the distinct scores is sums over buckets of them.
+    """
+    by = list(by)
+    positive, row = F.col(label) == 1, C.bce_row(logit, label)
+    lines = _curve(df, prob, label, by, [
+        F.sum(F.when(positive, row).otherwise(0.0)).alias("_loss1"),
+        F.sum(F.when(~positive, row).otherwise(0.0)).alias("_loss0"),
+    ])
+    extra = ["_ap", "_auc", "_loss1", "_loss0"]
+    buckets = lines.groupBy(*by, C.sweep_bucket(prob).alias("i")).agg(*[F.sum(c).alias(c) for c in ("n", "pos", *extra)])
+    out = best_threshold(sweep_counts(buckets, by, extra), by, ["total", "positives", *extra])
+    n, n_pos = F.col("total"), F.col("positives")
+    ratio = F.try_divide((n - n_pos).cast("double"), n_pos)
+    weight = F.coalesce(F.least(ratio, F.lit(float(cap))) if cap else ratio, F.lit(1.0))
+    return out.select(
+        *by, n.alias("n"), weight.alias("pos_weight"),
+        ((F.col("_loss1") * weight + F.col("_loss0")) / n).alias("loss"),
+        "best_f1", "best_threshold", *_areas(n, n_pos),
     )
 
 

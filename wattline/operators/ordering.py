@@ -18,6 +18,7 @@ POS = "_pos"
 SLICE = "_slice"
 MAX_GROUP_ROWS = 2_000_000
 MAX_BROADCAST_ROWS = 100_000
+CHECK = "check"
 
 AHEAD = (Window.unboundedPreceding, -1)
 
@@ -72,20 +73,21 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -
 # ---------------------------------------------------------------- per-group series with bounded history
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A small result as a broadcast table, if it was seen to have at most MAX_BROADCAST_ROWS rows; else ``df``."""
+    found = df.take(MAX_BROADCAST_ROWS + 1)
+    if len(found) > MAX_BROADCAST_ROWS:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
 def hot_groups(df: DataFrame, by: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame | None:
     """Keys of groups above ``max_rows`` rows, or None.  There are at most rows/max_rows of them.
 
-    One scan of the key columns with map-side counts decides; the key list is broadcast only when it
-    was seen to have at most MAX_BROADCAST_ROWS rows.
+    One scan of the key columns with map-side counts decides.
     """
-    by = list(by)
     large = df.groupBy(*by).count().where(F.col("count") > max_rows).select(*by)
-    found = large.take(MAX_BROADCAST_ROWS + 1)
-    if not found:
-        return None
-    if len(found) > MAX_BROADCAST_ROWS:
-        return large
-    return F.broadcast(df.sparkSession.createDataFrame(found, large.schema))
+    return None if large.isEmpty() else bounded(large)
 
 
 def over_series(
@@ -96,6 +98,7 @@ def over_series(
     build: Callable[[DataFrame, list[str]], DataFrame],
     max_rows: int = MAX_GROUP_ROWS,
     unit: int = 1,
+    hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
     """Run ``build`` on each ordered series of ``df``; every result row may look back ``history`` rows.
 
@@ -104,16 +107,20 @@ def over_series(
     Series of up to ``max_rows`` rows take one exchange by key.  Longer ones are cut by position in
     slices of at most ``max_rows`` rows (a multiple of ``unit``); a slice also gets the ``history`` rows
     before it, whose own results belong to the slice before.
+
+    ``hot`` may name the long series (by some or all columns of ``by``), as found by :func:`hot_groups` on a
+    table that holds at least these rows; otherwise the rows are counted here.
     """
     by = list(by)
-    hot = hot_groups(df, by, max_rows)
-    cold = df if hot is None else df.join(hot, by, "left_anti")
+    if isinstance(hot, str):
+        hot = hot_groups(df, by, max_rows)
+    cold = df if hot is None else df.join(hot, hot.columns, "left_anti")
     first = Window.partitionBy(*by).orderBy(*_asc(order))
     plain = build(cold.withColumn(POS, (F.row_number().over(first) - 1).cast("bigint")), by)
     if hot is None:
         return plain
     size = max(unit, max_rows // unit * unit)
-    placed = positions(df.join(hot, by, "left_semi"), by, order)
+    placed = positions(df.join(hot, hot.columns, "left_semi"), by, order)
     own = F.expr(f"{POS} div {size}")
     spread = placed.withColumn(SLICE, F.explode(F.sequence(own, F.expr(f"({POS} + {history}) div {size}"))))
     sliced = build(spread, [*by, SLICE]).where(own == F.col(SLICE)).drop(SLICE)
@@ -188,39 +195,42 @@ def mark_lowest(
     return marked.withColumn(flag, F.coalesce(F.col(TOKEN) <= value, F.lit(False))).select(*df.columns, flag)
 
 
-def cut_points(parts: int) -> Column:
-    """Ranks of the last row of all parts but the last: near-equal runs, the first ``n mod parts`` one larger."""
-    size = F.col("_size")
-    each = F.expr(f"_size div {parts}")
-    extra = size % parts
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(parts - 1)), lambda j: (j * each + F.least(j, extra)).cast("bigint")
-    )
+def run_ends(rows: int, parts: int) -> list[int]:
+    """Rank of the last row of each part but the last: near-equal runs, the first ``rows mod parts`` one longer."""
+    each, extra = divmod(rows, parts)
+    return [j * each + min(j, extra) for j in range(1, parts)]
 
 
 def hash_parts(df: DataFrame, keys: DataFrame, token: Column, parts: int, part: str) -> DataFrame:
     """Add the 0-based part of ``token``: the distinct ``keys`` in token order, cut in ``parts`` runs.
 
-    Needs one narrow pass to count ``keys`` and one over the few prefixes that hold a boundary.  The
-    rows of ``df`` are never shuffled: they meet a table of at most 65536 prefixes.
+    One narrow pass counts the keys per token prefix (at most 65536 lines), a second one ranks the keys of
+    the few prefixes that hold a boundary.  The rows of ``df`` are never shuffled: each meets a table of
+    prefixes with the parts passed before it and the boundaries inside it.
     """
     if parts < 1:
         raise ValueError("parts must be at least 1")
     if parts == 1:
         return df.withColumn(part, F.lit(0))
+    spark = df.sparkSession
     tokens = keys.select(token.alias(TOKEN))
-    totals = _bucket_totals(tokens, [])
-    cuts = totals.withColumn("_ranks", cut_points(parts))
-    inside = F.filter(
-        "_ranks", lambda r: (r > F.col("_ahead")) & (r <= F.col("_ahead") + F.col("_n"))
-    )
-    passed = F.size(F.filter("_ranks", lambda r: r <= F.col("_ahead")))
-    table = cuts.select(
-        "_bucket", passed.alias("_passed"), F.transform(inside, lambda r: r - F.col("_ahead")).alias("_needs")
-    )
-    exact = _cutoffs(tokens, [], table.where(F.size("_needs") > 0))
-    table = table.join(exact, "_bucket", "left").select(
-        "_bucket", "_passed", F.coalesce("_cuts", F.array().cast("array<string>")).alias("_cuts")
+    prefix = F.substring(TOKEN, 1, BUCKET_DIGITS).alias("_bucket")
+    counts = sorted((r[0], r[1]) for r in tokens.groupBy(prefix).count().collect())
+    ends = run_ends(sum(n for _, n in counts), parts)
+    ahead, passed, needs = 0, 0, []
+    lines = []
+    for bucket, n in counts:
+        first = passed
+        while passed < parts - 1 and ends[passed] <= ahead + n:
+            passed += 1
+        inside = [e - ahead for e in ends[first:passed]]
+        lines.append((bucket, first))
+        needs += [(bucket, inside)] if inside else []
+        ahead += n
+    wanted = F.broadcast(spark.createDataFrame(needs, "_bucket string, _needs array<bigint>"))
+    cuts = {r["_bucket"]: r["_cuts"] for r in _cutoffs(tokens, [], wanted).collect()}
+    table = spark.createDataFrame(
+        [(b, first, cuts.get(b, [])) for b, first in lines], "_bucket string, _passed int, _cuts array<string>"
     )
     rows = df.withColumn(TOKEN, token).withColumn("_bucket", F.substring(TOKEN, 1, BUCKET_DIGITS))
     crossed = F.size(F.filter("_cuts", lambda c: c < F.col(TOKEN)))

@@ -7,62 +7,76 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.operators.ordering import AHEAD, MAX_GROUP_ROWS, hash_token, mark_lowest
+from wattline.operators.ordering import AHEAD, CHECK, MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, hash_token, mark_lowest
 from wattline.operators.windows import stride_windows
 
 # widths of the histograms that narrow down a timestamp: hour, second, microsecond
-NARROWING_US = (3_600_000_000, 1_000_000, 1)
+HOUR_US, SECOND_US, MICRO_US = 3_600_000_000, 1_000_000, 1
+FEW_ROWS = 1_000_000
 
 
-def cutoff_micros(df: DataFrame, ts: str, ratio: float) -> int:
-    """Timestamp (µs since 1970, UTC) at 0-based place ``int(rows * ratio)`` of all rows in time order.
+def time_cutoffs(df: DataFrame, ts: str, ratio: float, by: Sequence[str] = ()) -> DataFrame:
+    """Per group: the timestamp at 0-based place ``int(rows * ratio)`` of the group's rows in time order.
 
-    Three counting passes, each over the one bucket the pass before has found: by hour, by second, by
-    microsecond.  Exact, without a sort; the bounds of the second and third pass reach the file scan.
+    Counting passes, each over the bucket the pass before has found: by hour, by second if that hour is
+    crowded, by microsecond.  Exact without sorting rows; later passes carry their time bounds to the scan.
     """
-    rows, place = df.select(F.col(ts)), None
-    for width in NARROWING_US:
+    by = list(by)
+    narrow = df.select(*by, ts)
+    rows, width, carried = narrow, HOUR_US, False
+    while True:
         micros = F.unix_micros(ts)
-        counts = rows.groupBy((micros - F.pmod(micros, F.lit(width))).alias("low")).agg(
-            F.count(F.lit(1)).alias("n")
+        low = (micros - F.pmod(micros, F.lit(width))).alias("low")
+        counts = rows.where(F.col(ts).isNotNull()).groupBy(*by, low).agg(
+            F.count(F.lit(1)).alias("n"), *([F.max("place").alias("place")] if carried else [])
         )
-        ahead = F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(*AHEAD)), F.lit(0))
-        total = F.sum("n").over(Window.partitionBy())
-        at = F.floor(total * F.lit(ratio)) if place is None else F.lit(place)
-        hit = (
-            counts.where(F.col("low").isNotNull())
-            .select("low", "n", ahead.alias("ahead"), at.alias("at"))
+        series = Window.partitionBy(*by)
+        ahead = F.coalesce(F.sum("n").over(series.orderBy("low").rowsBetween(*AHEAD)), F.lit(0))
+        at = F.col("place") if carried else F.floor(F.sum("n").over(series) * F.lit(ratio))
+        hits = (
+            counts.select(*by, "low", "n", ahead.alias("ahead"), at.alias("at"))
             .where((F.col("at") >= F.col("ahead")) & (F.col("at") < F.col("ahead") + F.col("n")))
-            .first()
+            .select(*by, "low", (F.col("at") - F.col("ahead")).alias("place"), "n")
         )
-        if hit is None:
+        found = hits.take(MAX_BROADCAST_ROWS + 1)
+        if not found:
             raise ValueError("no row at that ratio: the table is empty or the ratio is not below 1")
-        place = hit["at"] - hit["ahead"]
-        low = hit["low"]
-        rows = rows.where(
-            (F.col(ts) >= F.timestamp_micros(F.lit(low))) & (F.col(ts) < F.timestamp_micros(F.lit(low + width)))
+        if len(found) <= MAX_BROADCAST_ROWS:
+            first, last, crowd = (f(r[c] for r in found) for f, c in ((min, "low"), (max, "low"), (max, "n")))
+            hits = F.broadcast(df.sparkSession.createDataFrame(found, hits.schema))
+        else:
+            first, last, crowd = hits.agg(F.min("low"), F.max("low"), F.max("n")).first()
+        if width == MICRO_US:
+            return hits.select(*by, F.timestamp_micros("low").alias("cutoff"))
+        inside = narrow.where(
+            (F.col(ts) >= F.timestamp_micros(F.lit(first))) & (F.col(ts) < F.timestamp_micros(F.lit(last + width)))
         )
-    return low
-
-
-def time_cutoff(df: DataFrame, ts: str, ratio: float) -> DataFrame:
-    """The cutoff as a one-row table."""
-    at = cutoff_micros(df, ts, ratio)
-    return df.sparkSession.range(1).select(F.timestamp_micros(F.lit(at)).alias("cutoff"))
+        if by:
+            start, end = F.timestamp_micros("low"), F.timestamp_micros(F.col("low") + width)
+            rows = inside.join(hits.drop("n"), by).where((F.col(ts) >= start) & (F.col(ts) < end)).drop("low")
+        else:
+            rows = inside.withColumn("place", F.lit(found[0]["place"]))
+        width, carried = SECOND_US if width == HOUR_US and crowd > FEW_ROWS else MICRO_US, True
 
 
 def temporal_split(
-    df: DataFrame, ts: str, ratio: float = 0.8, gap_hours: float = 0, cutoff: int | None = None
+    df: DataFrame, ts: str, ratio: float = 0.8, gap_hours: float = 0, by: Sequence[str] = (),
+    cutoffs: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``split``: train up to and including the cutoff, val strictly after cutoff + gap.
+    """Add ``split``: train up to and including the cutoff (of the group), val strictly after cutoff + gap.
 
-    Rows inside the gap belong to neither side and are dropped.
+    Rows inside the gap belong to neither side and are dropped.  A single cutoff is a literal that reaches
+    the file scan; cutoffs of groups are joined.
     """
-    at = cutoff_micros(df, ts, ratio) if cutoff is None else cutoff
-    end = F.timestamp_micros(F.lit(at))
-    begin = F.timestamp_micros(F.lit(at + int(gap_hours * 3_600_000_000)))
-    side = F.when(F.col(ts) <= end, "train").when(F.col(ts) > begin, "val")
-    return df.where((F.col(ts) <= end) | (F.col(ts) > begin)).withColumn("split", side)
+    cut = time_cutoffs(df, ts, ratio, by) if cutoffs is None else cutoffs
+    gap = int(gap_hours * 3_600_000_000)
+    if by:
+        rows, micros = df.join(cut, list(by)), F.unix_micros("cutoff")
+    else:
+        rows, micros = df, F.lit(cut.select(F.unix_micros("cutoff")).first()[0])
+    end, begin = F.timestamp_micros(micros), F.timestamp_micros(micros + F.lit(gap))
+    side = F.when(F.col(ts) <= end, "train").otherwise("val").alias("split")
+    return rows.where((F.col(ts) <= end) | (F.col(ts) > begin)).select(*[F.col(f"`{c}`") for c in df.columns], side)
 
 
 def split_windows(
@@ -75,13 +89,19 @@ def split_windows(
     gap_hours: float = 0,
     window: int = 168,
     stride: int = 24,
-    keep: Sequence[str] = (),
-    cutoff: int | None = None,
+    client: str | None = None,
     max_rows: int = MAX_GROUP_ROWS,
+    hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
-    """Temporal split, then windows on each side of each node separately; ``keep`` are columns fixed per node."""
-    sides = temporal_split(df, order[0], ratio, gap_hours, cutoff)
-    return stride_windows(sides, [*keep, "split", node], order, features, label, window, stride, max_rows)
+    """Temporal split, then windows on each side of each node separately.
+
+    With ``client`` every client has its own cutoff, as it sees no rows but its own.
+    """
+    by = [client] if client else []
+    sides = temporal_split(df, order[0], ratio, gap_hours, by)
+    return stride_windows(
+        sides, [*by, "split", node], order, features, label, window, stride, max_rows, hot=hot
+    )
 
 
 def random_split(

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions import columns as C
-from wattline.operators.ordering import MAX_GROUP_ROWS, POS, over_series
+from wattline.operators.ordering import CHECK, MAX_GROUP_ROWS, POS, over_series
 
 PANE = "_pane"
 
 
-def _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows) -> DataFrame:
+def _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows, hot) -> DataFrame:
     """One row per window: keys, start position and time, label, label time and ``window_cols(frame)``."""
     if window < 1 or stride < 1:
         raise ValueError("window and stride must be positive")
@@ -54,7 +54,7 @@ def _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, ma
             .where((F.col("start") >= 0) & (F.col("start") % stride == 0))
         )
 
-    return over_series(df, by, order, window, build, max_rows, unit).drop(POS)
+    return over_series(df, by, order, window, build, max_rows, unit, hot).drop(POS)
 
 
 def stride_windows(
@@ -67,6 +67,7 @@ def stride_windows(
     stride: int = 24,
     max_rows: int = MAX_GROUP_ROWS,
     strict: bool = False,
+    hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
     """Windows at 0, stride, … while ``start + window < rows``: ``x`` holds the feature rows in order as
     32-bit floats, ``y`` the label of the row right after the window.
@@ -78,7 +79,7 @@ def stride_windows(
     out = _over_panes(
         df, by, order, window, stride, label, [pane],
         lambda frame: [F.flatten(F.collect_list("_rows").over(frame)).alias("x")],
-        max_rows,
+        max_rows, hot,
     )
     if strict and out.isEmpty():
         raise ValueError("no series is longer than the window")
@@ -94,6 +95,7 @@ def window_stats(
     window: int = 168,
     stride: int = 24,
     max_rows: int = MAX_GROUP_ROWS,
+    hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
     """Count, sum, mean and population variance of each feature per window, without building arrays.
 
@@ -129,7 +131,7 @@ def window_stats(
             ]
         return cols
 
-    return _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows)
+    return _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows, hot)
 
 
 def instance_norm(
@@ -141,6 +143,7 @@ def instance_norm(
     window: int = 168,
     stride: int = 24,
     max_rows: int = MAX_GROUP_ROWS,
+    hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
     """Windows whose features ``x_<f>`` are normalised by the window's own mean and population variance.
 
@@ -167,7 +170,7 @@ def instance_norm(
             ]
         return cols
 
-    raw = _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows)
+    raw = _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows, hot)
 
     def normed(f: str) -> Column:
         mean, var = F.col(f"_mean_{f}"), F.col(f"_var_{f}")

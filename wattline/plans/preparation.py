@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from wattline.functions.fixed_values import BASE_FEATURES, GRID_LABELS, PRIMARY_USES
 from wattline.operators import features as P
-from wattline.operators.ordering import MAX_GROUP_ROWS
+from wattline.operators.ordering import CHECK, MAX_GROUP_ROWS, hot_groups
 from wattline.operators.scaling import standardize_global
 from wattline.operators.splits import split_windows
 from wattline.operators.windows import stride_windows
+from wattline.session import stored
 
 BUILDING_FEATURES = [*BASE_FEATURES, *[f"primary_use_{u}" for u in PRIMARY_USES]]
 
@@ -20,12 +21,12 @@ BUILDING_FEATURES = [*BASE_FEATURES, *[f"primary_use_{u}" for u in PRIMARY_USES]
 def prepare_readings(
     df: DataFrame, node: str = "building_id", order: Sequence[str] = ("timestamp",), value: str = "meter_reading",
     category: str | None = "primary_use", categories: Sequence[str] = tuple(PRIMARY_USES), narrow: bool = False,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
     """Features first, then one-hot, then rows with any null dropped (lags must see the dropped rows)."""
     if narrow:
         df = P.narrow_numeric(df)
-    wide = P.meter_features(df, node, order, value, max_rows)
+    wide = P.meter_features(df, node, order, value, max_rows, hot)
     if category:
         wide = P.one_hot_fixed(wide, category, categories)
     return P.drop_null_rows(P.bool_to_float(wide))
@@ -35,19 +36,24 @@ def building_windows(
     df: DataFrame, client: str = "client_id", ratio: float = 1.0 - 0.2, gap_hours: float = 73, window: int = 168,
     stride: int = 24, max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Train and validation windows of building readings that already carry their client."""
-    ready = prepare_readings(df, max_rows=max_rows)
+    """Train and validation windows of building readings that already carry their client.
+
+    The prepared rows are stored once: the cutoff passes then read only their time column.
+    """
+    hot = hot_groups(df, ["building_id"], max_rows)
+    ready = stored(prepare_readings(df, max_rows=max_rows, hot=hot))
     return split_windows(
         ready, "building_id", ["timestamp"], BUILDING_FEATURES, "anomaly", ratio, gap_hours, window, stride,
-        [client], max_rows=max_rows,
+        client, max_rows, hot,
     )
 
 
 def building_test_windows(df: DataFrame, window: int = 168, stride: int = 24, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Windows of a held-out table: the same preparation, no split."""
-    ready = prepare_readings(df, max_rows=max_rows)
+    """Windows of a held-out table: the same preparation, no split, one lazy plan."""
+    hot = hot_groups(df, ["building_id"], max_rows)
+    ready = prepare_readings(df, max_rows=max_rows, hot=hot)
     return stride_windows(
-        ready, ["building_id"], ["timestamp"], BUILDING_FEATURES, "anomaly", window, stride, max_rows
+        ready, ["building_id"], ["timestamp"], BUILDING_FEATURES, "anomaly", window, stride, max_rows, hot=hot
     )
 
 

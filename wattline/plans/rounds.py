@@ -30,25 +30,9 @@ class Federated:
     metrics: dict[str, float] = field(default_factory=dict)
 
 
-def evaluate_clients(scores: DataFrame, by: Sequence[str] = ("client_id",), cap: float | None = None) -> DataFrame:
-    """Loss, best F1, best threshold, average precision and row count, for all groups in one plan."""
-    keys = list(by)
-    loss = M.bce_loss(scores, "logit", "y", cap, keys)
-    sweep = M.threshold_sweep(scores, "prob", "y", keys)
-    areas = M.score_areas(scores, "prob", "y", keys).select(*keys, "pr_auc", "roc_auc")
-    if not keys:  # one row each: read as scalars, no join
-        return loss.select(
-            "n", "pos_weight", "loss",
-            *[s[c].alias(c) for s, cs in
-              ((sweep.select(F.struct("*")).scalar(), ("best_f1", "best_threshold")),
-               (areas.select(F.struct("*")).scalar(), ("pr_auc", "roc_auc"))) for c in cs],
-        )
-    return loss.join(sweep, keys).join(areas, keys)
-
-
 def evaluate_round(scores: DataFrame, cap: float | None = None) -> DataFrame:
     """Client results of one evaluation, named as they are averaged."""
-    return evaluate_clients(scores, ("client_id",), cap).select(
+    return M.evaluate_scores(scores, by=["client_id"], cap=cap).select(
         "client_id", F.col("n").alias("num_examples"), "loss",
         F.create_map(
             F.lit("f1"), F.col("best_f1"), F.lit("pr_auc"), F.col("pr_auc"), F.lit("threshold"), F.col("best_threshold")
@@ -61,7 +45,7 @@ def evaluate_final(scores: DataFrame, threshold: float | None = None, cap: float
 
     F1 in the summary is the one at the best threshold; report and matrix use ``threshold`` if given.
     """
-    summary = evaluate_clients(scores, (), cap).first()
+    summary = M.evaluate_scores(scores, cap=cap).first()
     used = summary["best_threshold"] if threshold is None else threshold
     called = scores.select("y", C.decide("prob", used).alias("pred"))
     return {
@@ -114,8 +98,8 @@ def federated_rounds(
             taking = chosen_clients(spark, clients, fraction, least, r, seed)
             rows = train if len(taking) == len(clients) else train.where(F.col("client_id").isin(taking))
             fits = local_fit(rows, weights, taking, epochs, lr, decay, mu, weights_of)
-            mean = average_weights(weight_rows(spark, fits, r)).orderBy("pos").toPandas()["value"].to_numpy()
-            weights = unflat(mean, start)
+            mean = average_weights(weight_rows(spark, fits, r)).toPandas().sort_values("pos")
+            weights = unflat(mean["value"].to_numpy(), start)
             found = evaluate_round(score(val, weights, ["client_id", "y"]), cap).collect()
             scored = {e["client_id"]: e["metrics"] for e in found}
             for c, (w, n, loss) in sorted(fits.items()):

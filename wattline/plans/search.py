@@ -74,8 +74,9 @@ def fit_trials(
             for i, (grad, _, _) in gradient_pass(train, live, caps, shared=True).items():
                 models[i] = step(models[i], grad, settings[i]["lr"], settings[i]["weight_decay"])
             scores = score(val, {i: models[i] for i in sorted(running)}, ["y"])
-            areas = {r["model"]: r["pr_auc"] for r in M.average_precision(scores, by=["model"]).collect()}
-            cuts = {r["model"]: r["best_threshold"] for r in M.threshold_sweep(scores, by=["model"]).collect()}
+            found = M.evaluate_scores(scores, by=["model"]).collect()
+            areas = {r["model"]: r["pr_auc"] for r in found}
+            cuts = {r["model"]: r["best_threshold"] for r in found}
             for i in sorted(running):
                 value, cut, stale = best[i]
                 best[i] = (areas[i], cuts[i], 0) if areas[i] > value else (value, cut, stale + 1)

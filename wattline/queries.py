@@ -24,7 +24,8 @@ from wattline.plans import fitting as T
 from wattline.plans import rounds as R
 from wattline.plans.preparation import as_vectors, prepare_readings
 from wattline.plans.search import search
-from wattline.session import shared_folder
+from wattline.operators.ordering import CHECK, hot_groups
+from wattline.session import shared_folder, stored
 from wattline.sources import readings as S
 from wattline.sources import stores as ST
 
@@ -107,8 +108,14 @@ FEATURES_SQL = f"""{R_SQL}, f AS (
   FROM f WHERE meter_lag24 IS NOT NULL AND meter_roll_std_24 IS NOT NULL AND meter_reading IS NOT NULL)"""
 
 
-def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare_readings(readings(spark, sf), NODE, ORDER, "meter_reading", "primary_use", USES)
+def prepared(spark: SparkSession, sf: str, hot=CHECK) -> DataFrame:
+    return prepare_readings(readings(spark, sf), NODE, ORDER, "meter_reading", "primary_use", USES, hot=hot)
+
+
+def prepared_windows(spark: SparkSession, sf: str, features: list[str]) -> DataFrame:
+    """Windows of prepared readings; long series are looked for once, in the raw rows."""
+    hot = hot_groups(readings(spark, sf), [NODE])
+    return W.stride_windows(prepared(spark, sf, hot), [NODE], ORDER, features, "anomaly", 6, 3, hot=hot)
 
 
 @query(
@@ -205,7 +212,17 @@ CUT_SQL = f"""{R_SQL}, cut AS (
 
 @query(f"WITH {CUT_SQL} SELECT epoch_us(cutoff) AS cutoff_us FROM cut")
 def time_cutoff(spark, sf):
-    return D.time_cutoff(readings(spark, sf), "ts", RATIO).select(us("cutoff").alias("cutoff_us"))
+    return D.time_cutoffs(readings(spark, sf), "ts", RATIO).select(us("cutoff").alias("cutoff_us"))
+
+
+@query(f"""WITH {R_SQL}, k AS (
+  SELECT primary_use, ts, row_number() OVER (PARTITION BY primary_use ORDER BY ts) - 1 AS i,
+    count(*) OVER (PARTITION BY primary_use) AS n FROM r)
+  SELECT primary_use, epoch_us(ts) AS cutoff_us FROM k WHERE i = CAST(floor(n * 0.8e0) AS BIGINT)""")
+def time_cutoff_groups(spark, sf):
+    """One cutoff per group, as each client has its own."""
+    cuts = D.time_cutoffs(readings(spark, sf), "ts", RATIO, ["primary_use"])
+    return cuts.select("primary_use", us("cutoff").alias("cutoff_us"))
 
 
 @query(f"WITH {CUT_SQL} SELECT row_key, split FROM sp")
@@ -276,7 +293,7 @@ LAGS = ["meter_reading", "meter_lag1", "meter_lag24", "meter_diff_1", "meter_dif
   SELECT node_id, {WINDOW_OUT}""")
 def test_windows(spark, sf):
     """Held-out table: features, null rows dropped, windows, no split."""
-    out = W.stride_windows(prepared(spark, sf), [NODE], ORDER, LAGS, "anomaly", 6, 3)
+    out = prepared_windows(spark, sf, LAGS)
     return window_summary(out, [NODE])
 
 
@@ -780,7 +797,7 @@ VEC_CLIENTS, LR = 4, 0.5
 def vectors(spark, sf):
     """Embeddings as flat training rows: label above 4 is positive, rows dealt to four clients."""
     rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") > 4).cast("int").alias("y"))
-    return K.assign_rows_random(rows, "vec_id", VEC_CLIENTS)
+    return stored(K.assign_rows_random(rows, "vec_id", VEC_CLIENTS))
 
 
 VEC_SQL = """v AS (SELECT vec_id, CASE WHEN label > 4 THEN 1e0 ELSE 0e0 END AS y,
@@ -852,9 +869,13 @@ FINAL_SCALED = ["meter_reading", *METER]
 
 def training_windows(spark, sf):
     """Readings to flat windows with client and split: the whole preparation of a training run."""
-    ready = Z.standardize_global(K.assign_nodes_random(prepared(spark, sf), NODE, 3), FINAL_SCALED)
+    rows = readings(spark, sf)
+    hot = hot_groups(rows, [NODE])
+    clean = prepare_readings(rows, NODE, ORDER, "meter_reading", "primary_use", USES, hot=hot)
+    # several passes follow (scaling, cutoffs, windows), each over other columns
+    ready = Z.standardize_global(stored(K.assign_nodes_random(clean, NODE, 3)), FINAL_SCALED)
     features = [*FINAL_SCALED, *[f"primary_use_{u}" for u in USES]]
-    out = D.split_windows(ready, NODE, ORDER, features, "anomaly", RATIO, GAP_HOURS, 6, 3, ["client_id"])
+    out = D.split_windows(ready, NODE, ORDER, features, "anomaly", RATIO, GAP_HOURS, 6, 3, "client_id", hot=hot)
     return as_vectors(out, ["client_id", "split", NODE, "start"])
 
 
@@ -916,7 +937,7 @@ def search_trials(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Features, windows and next-step labels: class counts per node."""
-    out = W.stride_windows(prepared(spark, sf), [NODE], ORDER, METER, "anomaly", 6, 3)
+    out = prepared_windows(spark, sf, METER)
     return out.groupBy(NODE).agg(
         F.count(F.lit(1)).alias("n_windows"), F.sum("y").alias("n_anomalies")
     )

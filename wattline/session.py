@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: for tables that several later
+    passes scan, each needing other columns.  The folder belongs to the caller's run; remove it with the run."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that later reads all see the same rows and partitions."""
     shared_folder(df.sparkSession)
