@@ -186,7 +186,7 @@ def mark_lowest(
     ).withColumn("_needs", F.array(F.col("_take") - F.col("_ahead")))
     cut = _cutoffs(tokens, by, border)
     if by:
-        cut = cut.select(*by, F.element_at("_cuts", 1).alias("_cut"))
+        cut = bounded(cut.select(*by, F.element_at("_cuts", 1).alias("_cut")))
         marked = rows.join(cut, by, "left")
         value = F.col("_cut")
     else:

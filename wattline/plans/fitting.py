@@ -7,15 +7,20 @@ or double), a label ``y`` and, for local fits, a ``client_id``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# the functions below travel inside the tasks, so executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Weights = list[np.ndarray]
 
 

@@ -75,7 +75,7 @@ def chosen_clients(spark, clients: Sequence[int], fraction: float, least: int, r
 def federated_rounds(
     train: DataFrame, val: DataFrame, rounds: int = 2, epochs: int = 2, lr: float = 1e-4, decay: float = 1e-4,
     mu: float = 0.0, cap: float | None = 10.0, hidden: Sequence[int] = (), start: Weights | None = None,
-    fraction: float = 1.0, min_clients: int | None = None, seed: int = 42, run: str = "run",
+    fraction: float = 1.0, fraction_evaluate: float = 1.0, min_clients: int | None = None, seed: int = 42, run: str = "run",
     checkpoint: str | None = None, config: Mapping | None = None,
 ) -> Federated:
     """``rounds`` times: local fits, average, evaluation of the average on each client's validation rows.
@@ -85,7 +85,9 @@ def federated_rounds(
     arrays and as sums, and never add lineage.
     """
     spark = train.sparkSession
-    train = train.select("client_id", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    # rows of a client lie together, so a task adds up few vectors; a big client still spreads over tasks
+    train = train.select("client_id", "x", "y").repartitionByRange("client_id", F.xxhash64("x"))
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     val = val.select("client_id", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         weights_of = client_weights(train, cap)
@@ -100,7 +102,9 @@ def federated_rounds(
             fits = local_fit(rows, weights, taking, epochs, lr, decay, mu, weights_of)
             mean = average_weights(weight_rows(spark, fits, r)).toPandas().sort_values("pos")
             weights = unflat(mean["value"].to_numpy(), start)
-            found = evaluate_round(score(val, weights, ["client_id", "y"]), cap).collect()
+            asked = chosen_clients(spark, clients, fraction_evaluate, least, r, seed + 1)
+            shown = val if len(asked) == len(clients) else val.where(F.col("client_id").isin(asked))
+            found = evaluate_round(score(shown, weights, ["client_id", "y"]), cap).collect()
             scored = {e["client_id"]: e["metrics"] for e in found}
             for c, (w, n, loss) in sorted(fits.items()):
                 told = {"train_loss": loss, "num_examples": float(n), "input_dim": float(start[0].shape[0])}

@@ -876,7 +876,7 @@ def training_windows(spark, sf):
     ready = Z.standardize_global(stored(K.assign_nodes_random(clean, NODE, 3)), FINAL_SCALED)
     features = [*FINAL_SCALED, *[f"primary_use_{u}" for u in USES]]
     out = D.split_windows(ready, NODE, ORDER, features, "anomaly", RATIO, GAP_HOURS, 6, 3, "client_id", hot=hot)
-    return as_vectors(out, ["client_id", "split", NODE, "start"])
+    return stored(as_vectors(out, ["client_id", "split", NODE, "start"]))
 
 
 def two_rounds(spark, sf, hidden=(), **more):
