@@ -17,8 +17,8 @@ class DataSettings:
     """Where readings come from and how they are split; defaults of the building readings."""
 
     name: str = "building_readings"
-    path: str = "train_features.csv"
-    test_path: str = "test_features.csv"
+    path: str = ""
+    test_path: str = ""
     pattern: str | None = "data{n}.csv"
     target: str = "anomaly"
     node: str | None = "building_id"
@@ -32,7 +32,7 @@ class DataSettings:
     normalize: bool = True
 
 
-def grid_settings(path: str = "EpicLog_noisy.csv", **more: Any) -> DataSettings:
+def grid_settings(path: str, **more: Any) -> DataSettings:
     """Defaults of the power-grid log: rows stand alone, there is no node and no gap."""
     return DataSettings(**{"name": "grid_log", "path": path, "pattern": None, "target": "marker", "node": None,
                            "gap_hours": 0, **more})

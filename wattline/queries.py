@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from wattline.operators import windows as W
 from wattline.plans import fitting as T
 from wattline.plans import rounds as R
 from wattline.plans.preparation import as_vectors, prepare_readings
-from wattline.plans.search import search
+from wattline.plans.search import fit_trials, search
 from wattline.operators.ordering import CHECK, hot_groups
 from wattline.session import shared_folder, stored
 from wattline.sources import readings as S
@@ -864,6 +865,115 @@ def score_windows(spark, sf):
     return out.select("vec_id", "y", r6("logit", 5).alias("logit"), r6("prob", 5).alias("prob"))
 
 
+def evaluation_sql(source: str, key: str) -> str:
+    """CTE ev: loss, best F1 and threshold, average precision per ``key`` of ``source`` (key, y, logit, prob)."""
+    tail = "ln(1e0 + exp(-abs(logit)))"
+    return f"""cn_{key} AS (SELECT {key}, count(*) AS n, sum(y) AS p, coalesce(least(sum(1 - y) / nullif(sum(y), 0), 10e0), 1e0) AS w FROM {source} GROUP BY {key}),
+  ls AS (SELECT {key}, avg(w * y * (greatest(-logit, 0e0) + {tail}) + (1 - y) * (greatest(logit, 0e0) + {tail})) AS loss
+    FROM {source} JOIN cn_{key} USING ({key}) GROUP BY {key}),
+  dq AS (SELECT {key}, prob, count(*) AS n, sum(y) AS pos FROM {source} GROUP BY {key}, prob),
+  cq AS (SELECT {key}, pos, sum(n) OVER q AS cn, sum(pos) OVER q AS cp FROM dq WINDOW q AS (PARTITION BY {key} ORDER BY prob DESC)),
+  ap AS (SELECT {key}, coalesce(sum(pos / nullif(p, 0) * cp / cn), 0e0) AS pr_auc FROM cq JOIN cn_{key} USING ({key}) GROUP BY {key}),
+  tq AS (SELECT {key}, 0.01::DOUBLE + (i - 1) * 0.01::DOUBLE AS t FROM range(1, 50) g(i), cn_{key}),
+  fq AS (SELECT {key}, t, coalesce(2e0 * count(*) FILTER (prob >= t AND y = 1)
+      / nullif(count(*) FILTER (prob >= t) + count(*) FILTER (y = 1), 0), 0e0) AS f FROM {source} JOIN tq USING ({key}) GROUP BY {key}, t),
+  bq AS (SELECT {key}, f, t, row_number() OVER (PARTITION BY {key} ORDER BY f DESC, t) AS i FROM fq),
+  ev AS (SELECT {key}, cn_{key}.n AS n, loss, pr_auc, f AS best_f1, CASE WHEN f > 0 THEN t ELSE 0.5e0 END AS best_threshold
+    FROM cn_{key} JOIN ls USING ({key}) JOIN ap USING ({key}) JOIN bq USING ({key}) WHERE i = 1)"""
+
+
+@query(f"""WITH {VEC_SQL}, {pass_sql("w0", "w1")}, {mean_sql("w1", "a1")}, {pass_sql("a1", "w2")}, {mean_sql("w2", "a2")},
+  al AS (SELECT 1 AS r, * FROM m_a1 UNION ALL SELECT 2, * FROM m_a2),
+  sv AS (SELECT r * 10 + c AS rc, vec_id, y, sum(w * e) AS logit, 1 / (1 + exp(-sum(w * e))) AS prob FROM x JOIN al USING (pos) GROUP BY r, c, vec_id, y),
+  {evaluation_sql("sv", "rc")}, long AS (
+  SELECT rc, n, unnest(['f1', 'pr_auc', 'threshold']) AS metric, unnest([best_f1, pr_auc, best_threshold]) AS value FROM ev)
+  SELECT CAST(rc // 10 AS INTEGER) AS round, CAST(rc % 10 AS INTEGER) AS client_id, n AS num_examples, metric, {q6("value", 5)} AS value FROM long""")
+def round_metrics(spark, sf):
+    """What every client reports on the averaged model of each round, over the vectors."""
+    rows = vectors(spark, sf)
+    done = R.federated_rounds(rows, rows, 2, 1, LR, 0.0, 0.0, 10.0)
+    out = done.eval_results.select("round", "client_id", "num_examples", F.explode("metrics").alias("metric", "value"))
+    return out.withColumn("value", r6("value", 5))
+
+
+@query(f"""WITH {VEC_SQL}, {pass_sql("w0", "w1")}, {mean_sql("w1", "a1")},
+  sv AS (SELECT 1 AS one, vec_id, y, sum(w * e) AS logit, 1 / (1 + exp(-sum(w * e))) AS prob FROM x JOIN m_a1 USING (pos) GROUP BY vec_id, y),
+  {evaluation_sql("sv", "one")}, au AS (
+  SELECT y, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2e0 AS rk FROM sv)
+  SELECT n, {q6("loss", 5)} AS loss, {q6("best_f1", 5)} AS f1, {q6("best_threshold")} AS threshold, {q6("pr_auc", 5)} AS pr_auc,
+  {q6("(SELECT (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y))) FROM au)", 5)} AS roc_auc FROM ev""")
+def final_scores(spark, sf):
+    """Summary of a final evaluation over the vectors."""
+    rows = vectors(spark, sf)
+    weights = R.federated_rounds(rows, rows, 1, 1, LR, 0.0, 0.0, 10.0).weights
+    out = M.evaluate_scores(T.score(rows, weights, ["y"]), cap=10.0)
+    return out.select("n", r6("loss", 5).alias("loss"), r6("best_f1", 5).alias("f1"), r6("best_threshold").alias("threshold"),
+                      r6("pr_auc", 5).alias("pr_auc"), r6("roc_auc", 5).alias("roc_auc"))
+
+
+HIDDEN = 8
+
+
+def mlp_pass_sql(before: str, after: str) -> str:
+    """One gradient pass with one hidden layer; weights (c, pos, w) laid out as W1 by rows, b1, W2, b2."""
+    b1, w2, b2 = 64 * HIDDEN, 65 * HIDDEN, 66 * HIDDEN
+    return f"""l1_{after} AS (SELECT c, CASE WHEN pos < {b1} THEN pos // {HIDDEN} ELSE 64 END AS pos, pos % {HIDDEN} AS j, w FROM {before} WHERE pos < {w2}),
+  h_{after} AS (SELECT vec_id, x.c, y, j, sum(w * e) AS z FROM x JOIN l1_{after} USING (c, pos) GROUP BY vec_id, x.c, y, j),
+  l2_{after} AS (SELECT c, pos - {w2} AS j, w FROM {before} WHERE pos >= {w2} AND pos < {b2}),
+  o_{after} AS (SELECT vec_id, h.c, y, 1 / (1 + exp(-(sum(greatest(z, 0e0) * l.w) + max(b.w)))) AS p FROM h_{after} h
+    JOIN l2_{after} l ON l.c = h.c AND l.j = h.j JOIN {before} b ON b.c = h.c AND b.pos = {b2} GROUP BY vec_id, h.c, y),
+  k_{after} AS (SELECT vec_id, o.c, (1 - y) * p - pw * y * (1 - p) AS b FROM o_{after} o JOIN pw ON pw.c = o.c),
+  d_{after} AS (SELECT h.vec_id, h.c, h.j, greatest(z, 0e0) * b AS g2, CASE WHEN z > 0 THEN b * w ELSE 0e0 END AS d
+    FROM h_{after} h JOIN k_{after} USING (vec_id) JOIN l2_{after} l ON l.c = h.c AND l.j = h.j),
+  g_{after} AS (SELECT x.c, CASE WHEN x.pos < 64 THEN x.pos * {HIDDEN} + j ELSE {b1} + j END AS pos, avg(e * d) AS g
+      FROM x JOIN d_{after} USING (vec_id) GROUP BY x.c, x.pos, j
+    UNION ALL SELECT c, {w2} + j, avg(g2) FROM d_{after} GROUP BY c, j
+    UNION ALL SELECT c, {b2}, avg(b) FROM k_{after} GROUP BY c),
+  {after} AS (SELECT c, pos, w - {LR}e0 * g AS w FROM {before} JOIN g_{after} USING (c, pos))"""
+
+
+@query(f"""WITH {VEC_SQL}, s0 AS (SELECT c, unnest(range(0, {66 * HIDDEN + 1})) AS pos, 0e0 AS z FROM pw),
+  q0 AS (SELECT c, pos, 0.3e0 * sin(pos + 1e0) AS w FROM s0), {mlp_pass_sql("q0", "q1")}, {mlp_pass_sql("q1", "q2")}, {mean_sql("q2", "qa")}
+  SELECT CAST(pos AS INTEGER) AS pos, {q6("w")} AS w FROM m_qa""")
+def mlp_rounds(spark, sf):
+    """One round of two local passes with a hidden layer, from fixed start weights."""
+    rows = vectors(spark, sf)
+    like = T.init_weights(64, [HIDDEN])
+    start = T.unflat(0.3 * np.sin(np.arange(T.flat(like).size) + 1.0), like)
+    done = R.federated_rounds(rows, rows, 1, 2, LR, 0.0, 0.0, 10.0, start=start)
+    flat = [(i, float(v)) for i, v in enumerate(T.flat(done.weights))]
+    return spark.createDataFrame(flat, "pos int, w double").withColumn("w", r6("w"))
+
+
+SETTINGS = [
+    {"lr": lr, "weight_decay": decay, "pos_weight_cap": cap, "hidden_size": 0, "num_layers": 0}
+    for lr, decay, cap in ((0.5, 0.0, 10.0), (0.1, 0.1, 0.5), (2.0, 0.01, 10.0))
+]
+
+
+def trial_pass_sql(before: str, after: str) -> str:
+    return f"""z_{after} AS (SELECT vec_id, t, y, sum(w * e) AS logit, 1 / (1 + exp(-sum(w * e))) AS prob FROM x JOIN {before} USING (pos) GROUP BY vec_id, t, y),
+  b_{after} AS (SELECT vec_id, t, (1 - y) * prob - least(cap, raw) * y * (1 - prob) AS b FROM z_{after} JOIN tr USING (t), rawpw),
+  {after} AS (SELECT t, pos, max(w) * (1 - max(lr) * max(decay)) - max(lr) * avg(b * e) AS w FROM x JOIN b_{after} USING (vec_id)
+    JOIN {before} USING (t, pos) JOIN tr USING (t) GROUP BY t, pos)"""
+
+
+@query(f"""WITH {VEC_SQL}, tr AS (SELECT * FROM (VALUES {", ".join(
+      f"({i}, {s['lr']}e0, {s['weight_decay']}e0, {s['pos_weight_cap']}e0)" for i, s in enumerate(SETTINGS))}) v(t, lr, decay, cap)),
+  rawpw AS (SELECT sum(1 - y) / sum(y) AS raw FROM v), t0 AS (SELECT t, unnest(range(0, 65)) AS pos, 0e0 AS w FROM tr),
+  {trial_pass_sql("t0", "t1")}, {trial_pass_sql("t1", "t2")}, al AS (SELECT 1 AS s, * FROM t1 UNION ALL SELECT 2, * FROM t2),
+  sv AS (SELECT s * 10 + t AS rc, vec_id, y, sum(w * e) AS logit, 1 / (1 + exp(-sum(w * e))) AS prob FROM x JOIN al USING (pos) GROUP BY s, t, vec_id, y),
+  {evaluation_sql("sv", "rc")}, st AS (SELECT rc % 10 AS trial, rc // 10 AS step, pr_auc, best_threshold FROM ev), ru AS (
+  SELECT *, pr_auc > coalesce(max(pr_auc) OVER (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gain FROM st)
+  SELECT CAST(trial AS INTEGER) AS trial, CAST(step AS INTEGER) AS step, {q6("pr_auc", 5)} AS value,
+  {q6("coalesce(arg_max(best_threshold, CASE WHEN gain THEN step END) OVER (PARTITION BY trial ORDER BY step), 0.5e0)")} AS best_threshold FROM ru""")
+def trial_reports_fitted(spark, sf):
+    """Three given settings fitted together for two passes; what each reports after every pass."""
+    rows = vectors(spark, sf)
+    out = fit_trials(rows, rows, SETTINGS, epochs=2)
+    return out.select("trial", "step", r6("value", 5).alias("value"), r6("best_threshold").alias("best_threshold"))
+
+
 FINAL_SCALED = ["meter_reading", *METER]
 
 
