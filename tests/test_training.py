@@ -58,30 +58,52 @@ def test_gradient_is_the_slope_of_the_loss(rows, data, hidden):
             assert np.isclose(grad[j], slope, atol=1e-5)
 
 
-def fit_alone(x, y, start, epochs, lr, decay, mu, pw):
-    w = np.concatenate([start, [0.0]]) if len(start) == x.shape[1] else start.copy()
-    anchor, xb = w.copy(), np.hstack([x, np.ones((len(x), 1))])
-    for _ in range(epochs):
+def best_f1(y, p):
+    best = 0.0
+    for t in np.arange(0.01, 0.5, 0.01):
+        tp = ((p >= t) & (y == 1)).sum()
+        best = max(best, 2 * tp / ((p >= t).sum() + y.sum()))
+    return best
+
+
+def fit_alone(x, y, w, epochs, lr, decay, mu, pw, patience):
+    """Weights of the pass with the best F1, F1 of the last pass, number of passes."""
+    anchor, xb, best, kept, stale = w.copy(), np.hstack([x, np.ones((len(x), 1))]), -1.0, None, 0
+    for done in range(1, epochs + 1):
         p = 1 / (1 + np.exp(-xb @ w))
         g = (xb * ((1 - y) * p - pw * y * (1 - p))[:, None]).mean(axis=0)
         w = w * (1 - lr * decay) - lr * (g + mu * (w - anchor))
-    return w
-
-
-@pytest.mark.parametrize("mu", [0.0, 0.5])
-def test_rounds_equal_clients_fitted_alone(spark, rows, data, mu, tmp_path):
+        f1 = best_f1(y, 1 / (1 + np.exp(-xb @ w)))
+        if f1 > best:
+            best, kept, stale = f1, w, 0
+        else:
+            stale += 1
+            if stale >= patience:
+                break
+    return kept, f1, done
+
+
+@pytest.mark.parametrize("mu,patience", [(0.0, 10), (0.5, 10), (0.0, 1)])
+def test_rounds_equal_clients_fitted_alone(spark, rows, data, mu, patience, tmp_path):
     x, y, c = data
     path = str(tmp_path / "ck")
-    done = R.federated_rounds(rows, rows, 2, 3, 0.3, 0.01, mu, 4.0, run="r", checkpoint=path, config={"mu": mu})
-    w = np.zeros(6)
-    for _ in range(2):
+    done = R.federated_rounds(
+        rows, rows, 2, 4, 0.7, 0.01, mu, 4.0, patience=patience, run="r", checkpoint=path, config={"mu": mu}
+    )
+    w, passes = np.zeros(6), {}
+    for r in (1, 2):
         parts = []
         for k in (0, 1, 2):
             mine = c == k
             pw = min((y[mine] == 0).sum() / y[mine].sum(), 4.0)
-            parts.append((mine.sum(), fit_alone(x[mine], y[mine], w, 3, 0.3, 0.01, mu, pw)))
+            kept, f1, passes[r, k] = fit_alone(x[mine], y[mine], w, 4, 0.7, 0.01, mu, pw, patience)
+            parts.append((mine.sum(), kept))
         w = sum(n * v for n, v in parts) / sum(n for n, _ in parts)
     np.testing.assert_allclose(T.flat(done.weights), w, atol=1e-10)
+    told = {(r["round"], r["client_id"]): r["count"] for r in done.epochs.groupBy("round", "client_id").count().collect()}
+    assert told == passes
+    last = done.fit_results.where("round = 2 and client_id = 2").first()["metrics"]
+    assert last["val_f1"] == pytest.approx(f1)
     saved = load_checkpoint(spark, path, "r")
     np.testing.assert_array_equal(T.flat(saved["weights"]), T.flat(done.weights))
     assert saved["threshold"] == 0.5 and saved["metrics"].keys() == {"train_loss", "val_f1", "num_examples", "input_dim"}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wattline.functions import columns as C
@@ -14,41 +14,72 @@ from wattline.operators.ordering import CHECK, MAX_GROUP_ROWS, POS, over_series,
 MAX_CODES = 1000
 
 
-def meter_features(
+def lag_rows(value: Column, n: int, series: WindowSpec) -> Column:
+    """Value ``n`` rows (not hours) earlier in the series."""
+    return F.lag(value, n).over(series)
+
+
+def diff(value: Column, n: int, series: WindowSpec) -> Column:
+    return value - lag_rows(value, n, series)
+
+
+def rolling_mean(value: Column, n: int, series: WindowSpec) -> Column:
+    """Mean of the values present among this row and the ``n - 1`` rows before it."""
+    return F.avg(value).over(series.rowsBetween(1 - n, 0))
+
+
+def rolling_std(value: Column, n: int, series: WindowSpec) -> Column:
+    """Sample standard deviation over the same rows; null for a single value."""
+    return F.stddev_samp(value).over(series.rowsBetween(1 - n, 0))
+
+
+def series_columns(
     df: DataFrame,
-    node: str = "building_id",
-    order: Sequence[str] = ("timestamp",),
-    value: str = "meter_reading",
+    node: str,
+    order: Sequence[str],
+    history: int,
+    columns: Callable[[WindowSpec], dict[str, Column]],
     max_rows: int = MAX_GROUP_ROWS,
     hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
-    """Seven lag and rolling features of ``value``; lags count rows of the node, not hours.
+    """Add columns that look back up to ``history`` rows of the node.
 
-    All window functions share one specification: one exchange, one sort, one window operator.
+    All of them share one window specification: one exchange, one sort, one window operator.
     """
 
     def build(rows: DataFrame, parts: list[str]) -> DataFrame:
-        series = Window.partitionBy(*parts).orderBy(*order)
-        frame = series.rowsBetween(-(ROLL_ROWS - 1), 0)
-        v = F.col(value)
-        wide = rows.select(
-            "*",
-            F.lag(v, 1).over(series).alias("meter_lag1"),
-            F.lag(v, ROLL_ROWS).over(series).alias(f"meter_lag{ROLL_ROWS}"),
-            # the frame mean of a missing reading is that of the readings present
-            F.avg(v).over(frame).alias(f"meter_roll_mean_{ROLL_ROWS}"),
-            F.stddev_samp(v).over(frame).alias(f"meter_roll_std_{ROLL_ROWS}"),
-        )
-        return wide.select(
-            "*",
-            (v - F.col("meter_lag1")).alias("meter_diff_1"),
-            (v - F.col(f"meter_lag{ROLL_ROWS}")).alias(f"meter_diff_{ROLL_ROWS}"),
-            C.rolling_zscore(v, f"meter_roll_mean_{ROLL_ROWS}", f"meter_roll_std_{ROLL_ROWS}").alias(
-                f"meter_zscore_{ROLL_ROWS}"
-            ),
-        )
-
-    return over_series(df, [node], order, ROLL_ROWS, build, max_rows, hot=hot).drop(POS)
+        added = columns(Window.partitionBy(*parts).orderBy(*order))
+        return rows.select("*", *[c.alias(name) for name, c in added.items()])
+
+    return over_series(df, [node], order, history, build, max_rows, hot=hot).drop(POS)
+
+
+def meter_features(
+    df: DataFrame,
+    node: str = "building_id",
+    order: Sequence[str] = ("timestamp",),
+    value: str = "meter_reading",
+    max_rows: int = MAX_GROUP_ROWS,
+    hot: DataFrame | None | str = CHECK,
+) -> DataFrame:
+    """Seven lag and rolling features of ``value``."""
+    v, n = F.col(value), ROLL_ROWS
+
+    def columns(series: WindowSpec) -> dict[str, Column]:
+        return {
+            "meter_lag1": lag_rows(v, 1, series),
+            f"meter_lag{n}": lag_rows(v, n, series),
+            f"meter_roll_mean_{n}": rolling_mean(v, n, series),
+            f"meter_roll_std_{n}": rolling_std(v, n, series),
+        }
+
+    wide = series_columns(df, node, order, n, columns, max_rows, hot)
+    return wide.select(
+        "*",
+        (v - F.col("meter_lag1")).alias("meter_diff_1"),
+        (v - F.col(f"meter_lag{n}")).alias(f"meter_diff_{n}"),
+        C.rolling_zscore(v, f"meter_roll_mean_{n}", f"meter_roll_std_{n}").alias(f"meter_zscore_{n}"),
+    )
 
 
 def one_hot_fixed(df: DataFrame, col: str, values: Sequence[str] = tuple(PRIMARY_USES)) -> DataFrame:

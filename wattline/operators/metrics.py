@@ -211,7 +211,9 @@ def threshold_sweep(df: DataFrame, prob: str = "prob", label: str = "y", by: Seq
     return best_threshold(sweep_counts(_buckets(df, prob, label, by), by), by)
 
 
-def _curve(df: DataFrame, prob: str, label: str, by: Sequence[str], sums: Sequence[Column] = ()) -> DataFrame:
+def _curve(
+    df: DataFrame, prob: str, label: str, by: Sequence[str], sums: Sequence[Column] = (), rows: int | None = None
+) -> DataFrame:
     """One line per distinct score with rows and positives at it and ahead of it, and its share of both areas.
 
     Rows collapse to distinct scores before any ordering; the running counts are exact totals over range
@@ -220,7 +222,7 @@ def _curve(df: DataFrame, prob: str, label: str, by: Sequence[str], sums: Sequen
     distinct = df.groupBy(*by, prob).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"), *sums
     )
-    lines = running_totals(distinct, by, [F.desc(prob)], ["n", "pos"])
+    lines = running_totals(distinct, by, [F.desc(prob)], ["n", "pos"], rows)
     n, pos, ahead_n, ahead_pos = (F.col(c) for c in ("n", "pos", "ahead_n", "ahead_pos"))
     return lines.withColumn("_ap", pos * ((ahead_pos + pos) / (ahead_n + n))).withColumn(
         "_auc", (n - pos) * (ahead_pos + pos / F.lit(2.0))
@@ -244,18 +246,19 @@ def score_areas(df: DataFrame, prob: str = "prob", label: str = "y", by: Sequenc
 
 def evaluate_scores(
     df: DataFrame, logit: str = "logit", prob: str = "prob", label: str = "y", by: Sequence[str] = (),
-    cap: float | None = None,
+    cap: float | None = None, rows: int | None = None,
 ) -> DataFrame:
     """Loss, best F1 and threshold, both areas and counts per group, from one pass over the scores.
 
-    Everything after the distinct scores is sums over buckets of them.
+    Everything after the distinct scores is sums over buckets of them.  ``rows`` is the number of scored
+    rows, where the caller knows it.
     """
     by = list(by)
     positive, row = F.col(label) == 1, C.bce_row(logit, label)
     lines = _curve(df, prob, label, by, [
         F.sum(F.when(positive, row).otherwise(0.0)).alias("_loss1"),
         F.sum(F.when(~positive, row).otherwise(0.0)).alias("_loss0"),
-    ])
+    ], rows)
     extra = ["_ap", "_auc", "_loss1", "_loss0"]
     buckets = lines.groupBy(*by, C.sweep_bucket(prob).alias("i")).agg(*[F.sum(c).alias(c) for c in ("n", "pos", *extra)])
     out = best_threshold(sweep_counts(buckets, by, extra), by, ["total", "positives", *extra])

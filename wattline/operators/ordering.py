@@ -40,13 +40,17 @@ def range_slices(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: Sequence[str]
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: Sequence[str], rows: int | None = None
 ) -> DataFrame:
     """Add ``ahead_<v>``: exact total of ``v`` over the rows of the same ``by`` group that come first.
 
-    Totals per (group, slice) are a handful of rows; only those are scanned in sequence.
+    Totals per (group, slice) are a handful of rows; only those are scanned in sequence.  If the caller
+    knows that there are at most ``rows`` rows and that is few, a plain window does.
     """
     by = list(by)
+    if rows is not None and rows <= MAX_GROUP_ROWS:
+        ahead = Window.partitionBy(*by).orderBy(*_asc(order)).rowsBetween(*AHEAD)
+        return df.select("*", *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"ahead_{v}") for v in values])
     sliced = range_slices(df, [*by, *order])
     sums = sliced.groupBy(*by, SLICE).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(*AHEAD)
@@ -105,8 +109,8 @@ def over_series(
     ``build(rows, parts)`` gets rows with a 0-based position ``POS`` and must partition its windows and
     groups by ``parts``; its output keeps ``parts`` and the ``POS`` of the row that owns the result.
     Series of up to ``max_rows`` rows take one exchange by key.  Longer ones are cut by position in
-    slices of at most ``max_rows`` rows (a multiple of ``unit``); a slice also gets the ``history`` rows
-    before it, whose own results belong to the slice before.
+    slices of an eighth of that (a multiple of ``unit``); a slice also gets the ``history`` rows before
+    it, whose own results belong to the slice before.
 
     ``hot`` may name the long series (by some or all columns of ``by``), as found by :func:`hot_groups` on a
     table that holds at least these rows; otherwise the rows are counted here.
@@ -119,7 +123,7 @@ def over_series(
     plain = build(cold.withColumn(POS, (F.row_number().over(first) - 1).cast("bigint")), by)
     if hot is None:
         return plain
-    size = max(unit, max_rows // unit * unit)
+    size = max(unit, max_rows // 8 // unit * unit)
     placed = positions(df.join(hot, hot.columns, "left_semi"), by, order)
     own = F.expr(f"{POS} div {size}")
     spread = placed.withColumn(SLICE, F.explode(F.sequence(own, F.expr(f"({POS} + {history}) div {size}"))))

@@ -85,7 +85,7 @@ def run_experiment(spark: SparkSession, settings: Experiment, run: str = "run")
         ready.train, ready.val, federation.rounds, training.local_epochs, training.learning_rate,
         training.weight_decay, federation.mu, model.pos_weight_cap, start=MODELS[model.name](settings, width),
         fraction=federation.fraction_fit, fraction_evaluate=federation.fraction_evaluate,
-        min_clients=federation.clients, seed=settings.data.seed, run=run,
+        min_clients=federation.clients, seed=settings.data.seed, patience=training.patience, run=run,
         checkpoint=settings.evaluation.checkpoint, config=settings.as_dict(),
     )
 

@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.functions import columns as C
+from wattline.operators import metrics as M
+
 # the functions below travel inside the tasks, so executors need no installed copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -146,26 +150,66 @@ def step(
     return unflat(w * (1.0 - lr * decay) - lr * grad, weights)
 
 
+@dataclass
+class Fit:
+    """What a client returns: weights, its rows, and the results of its passes."""
+
+    weights: Weights
+    rows: int = 0
+    train_loss: float = float("nan")
+    val_f1: float | None = None
+    history: list[dict] = field(default_factory=list)
+
+
 def local_fit(
     rows: DataFrame, start: Weights, clients: Sequence[int], epochs: int = 2, lr: float = 1e-4, decay: float = 1e-4,
-    mu: float = 0.0, pos_weight: Mapping[int, float] | None = None,
-) -> dict[int, tuple[Weights, int, float]]:
-    """All clients start from the same weights and make ``epochs`` passes over their own rows.
-
-    One Spark job per pass serves all clients.  Per client: weights, rows, loss before the last step.
+    mu: float = 0.0, pos_weight: Mapping[int, float] | None = None, val: DataFrame | None = None,
+    val_rows: int | None = None, cap: float | None = None, patience: int = 10,
+) -> dict[int, Fit]:
+    """All clients start from the same weights and make up to ``epochs`` passes over their own rows.
+
+    One Spark job per pass serves all clients.  With ``val`` a second one scores each client's validation
+    rows with its own weights: a client stops after ``patience`` passes without a better F1 and returns the
+    weights of its best pass, while loss and F1 told are those of its last one.
     """
-    models = {int(c): start for c in clients}
-    out: dict[int, tuple[Weights, int, float]] = {}
-    for _ in range(epochs):
-        for c, (grad, loss, n) in gradient_pass(rows, models, pos_weight or {}, shared=False).items():
-            models[c] = step(models[c], grad, lr, decay, mu, start)
-            out[c] = (models[c], n, loss)
+    weights = {int(c): start for c in clients}
+    out = {c: Fit(start) for c in weights}
+    running, best = set(weights), dict.fromkeys(weights, (-1.0, 0))
+    for epoch in range(1, epochs + 1):
+        own = {c: weights[c] for c in sorted(running)}
+        mine = rows if len(own) == len(clients) else rows.where(F.col("client_id").isin(list(own)))
+        for c, (grad, loss, n) in gradient_pass(mine, own, pos_weight or {}, shared=False).items():
+            weights[c] = step(weights[c], grad, lr, decay, mu, start)
+            out[c].rows, out[c].train_loss = n, loss
+            if val is None:
+                out[c].weights = weights[c]
+        if val is None:
+            continue
+        own = {c: weights[c] for c in sorted(running)}
+        shown = val.where(F.col("client_id").isin(list(own)))
+        scores = score(shown, own, ["client_id", "y"], shared=False)
+        for r in M.evaluate_scores(scores, by=["client_id"], cap=cap, rows=val_rows).collect():
+            c = r["client_id"]
+            out[c].val_f1 = r["best_f1"]
+            out[c].history.append(
+                {"epoch": epoch, "train_loss": out[c].train_loss, "val_loss": r["loss"], "val_f1": r["best_f1"],
+                 "best_thresh": r["best_threshold"], "pr_auc": r["pr_auc"]}
+            )
+            if r["best_f1"] > best[c][0]:
+                best[c], out[c].weights = (r["best_f1"], epoch), weights[c]
+        for c in own:
+            if not out[c].history:  # nothing to validate on: the last weights stand
+                out[c].weights = weights[c]
+            elif epoch - best[c][1] >= patience:
+                running.discard(c)
+        if not running:
+            break
     return out
 
 
-def weight_rows(spark, fits: Mapping[int, tuple[Weights, int, float]], round_no: int) -> DataFrame:
+def weight_rows(spark, fits: Mapping[int, Fit], round_no: int) -> DataFrame:
     """Client results as a table (round, client_id, num_examples, w)."""
-    rows = [(round_no, c, n, [float(v) for v in flat(w)]) for c, (w, n, _) in sorted(fits.items())]
+    rows = [(round_no, c, f.rows, [float(v) for v in flat(f.weights)]) for c, f in sorted(fits.items()) if f.rows]
     return spark.createDataFrame(rows, "round int, client_id int, num_examples bigint, w array<double>")
 
 
@@ -176,11 +220,16 @@ def average_weights(updates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return long.groupBy(*by, "pos").agg((F.sum(n * F.col("value")) / F.sum(n)).alias("value"))
 
 
-def score(rows: DataFrame, weights: Weights | Mapping[int, Weights], keep: Sequence[str]) -> DataFrame:
-    """Add ``logit`` and ``prob``.  With several models every row is scored by each, named in ``model``."""
+def score(
+    rows: DataFrame, weights: Weights | Mapping[int, Weights], keep: Sequence[str], shared: bool = True
+) -> DataFrame:
+    """Add ``logit`` and ``prob``.
+
+    With several models every row is scored by each, named in ``model``; or, not ``shared``, only by the
+    model of its ``client_id``.
+    """
     many = isinstance(weights, Mapping)
-    models = dict(weights) if many else {0: weights}
-    sent = rows.sparkSession.sparkContext.broadcast(models)
+    sent = rows.sparkSession.sparkContext.broadcast(dict(weights) if many else {0: weights})
     kept = rows.select(*keep).schema
     extra = [T.StructField("model", T.IntegerType()), T.StructField("logit", T.DoubleType())]
 
@@ -189,19 +238,25 @@ def score(rows: DataFrame, weights: Weights | Mapping[int, Weights], keep: Seque
             if batch.num_rows == 0:
                 continue
             x = _matrix(batch.column("x"))
-            for m, w in sent.value.items():
-                logit = _activations(w, x)[-1][:, 0]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k) for k in keep], pa.array(np.full(len(x), m), pa.int32()), pa.array(logit)],
-                    names=[*keep, "model", "logit"],
-                )
-
-    cols = [*keep, *(["x"] if "x" not in keep else [])]
-    out = rows.select(*cols).mapInArrow(run, T.StructType([*kept.fields, *extra]))
-    out = out.withColumn("prob", 1.0 / (1.0 + F.exp(-F.col("logit"))))
-    return out if many else out.drop("model")
-
+            columns = [batch.column(k) for k in keep]
+            names = [*keep, "model", "logit"]
+            if shared:
+                for m, w in sent.value.items():
+                    logit = _activations(w, x)[-1][:, 0]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(np.full(len(x), m), pa.int32()), pa.array(logit)], names=names
+                    )
+                continue
+            owner = batch.column("client_id").to_numpy(zero_copy_only=False)
+            logit = np.empty(len(x))
+            for m in np.unique(owner).tolist():
+                mine = owner == m
+                logit[mine] = _activations(sent.value[m], x[mine])[-1][:, 0]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(owner, pa.int32()), pa.array(logit)], names=names
+            )
 
-def flatten_window(x: str | Column = "x") -> Column:
-    """Window of feature rows as one flat vector, row after row."""
-    return F.flatten(x)
+    cols = [*keep, *(c for c in (["x"] if shared else ["x", "client_id"]) if c not in keep)]
+    out = rows.select(*cols).mapInArrow(run, T.StructType([*kept.fields, *extra]))
+    out = out.withColumn("prob", C.sigmoid("logit"))
+    return out if many and shared else out.drop("model")

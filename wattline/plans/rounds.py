@@ -18,6 +18,10 @@ from wattline.plans.fitting import Weights, average_weights, init_weights, local
 from wattline.sources.stores import save_checkpoint
 
 RESULTS = "round int, client_id int, num_examples bigint, metrics map<string,double>"
+EPOCHS = (
+    "round int, client_id int, epoch int, train_loss double, val_loss double, val_f1 double, best_thresh double, "
+    "pr_auc double"
+)
 
 
 @dataclass
@@ -26,13 +30,14 @@ class Federated:
     fit_results: DataFrame
     eval_results: DataFrame
     history: DataFrame
+    epochs: DataFrame
     threshold: float
     metrics: dict[str, float] = field(default_factory=dict)
 
 
-def evaluate_round(scores: DataFrame, cap: float | None = None) -> DataFrame:
+def evaluate_round(scores: DataFrame, cap: float | None = None, rows: int | None = None) -> DataFrame:
     """Client results of one evaluation, named as they are averaged."""
-    return M.evaluate_scores(scores, by=["client_id"], cap=cap).select(
+    return M.evaluate_scores(scores, by=["client_id"], cap=cap, rows=rows).select(
         "client_id", F.col("n").alias("num_examples"), "loss",
         F.create_map(
             F.lit("f1"), F.col("best_f1"), F.lit("pr_auc"), F.col("pr_auc"), F.lit("threshold"), F.col("best_threshold")
@@ -75,10 +80,11 @@ def chosen_clients(spark, clients: Sequence[int], fraction: float, least: int, r
 def federated_rounds(
     train: DataFrame, val: DataFrame, rounds: int = 2, epochs: int = 2, lr: float = 1e-4, decay: float = 1e-4,
     mu: float = 0.0, cap: float | None = 10.0, hidden: Sequence[int] = (), start: Weights | None = None,
-    fraction: float = 1.0, fraction_evaluate: float = 1.0, min_clients: int | None = None, seed: int = 42, run: str = "run",
+    fraction: float = 1.0, fraction_evaluate: float = 1.0, min_clients: int | None = None, seed: int = 42, patience: int = 10, run: str = "run",
     checkpoint: str | None = None, config: Mapping | None = None,
 ) -> Federated:
-    """``rounds`` times: local fits, average, evaluation of the average on each client's validation rows.
+    """``rounds`` times: local fits with early stopping, average, evaluation of the average on each client's
+    validation rows.
 
     ``train`` and ``val`` have client_id, x, y.  They are kept in memory and on disk, since each pass reads
     them again; a lost executor only costs its share of the recomputation.  Weights travel as broadcast
@@ -95,22 +101,25 @@ def federated_rounds(
         least = len(clients) if min_clients is None else min_clients
         if start is None:
             start = init_weights(train.select(F.size("x")).first()[0], hidden, seed)
-        weights, fit_rows, eval_rows = start, [], []
+        val_rows = val.count()
+        weights, fit_rows, eval_rows, epoch_rows = start, [], [], []
         for r in range(1, rounds + 1):
             taking = chosen_clients(spark, clients, fraction, least, r, seed)
             rows = train if len(taking) == len(clients) else train.where(F.col("client_id").isin(taking))
-            fits = local_fit(rows, weights, taking, epochs, lr, decay, mu, weights_of)
+            fits = local_fit(
+                rows, weights, taking, epochs, lr, decay, mu, weights_of, val, val_rows, cap, patience
+            )
             mean = average_weights(weight_rows(spark, fits, r)).toPandas().sort_values("pos")
             weights = unflat(mean["value"].to_numpy(), start)
             asked = chosen_clients(spark, clients, fraction_evaluate, least, r, seed + 1)
             shown = val if len(asked) == len(clients) else val.where(F.col("client_id").isin(asked))
-            found = evaluate_round(score(shown, weights, ["client_id", "y"]), cap).collect()
-            scored = {e["client_id"]: e["metrics"] for e in found}
-            for c, (w, n, loss) in sorted(fits.items()):
-                told = {"train_loss": loss, "num_examples": float(n), "input_dim": float(start[0].shape[0])}
-                if c in scored:
-                    told["val_f1"] = scored[c]["f1"]
-                fit_rows.append((r, c, n, told))
+            found = evaluate_round(score(shown, weights, ["client_id", "y"]), cap, val_rows).collect()
+            for c, f in sorted(fits.items()):
+                told = {"train_loss": f.train_loss, "num_examples": float(f.rows), "input_dim": float(start[0].shape[0])}
+                if f.val_f1 is not None:
+                    told["val_f1"] = f.val_f1
+                fit_rows.append((r, c, f.rows, told))
+                epoch_rows += [(r, c, *h.values()) for h in f.history]
             eval_rows += [(r, e["client_id"], e["num_examples"], e["metrics"]) for e in found]
         fit_results = spark.createDataFrame(fit_rows, RESULTS)
         eval_results = spark.createDataFrame(eval_rows, RESULTS)
@@ -118,7 +127,8 @@ def federated_rounds(
         threshold, means = last["threshold"] or DEFAULT_THRESHOLD, last["metrics"] or {}
         if checkpoint:
             save_checkpoint(spark, checkpoint, run, rounds, weights, config, threshold, means)
-        return Federated(weights, fit_results, eval_results, metric_history(eval_results), threshold, means)
+        return Federated(weights, fit_results, eval_results, metric_history(eval_results),
+                         spark.createDataFrame(epoch_rows, EPOCHS), threshold, means)
     finally:
         train.unpersist()
         val.unpersist()

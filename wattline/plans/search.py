@@ -68,13 +68,13 @@ def fit_trials(
         caps = {i: min(raw, s["pos_weight_cap"]) for i, s in enumerate(settings)}
         best = {i: (0.0, DEFAULT_THRESHOLD, 0) for i in models}
         reports: list[tuple] = []
-        running = set(models)
+        running, val_rows = set(models), val.count()
         for epoch in range(1, epochs + 1):
             live = {i: models[i] for i in sorted(running)}
             for i, (grad, _, _) in gradient_pass(train, live, caps, shared=True).items():
                 models[i] = step(models[i], grad, settings[i]["lr"], settings[i]["weight_decay"])
             scores = score(val, {i: models[i] for i in sorted(running)}, ["y"])
-            found = M.evaluate_scores(scores, by=["model"]).collect()
+            found = M.evaluate_scores(scores, by=["model"], rows=val_rows * len(running)).collect()
             areas = {r["model"]: r["pr_auc"] for r in found}
             cuts = {r["model"]: r["best_threshold"] for r in found}
             for i in sorted(running):

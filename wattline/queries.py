@@ -940,9 +940,9 @@ def mlp_rounds(spark, sf):
     rows = vectors(spark, sf)
     like = T.init_weights(64, [HIDDEN])
     start = T.unflat(0.3 * np.sin(np.arange(T.flat(like).size) + 1.0), like)
-    done = R.federated_rounds(rows, rows, 1, 2, LR, 0.0, 0.0, 10.0, start=start)
-    flat = [(i, float(v)) for i, v in enumerate(T.flat(done.weights))]
-    return spark.createDataFrame(flat, "pos int, w double").withColumn("w", r6("w"))
+    weight_of = R.client_weights(rows, 10.0)
+    fits = T.local_fit(rows, start, sorted(weight_of), 2, LR, 0.0, 0.0, weight_of)
+    return T.average_weights(T.weight_rows(spark, fits, 1)).select("pos", r6("value").alias("w"))
 
 
 SETTINGS = [
