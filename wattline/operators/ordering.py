@@ -90,8 +90,11 @@ def hot_groups(df: DataFrame, by: Sequence[str], max_rows: int = MAX_GROUP_ROWS)
 
     One scan of the key columns with map-side counts decides.
     """
-    large = df.groupBy(*by).count().where(F.col("count") > max_rows).select(*by)
-    return None if large.isEmpty() else bounded(large)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n")).first()[0]
+    if largest is None or largest <= max_rows:
+        return None
+    return bounded(counts.where(F.col("_n") > max_rows).select(*by))
 
 
 def over_series(

@@ -38,7 +38,7 @@ def time_cutoffs(df: DataFrame, ts: str, ratio: float, by: Sequence[str] = ()) -
             .where((F.col("at") >= F.col("ahead")) & (F.col("at") < F.col("ahead") + F.col("n")))
             .select(*by, "low", (F.col("at") - F.col("ahead")).alias("place"), "n")
         )
-        found = hits.take(MAX_BROADCAST_ROWS + 1)
+        found = hits.take(MAX_BROADCAST_ROWS + 1) if by else hits.collect()  # one row without groups
         if not found:
             raise ValueError("no row at that ratio: the table is empty or the ratio is not below 1")
         if len(found) <= MAX_BROADCAST_ROWS:

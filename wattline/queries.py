@@ -26,7 +26,7 @@ from wattline.plans import rounds as R
 from wattline.plans.preparation import as_vectors, prepare_readings
 from wattline.plans.search import fit_trials, search
 from wattline.operators.ordering import CHECK, hot_groups
-from wattline.session import shared_folder, stored
+from wattline.session import shared_folder, stored, tune
 from wattline.sources import readings as S
 from wattline.sources import stores as ST
 
@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tune(spark)
     number = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return S.read_readings(spark, f"{sf}/events.parquet", EVENTS, "value").select(
         F.col("user_id").alias("node_id"),
@@ -159,13 +159,17 @@ def label_encode_many(spark, sf):
     return P.label_encode(docs, "digest", "code").select("doc_id", "code")
 
 
+NARROWED = ["coerced", "finite", "flag"]
+
+
 @query(
-    f"""WITH {R_SQL} SELECT row_key, anomaly AS y,
-    CASE WHEN primary_use = 'error' THEN NULL ELSE meter_reading END AS coerced,
-    CASE WHEN primary_use IN ('click', 'view') THEN 0e0 ELSE meter_reading END AS finite,
-    CASE WHEN meter_reading > 100 THEN 1e0 ELSE 0e0 END AS flag,
-    {q6("CAST(CAST(meter_reading AS FLOAT) AS DOUBLE)")} AS narrow, CAST(node_id AS INTEGER) AS node_id
-    FROM r WHERE NOT (primary_use = 'signup' AND anomaly = 1)"""
+    f"""WITH {R_SQL}, d AS (SELECT row_key, node_id, anomaly AS y,
+      CASE WHEN primary_use = 'error' THEN NULL ELSE meter_reading END AS coerced,
+      CASE WHEN primary_use IN ('click', 'view') THEN 0e0 ELSE meter_reading END AS finite,
+      CASE WHEN meter_reading > 100 THEN 1e0 ELSE 0e0 END AS flag
+    FROM r WHERE NOT (primary_use = 'signup' AND anomaly = 1))
+    SELECT CAST(row_key AS INTEGER) AS row_key, CAST(node_id AS INTEGER) AS node_id, y,
+    {", ".join(f"{q6(f'CAST(CAST({c} AS FLOAT) AS DOUBLE)', 4)} AS {c}" for c in NARROWED)} FROM d"""
 )
 def clean_values(spark, sf):
     """Bad numbers, non-finite values, padded labels, missing targets, flags and wide types in one table."""
@@ -173,20 +177,29 @@ def clean_values(spark, sf):
     label = F.when(F.col("anomaly") == 0, " Natural").when(use != "signup", "Attack ")
     raw = readings(spark, sf).select(
         "row_key",
+        NODE,
         label.alias("marker"),
         F.when(use == "error", "n/a").otherwise(v.cast("string")).alias("coerced"),
         F.when(use == "click", float("nan")).when(use == "view", float("inf")).otherwise(v).alias("finite"),
         (v > 100).alias("flag"),
-        v.alias("narrow"),
-        NODE,
     )
     whole = P.drop_missing_target(P.coerce_numeric(raw, ["coerced"]), "marker")
     coded = P.map_labels(whole, "marker", {"Natural": 0, "Attack": 1}, "y").drop("marker")
-    clean = P.zero_nonfinite(P.bool_to_float(coded), ["finite"])
-    small = P.narrow_numeric(clean.select("row_key", "narrow", NODE))
-    return clean.select("row_key", "y", "coerced", "finite", F.col("flag").cast("double").alias("flag"),
-                        r6(F.col("narrow").cast("float").cast("double")).alias("narrow"),
-                        F.col(NODE).cast(small.schema[NODE].dataType).alias(NODE))
+    small = P.narrow_numeric(P.zero_nonfinite(P.bool_to_float(coded), ["finite"]))
+    return small.select("row_key", NODE, "y", *[r6(F.col(c).cast("double"), 4).alias(c) for c in NARROWED])
+
+
+VECTOR = ["prob", "anomaly", "meter_reading", "row_key"]
+
+
+@query(f"""WITH {R_SQL} SELECT row_key, 4 AS n, {q6(" + ".join(f"{i + 1} * CAST(CAST({c} AS FLOAT) AS DOUBLE)" for i, c in enumerate(VECTOR)), 4)} AS ordered
+  FROM r WHERE prob IS NOT NULL AND meter_reading IS NOT NULL""")
+def assemble_features(spark, sf):
+    """Rows without nulls as feature arrays in a fixed order."""
+    whole = P.drop_null_rows(readings(spark, sf).withColumn("row", F.col("row_key")))
+    out = P.assemble_features(whole, VECTOR, ["row"])
+    placed = F.aggregate(F.transform("x", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return out.select(F.col("row").alias("row_key"), F.size("x").alias("n"), r6(placed, 4).alias("ordered"))
 
 
 @query(f"WITH {R_SQL} SELECT row_key, node_id, meter_reading FROM r ORDER BY row_key LIMIT 4900 OFFSET 100")
@@ -302,7 +315,7 @@ LINES = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedpri
 
 
 def supplier_lines(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tune(spark)
     schema = (
         "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
         "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
@@ -809,11 +822,11 @@ VEC_SQL = """v AS (SELECT vec_id, CASE WHEN label > 4 THEN 1e0 ELSE 0e0 END AS y
   w0 AS (SELECT c, unnest(range(0, 65)) AS pos, 0e0 AS w FROM pw)"""
 
 
-def pass_sql(before: str, after: str) -> str:
-    """One gradient pass of every client: CTE ``after`` from CTE ``before`` (c, pos, w)."""
+def pass_sql(before: str, after: str, mu: float = 0.0) -> str:
+    """One gradient pass of every client from zero start weights: CTE ``after`` from CTE ``before`` (c, pos, w)."""
     return f"""z_{after} AS (SELECT vec_id, x.c, y, 1 / (1 + exp(-sum(w * e))) AS p FROM x JOIN {before} USING (c, pos) GROUP BY vec_id, x.c, y),
   b_{after} AS (SELECT vec_id, (1 - y) * p - pw * y * (1 - p) AS b FROM z_{after} JOIN pw USING (c)),
-  {after} AS (SELECT c, pos, max(w) - {LR}e0 * avg(b * e) AS w FROM x JOIN b_{after} USING (vec_id) JOIN {before} USING (c, pos) GROUP BY c, pos)"""
+  {after} AS (SELECT c, pos, max(w) - {LR}e0 * (avg(b * e) + {mu}e0 * max(w)) AS w FROM x JOIN b_{after} USING (vec_id) JOIN {before} USING (c, pos) GROUP BY c, pos)"""
 
 
 def mean_sql(before: str, after: str) -> str:
@@ -831,6 +844,16 @@ def local_fit(spark, sf):
     return out.withColumn("w", r6("w"))
 
 
+@query(f"""WITH {VEC_SQL}, {pass_sql("w0", "w1")}, {pass_sql("w1", "w2", 0.4)}, {pass_sql("w2", "w3", 0.4)}, {mean_sql("w3", "wa")}
+  SELECT CAST(pos AS INTEGER) AS pos, {q6("w")} AS w FROM m_wa""")
+def proximal_fit(spark, sf):
+    """Average after three passes with a pull towards the common start weights (zero)."""
+    rows = vectors(spark, sf)
+    weight_of = R.client_weights(rows, 10.0)
+    fits = T.local_fit(rows, T.init_weights(64), sorted(weight_of), 3, LR, 0.0, 0.4, weight_of)
+    return T.average_weights(T.weight_rows(spark, fits, 1)).select("pos", r6("value").alias("w"))
+
+
 @query(f"""WITH {VEC_SQL}, {pass_sql("w0", "w1")}, {mean_sql("w1", "a1")}, {pass_sql("a1", "w2")}, {mean_sql("w2", "a2")}
   SELECT CAST(pos AS INTEGER) AS pos, {q6("w")} AS w FROM m_a2""")
 def federated_rounds(spark, sf):

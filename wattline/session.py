@@ -7,8 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULTS = {
+# settings that may change while a session runs
+RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
+    # windows collect rows that are already sorted by series: a sort-based aggregate passes over them, while
+    # the hash-based one gives up after 128 groups and sorts everything again
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
+}
+DEFAULTS = {
+    **RUNTIME,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -27,6 +34,13 @@ def build_session(app: str = "wattline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session built elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; only a local master may fall back to a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
