@@ -54,14 +54,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: for tables that several later
-    passes scan, each needing other columns.  The folder belongs to the caller's run; remove it with the run."""
+    passes scan, each needing other columns.  :func:`clear_stored` removes them at the end of a run."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that :func:`stored` wrote in this process; returns how many."""
+    context, removed = spark.sparkContext, 0
+    while _STORED:
+        path = context._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        removed += bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that later reads all see the same rows and partitions."""
     shared_folder(df.sparkSession)
