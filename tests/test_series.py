@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattline.operators.features import meter_features
-from wattline.operators.ordering import positions, running_totals
+from wattline.operators.ordering import hot_groups, positions, running_totals
 from wattline.operators.scaling import node_window_stats, standardize_per_node
 from wattline.operators.windows import instance_norm, stride_windows, window_stats
 from wattline.plans.preparation import prepare_readings
@@ -67,6 +67,17 @@ def test_stride_windows(df, table, window, stride, max_rows):
         assert r["label_ts"] > r["start_ts"]
 
 
+def test_hot_nodes_found_on_wider_rows(df, table):
+    """Long series named by node serve groups by (split, node) as well."""
+    sides = df.withColumn("split", F.when(F.col("key") % 2 == 0, "a").otherwise("b"))
+    args = (["split", "node"], ["ts", "key"], ["v"], "y", 6, 3)
+    hot = hot_groups(df, ["node"], 50)
+    assert sorted(r[0] for r in hot.collect()) == [1, 6]
+    got = stride_windows(sides, *args, max_rows=50, hot=hot)
+    want = stride_windows(sides, *args, hot=None)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
 def test_window_edges(df):
     """6, 7 and 12 rows with window 6, stride 3: none, one, two windows."""
     got = stride_windows(df.where("node in (3, 4, 5)"), ["node"], ["ts", "key"], ["v"], "y", 6, 3)

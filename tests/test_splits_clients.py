@@ -99,6 +99,11 @@ def test_rows_in_near_equal_runs(spark, n, k):
         K.assign_rows_random(spark.range(9), "id", 3, mode="other")
 
 
+def test_null_node_is_kept(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (None,)], "node int")
+    assert K.assign_nodes_random(df, "node", 2).count() == 4
+
+
 def greedy(counts, k):
     loads = [0] * k
     for n in sorted(counts, reverse=True):

@@ -45,7 +45,7 @@ def running_totals(
     """Add ``ahead_<v>``: exact total of ``v`` over the rows of the same ``by`` group that come first.
 
     Totals per (group, slice) are a handful of rows; only those are scanned in sequence.  If the caller
-    knows that there are at most ``rows`` rows and that is few, a plain window does.
+    knows that there are at most ``rows`` rows and that is few, a plain window does.  Group keys must not be null.
     """
     by = list(by)
     if rows is not None and rows <= MAX_GROUP_ROWS:
@@ -141,10 +141,13 @@ BUCKET_DIGITS = 4
 
 
 def hash_token(seed: Column | int | str, key: str | Column) -> Column:
-    """Pseudo-random sort key that every engine computes alike; ``key`` must be unique per ranked row."""
+    """Pseudo-random sort key that every engine computes alike; ``key`` must be unique per ranked row.
+
+    A null key counts as one more key, so that its rows are not lost.
+    """
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(seed.cast("string"), F.lit(":"), key.cast("string")))
+    return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))))
 
 
 def _bucket_totals(tokens: DataFrame, by: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ RUNTIME = {
 }
 DEFAULTS = {
     **RUNTIME,
+    # recording the Python call site of every column slows the building of plans; turn on to debug
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
