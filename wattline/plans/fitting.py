@@ -75,14 +75,36 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-PARTIALS = T.StructType(
-    [
-        T.StructField("model", T.IntegerType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("loss", T.DoubleType()),
-        T.StructField("grad", T.ArrayType(T.DoubleType())),
-    ]
-)
+SUMS = "model int, chunk int, values array<double>"
+CHUNK = 4096
+
+
+def _chunk_batch(rows: Sequence[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for _, _, v in rows])])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([m for m, _, _ in rows], pa.int32()),
+            pa.array([k for _, k, _ in rows], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([v for _, _, v in rows]))),
+        ],
+        names=["model", "chunk", "values"],
+    )
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running sum of the pieces with the same (model, chunk); holds one piece per key, not the rows."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        ends = batch.column("values").offsets.to_numpy()
+        values = batch.column("values").values.to_numpy()
+        keys = zip(batch.column("model").to_pylist(), batch.column("chunk").to_pylist())
+        for key, i, j in zip(keys, ends[:-1], ends[1:]):
+            if key in sums:
+                sums[key] += values[i:j]
+            else:
+                sums[key] = values[i:j].copy()
+    for (m, k), v in sums.items():
+        yield _chunk_batch([(m, k, v)])
 
 
 def gradient_pass(
@@ -91,16 +113,15 @@ def gradient_pass(
     """One job over all rows: per model (mean gradient, mean loss, rows).
 
     ``shared``: every model sees every row (search); otherwise a row belongs to the model of its
-    ``client_id`` (local fits).  Each task adds up its rows per model and emits one vector per model; the
-    vectors are summed by position in Spark.  So clients may have any number of rows, and the driver gets
-    as many numbers as the models have weights.
+    ``client_id`` (local fits).  Each task adds up its rows per model and emits that vector in pieces, which
+    are exchanged by (model, piece) and added up as they stream in.  So clients may have any number of rows,
+    and the driver gets as many numbers as the models have weights.
     """
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast((dict(models), dict(pos_weight)))
+    sent = rows.sparkSession.sparkContext.broadcast((dict(models), dict(pos_weight)))
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = sent.value
-        sums: dict[int, list] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -110,34 +131,21 @@ def gradient_pass(
             for m in known if shared else np.unique(owner).tolist():
                 mine = slice(None) if shared else owner == m
                 grad, loss = _gradient(known[m], x[mine], y[mine], weight.get(m, 1.0))
-                have = sums.setdefault(m, [0, 0.0, 0.0])
-                have[0], have[1], have[2] = have[0] + len(y[mine]), have[1] + loss, have[2] + grad
-        if sums:
-            ids = sorted(sums)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int32()),
-                    pa.array([sums[m][0] for m in ids], pa.int64()),
-                    pa.array([sums[m][1] for m in ids], pa.float64()),
-                    pa.array([sums[m][2] for m in ids], pa.list_(pa.float64())),
-                ],
-                names=["model", "n", "loss", "grad"],
-            )
+                # loss and row count ride along behind the gradient
+                vector = np.concatenate([grad, [loss, len(y[mine])]])
+                sums[m] = sums[m] + vector if m in sums else vector
+        for m, v in sums.items():
+            yield _chunk_batch([(m, k, v[i : i + CHUNK]) for k, i in enumerate(range(0, len(v), CHUNK))])
 
     cols = ["x", "y"] if shared else ["client_id", "x", "y"]
-    parts = rows.select(*cols).mapInArrow(partials, PARTIALS)
-    # loss and row count ride along as two more positions, so one exchange sums everything
-    long = parts.select(
-        "model",
-        F.posexplode(F.concat("grad", F.array(F.col("loss"), F.col("n").cast("double")))).alias("pos", "value"),
-    )
-    sums = long.groupBy("model", "pos").agg(F.sum("value").alias("value"))
-    got: dict[int, np.ndarray] = {}
-    for m, pos, value in sums.toPandas().itertuples(index=False):
-        size = flat(models[m]).size + 2
-        got.setdefault(int(m), np.zeros(size))[int(pos)] = value
+    parts = rows.select(*cols).mapInArrow(partials, SUMS)
+    found = parts.repartition("model", "chunk").mapInArrow(_add_up, SUMS).toArrow()
     sent.unpersist()
-    return {m: (v[:-2] / v[-1], float(v[-2] / v[-1]), int(v[-1])) for m, v in got.items()}
+    vectors: dict[int, np.ndarray] = {}
+    for m, k, v in zip(*(found.column(c).to_pylist() for c in ("model", "chunk")), found.column("values")):
+        whole = vectors.setdefault(m, np.zeros(flat(models[m]).size + 2))
+        whole[k * CHUNK : k * CHUNK + len(v)] = v.values.to_numpy()
+    return {m: (v[:-2] / v[-1], float(v[-2] / v[-1]), int(v[-1])) for m, v in vectors.items()}
 
 
 def step(
@@ -209,8 +217,17 @@ def local_fit(
 
 def weight_rows(spark, fits: Mapping[int, Fit], round_no: int) -> DataFrame:
     """Client results as a table (round, client_id, num_examples, w)."""
-    rows = [(round_no, c, f.rows, [float(v) for v in flat(f.weights)]) for c, f in sorted(fits.items()) if f.rows]
-    return spark.createDataFrame(rows, "round int, client_id int, num_examples bigint, w array<double>")
+    told = [(c, f.rows, flat(f.weights)) for c, f in sorted(fits.items()) if f.rows]
+    return spark.createDataFrame(
+        pa.table(
+            {
+                "round": pa.array([round_no] * len(told), pa.int32()),
+                "client_id": pa.array([c for c, _, _ in told], pa.int32()),
+                "num_examples": pa.array([n for _, n, _ in told], pa.int64()),
+                "w": pa.array([w for _, _, w in told], pa.list_(pa.float64())),
+            }
+        )
+    )
 
 
 def average_weights(updates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
