@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,102 @@ def op7_near_texts(spark: SparkSession, folder: str) -> DataFrame:
     from wattline.llm.near_texts import near_texts
 
     return near_texts(table(spark, folder, "documents"))
+
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def digest(base: Column) -> Column:
+    """Lower-case hex of the spans ``kind:start:end`` of an array of structs, joined by commas."""
+    return F.sha2(joined(base), 256)
+
+
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def tally(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.secrets import find_secrets
+
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "guess")
+    done = find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", *[tally(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")], digest(base).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), tokenizer(WORD_BPE))
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.quality import fit_ranker, score_measured, text_features
+    from wattline.session import stored
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    measured = stored(text_features(table(spark, folder, "documents")))
+    labels = table(spark, folder, "labels").where(~held_out).select("doc_id", "quality")
+    scored = score_measured(measured, fit_ranker(measured, labels)).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.tokens import token_counts
+
+    return token_counts(table(spark, folder, "documents"), tokenizer(WORD_BPE), 2048)
+
+
+@query
+def op5_personal(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.personal import find_personal, fit_field
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+    return find_personal(docs, fit_field(docs)).select(
+        "doc_id", *[tally(base, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")], digest(base).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+@query
+def op9_segmentations(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.segment import best_segmentations
+
+    return best_segmentations(table(spark, folder, "documents"), tokenizer(PIECE_BPE), 4)
+
+
+@query
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.probing import nearest_vectors
+
+    vectors = table(spark, folder, "embeddings")
+    return nearest_vectors(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op8_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.lattice_pairs import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +70,10 @@ def runs(batches: Iterable[pa.RecordBatch], slot: str) -> Iterator[pa.Table]:
         held.append(table.slice(cuts[-2]))
     if held:
         yield pa.concat_tables(held)
+
+
+def with_text(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches of one struct ``row``, with its field ``text`` as a second column."""
+    for batch in batches:
+        row = batch.column(0)
+        yield pa.RecordBatch.from_arrays([row, pc.struct_field(row, [text]).cast(pa.string())], ["row", "text"])
