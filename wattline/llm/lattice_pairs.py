@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.rows import components, runs
+from wattline.llm.rows import Joined, components, runs
 from wattline.llm.vectors import by_dimension, stacked, usable
 from wattline.llm.words import mix
 from wattline.session import stored
@@ -80,24 +80,6 @@ def _post(batches: Iterable[pa.RecordBatch], tables: int, probes: int, scale: fl
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots, pa.list_(pa.int64()))], ["node", "label", "vector", "copies", "slots"])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that join what was not yet joined: as many as needed to connect the same."""
-    root = {}
-
-    def top(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = top(x), top(y)
-        if p != q:
-            root[p] = q
-            out.append((x, y))
-    return out
-
-
 def met_before(slots: list[np.ndarray], at: np.ndarray) -> np.ndarray:
     """Which pairs of members share a slot below the one they are compared in (``at``, the same for all)."""
     n = len(slots)
@@ -128,7 +110,7 @@ def _compare(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         node, copies, slot, block, low, high = (table.column(c).to_numpy() for c in ("node", "copies", "slot", "block", "low", "high"))
         slots = [np.asarray(s) for s in table.column("slots").to_pylist()]
         counts: dict[int, int] = {}
-        links: list[tuple[int, int]] = []
+        joined = Joined()
         for s in np.unique(slot):  # two slots in one run: only if their hashes collide
             of_slot = np.flatnonzero(slot == s)
             for rows, x in by_dimension(stacked(table.column("vector")).take(pa.array(of_slot))):
@@ -145,7 +127,9 @@ def _compare(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Rec
                     n = both @ copies[rows]
                     for i in np.flatnonzero(n):
                         counts[int(node[rows[i]])] = counts.get(int(node[rows[i]]), 0) + int(n[i])
-                    links += forest(node[rows[a]], node[rows[b]])
+                    for x, y in zip(node[rows[a]].tolist(), node[rows[b]].tolist()):
+                        joined.add(x, y)
+        links = joined.links
         if counts:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*counts, *(a for a, _ in links)], pa.int64()),

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.rows import components, runs
+from wattline.llm.rows import Joined, components, runs
 from wattline.llm.words import Words, mix, pieces, run_hashes
 from wattline.session import stored
 
 POSTED, SIGNATURE = 32, 128
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 4_000_000
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
@@ -106,30 +106,54 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of unlike components in one block pair of one list, each in its first common list only."""
+def _candidates(table: pa.Table, least: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a block pair the later ones it must be compared with: of another component, alike in size
+    and signature, and with this hub as their first common one."""
+    mark, hub = table.column("mark").to_pylist(), table.column("hub").to_pylist()
+    component = np.unique(table.column("component").to_pylist(), return_inverse=True)[1]
+    group = np.unique(hub, return_inverse=True)[1]
+    sig = _bytes(table.column("sig"))
+    n, block, low, high = (table.column(c).to_numpy() for c in ("n", "block", "low", "high"))
+    hubs = [set(x) for x in table.column("hubs").to_pylist()]
+    for i in range(len(mark) - 1):
+        j = np.arange(i + 1, len(mark))
+        ok = (component[j] != component[i]) & (group[j] == group[i])
+        ok &= (low[i] == high[i]) | (block[j] != block[i])
+        ok &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
+        j = j[ok]
+        if len(j):
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
+        j = np.array([x for x in j.tolist() if min(hubs[i] & hubs[x]) == hub[i]], dtype=np.int64)
+        if len(j):
+            yield i, j
+
+
+def _doubtful(batches: Iterable[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Members of a hub's group with at least one candidate: (hub, mark), once for a block pair."""
+    for table in runs(batches, "slot"):
+        some = np.zeros(table.num_rows, dtype=bool)
+        for i, j in _candidates(table, least, percent):
+            some[i] = True
+            some[j] = True
+        if some.any():
+            yield from table.select(["hub", "mark"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def _links(batches: Iterable[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidates confirmed on their full sets; of the links of a block pair, those that are needed to connect the same."""
     for table in runs(batches, "slot"):
-        if table.num_rows < 2:
-            continue
         mark = table.column("mark").to_pylist()
-        component = np.unique(table.column("component").to_pylist(), return_inverse=True)[1]
-        sig = _bytes(table.column("sig"))
-        n = table.column("n").to_numpy()
-        block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
-        prefix = [set(x) for x in table.column("prefix").to_pylist()]
-        key = table.column("key").to_numpy()
-        out: list[tuple[bytes, bytes]] = []
-        for i in range(len(mark) - 1):
-            j = np.arange(i + 1, len(mark))
-            ok = (component[j] != component[i]) & (key[j] == key[i])
-            ok &= (low[i] == high[i]) | (block[j] != block[i])
-            ok &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
-            j = j[ok]
-            if len(j):
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-            out += [(mark[i], mark[x]) for x in j if min(prefix[i] & prefix[x]) == key[i]]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], ["a", "b"])
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
+        size = np.array([len(s) for s in sets])
+        joined = Joined()
+        for i, j in _candidates(table, least, percent):
+            every = np.concatenate([sets[x] for x in j])
+            at = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(size[j]) - size[j])
+            for x in j[100 * both >= percent * (size[i] + size[j] - both)].tolist():
+                joined.add(mark[i], mark[x])
+        if joined.links:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in joined.links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
@@ -142,9 +166,11 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     Both thresholds lie over four standard deviations below the expected matches at ``percent``.
 
     A list may be very long, so not all its pairs are looked at: every node is first compared with the list's
-    most central node (largest sum of list lengths) and the links are contracted to components.  Only pairs of
-    a list that still lie in different components are compared, in blocks of 256 nodes, so no link between
-    components is lost and families of copies cost one comparison a node.
+    hub, its most central node (largest sum of list lengths), and the links are contracted to components.  Then
+    only pairs of different components that share a hub are compared, inside tasks: in blocks of 256 nodes first
+    by signature, then, for the nodes with candidates left, on their full sets.  Nodes that share a list share
+    its hub, so no link between components is lost; what is written grows with the nodes of a family, not
+    with its pairs.
 
     No words or null text: n_shingles 0, component of its own.  A null key has a null component and is kept
     unless a row with a key is in its component.  Rows that share a key are separate rows.
@@ -192,10 +218,8 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
         )
 
     hubs = lists.groupBy("key").agg(F.max(F.struct("weight", "mark"))["mark"].alias("hub"))
-    stars = (
-        lists.join(hubs, "key").where("mark != hub")
-        .select(F.least("mark", "hub").alias("a"), F.greatest("mark", "hub").alias("b")).distinct()
-    )
+    groups = stored(lists.join(hubs, "key").select("mark", "hub").distinct())
+    stars = groups.where("mark != hub").select(F.least("mark", "hub").alias("a"), F.greatest("mark", "hub").alias("b")).distinct()
     left = active.select(F.col("mark").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("s1"))
     right = active.select(F.col("mark").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("s2"))
     stars = (
@@ -205,24 +229,32 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     links = stored(confirmed(stars))
     found = components(links)
 
-    member = active.join(found.withColumnRenamed("node", "mark"), "mark", "left").select(
-        "mark", "n", "sig", "prefix", F.coalesce("component", "mark").alias("component")
-    )
-    member = stored(member.select("*", F.explode("prefix").alias("key")))
-    mixed = member.groupBy("key").agg(F.count("*").alias("length"), F.min("component").alias("p"), F.max("component").alias("q"))
-    mixed = mixed.where("p != q").select("key", F.ceil(F.col("length") / BLOCK).alias("blocks"))
-    dealt = (
-        member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        .withColumn("slot", F.xxhash64("key", "low", "high"))
-        .select("slot", "key", "mark", "n", "sig", "prefix", "component", "block", "low", "high")
+    member = stored(
+        active.select("mark", "n", "sig").join(groups.groupBy("mark").agg(F.sort_array(F.collect_list("hub")).alias("hubs")), "mark")
+        .join(found.withColumnRenamed("node", "mark"), "mark", "left")
+        .select("mark", "n", "sig", "hubs", F.coalesce("component", "mark").alias("component"))
     )
-    rest = (
-        dealt.repartition("slot").sortWithinPartitions("slot")
-        .mapInArrow(lambda b: _blocks(b, most, percent), "a binary, b binary")
-    )
-    more = stored(confirmed(rest))
+
+    def in_blocks(pairs: DataFrame, info: DataFrame) -> DataFrame:
+        """Rows (mark, hub) with their node's columns, for every pair of blocks of a hub whose components differ."""
+        full = pairs.join(info, "mark")
+        mixed = full.groupBy("hub").agg(
+            F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"),
+            F.min("component").alias("p"), F.max("component").alias("q"),
+        )
+        dealt = (
+            full.join(mixed.where("p != q").select("hub", "blocks"), "hub")
+            .withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+            .withColumn("slot", F.xxhash64("hub", "low", "high"))
+        )
+        return dealt.select("slot", "hub", "mark", "n", "sig", "hubs", "component", "block", "low", "high")
+
+    near = in_blocks(groups, member).repartition("slot").sortWithinPartitions("slot")
+    doubtful = stored(near.mapInArrow(lambda b: _doubtful(b, most, percent), "hub binary, mark binary").distinct())
+    rest = in_blocks(doubtful, member).join(sets, "mark").repartition("slot").sortWithinPartitions("slot")
+    more = stored(rest.mapInArrow(lambda b: _links(b, most, percent), "a binary, b binary"))
     if not more.isEmpty():
         found = components(links.union(more))
 

@@ -219,15 +219,22 @@ def _scan(batches: Iterable[pa.RecordBatch], text: str, field: Field, least: flo
 
 
 def _learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each node: rank, features, label, label of the chain and of the skip neighbour before it (-1: none)."""
+    """One row for each node: rank, features, label, label of the chain and of the skip neighbour before it (-1: none).
+
+    The patterns know nothing of a node that only repeats what they found, so such nodes are not learnt from.
+    """
     for batch in pieces(batches, "text"):
         rows = []
         for text in batch.column(0).to_pylist():
             g = graph_of(text, base_spans(text)) if text else Graph([], [], [], [], [])
-            labels = [b if b >= 0 else NONE for b in g.base]
+            unsure = {i for e in g.skip for i in e if g.base[e[0]] >= 0 or g.base[e[1]] >= 0}
+            labels = [b if b >= 0 else -1 if i in unsure else NONE for i, b in enumerate(g.base)]
             chain, skip = dict((b, labels[a]) for a, b in g.chain), dict((b, labels[a]) for a, b in g.skip)
             seed = crc32(text.encode()) if g.spans else 0
-            rows += [(crc32(b"%d %d" % (seed, i)), f, labels[i], chain.get(i, -1), skip.get(i, -1)) for i, f in enumerate(g.features)]
+            rows += [
+                (crc32(b"%d %d" % (seed, i)), f, labels[i], chain.get(i, -1), skip.get(i, -1))
+                for i, f in enumerate(g.features) if labels[i] >= 0
+            ]
         columns = list(zip(*rows)) if rows else [()] * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int32())), *[pa.array(c, pa.int32()) for c in columns[2:]]],
@@ -269,16 +276,16 @@ def field_of(features: list[list[int]], labels: list[int], chain: list[int], ski
                 weights[HASHES, k] = -6.0
         weights[HASHES, NONE] = 0.0
 
-    def ratios(neighbour: list[int], prior: float) -> np.ndarray:
-        """log p(a, b) / (p(a) p(b)) with ``prior`` pseudo-counts for equal labels."""
-        table = np.full((LABELS, LABELS), 0.5) + np.eye(LABELS) * prior
+    def ratios(neighbour: list[int], prior: float, most: float) -> np.ndarray:
+        """log p(a, b) / (p(a) p(b)) with ``prior`` pseudo-counts for equal labels, at most ``most`` either way."""
+        table = np.full((LABELS, LABELS), 0.1) + np.eye(LABELS) * prior
         for a, b in zip(neighbour, labels):
             if a >= 0:
                 table[a, b] += 1
         p = table / table.sum()
-        return np.clip(np.log(p) - np.log(p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)), -3.0, 3.0)
+        return np.clip(np.log(p) - np.log(p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)), -most, most)
 
-    return Field(weights, ratios(chain, 0.5), ratios(skip, 5.0))
+    return Field(weights, ratios(chain, 0.5, 2.0), ratios(skip, 5.0, 5.0))
 
 
 def find_personal(docs: DataFrame, field: Field, text: str = "text", least: float = 0.95) -> DataFrame:
@@ -288,6 +295,6 @@ def find_personal(docs: DataFrame, field: Field, text: str = "text", least: floa
     Base matches are observed labels; message passing carries them to repeated tokens ("+49 30 1234567" and
     later "301234567") and to neighbours.  Null and empty texts have no spans.  No shuffle.
     """
-    kind = T.StructType([T.StructField("row", docs.schema)]).add("spans", "array<struct<kind:string,start:long,end:long,base:boolean>>")
+    kind = T.StructType([T.StructField("row", docs.schema)]).add("spans", T.DataType.fromDDL("array<struct<kind:string,start:long,end:long,base:boolean>>"))
     done = docs.select(F.struct("*").alias("row")).mapInArrow(lambda b: _scan(b, text, field, least), kind)
     return spread(done, docs.columns, ["spans"])

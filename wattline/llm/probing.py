@@ -199,9 +199,10 @@ def nearest_vectors(
     part.  A task holds one block's vectors, and its queries stream past.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a key, take no part;
-    vectors of another dimension than the query's are no candidates.  A repeated key is more than one candidate.
+    vectors of another dimension than the query's are no candidates.  Equal rows are one candidate; other vectors
+    under one key are several.
     """
-    rows = vectors.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
+    rows = vectors.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).distinct()
     place = Window.partitionBy("node").orderBy("id")
     smallest = rows.withColumn("node", F.xxhash64("vector")).withColumn("n", F.row_number().over(place)).where(F.col("n") <= n + 1)
     entries = stored(smallest.groupBy("node").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids")))

@@ -84,7 +84,7 @@ class Ranker:
         return expanded(x, self.mean, self.scale, self.knots)
 
     def chances(self, x: np.ndarray) -> np.ndarray:
-        z = self.slope * (self.expand(x) @ self.weights) + self.shift
+        z = self.slope * (self.expand(x) @ self.weights) + self.shift if len(self.weights) else np.full(len(x), self.shift)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def threshold(self, share: float) -> float:
@@ -117,12 +117,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30, bias:
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 4) -> Ranker:
     """Strengths from ``pairs`` preferences, each a good text over a bad one, drawn evenly from both."""
-    width = x.shape[1] if x.ndim == 2 else 1
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):  # nothing to prefer: the share of good ones is all there is to say
         rate = (len(good) + 1) / (len(good) + len(bad) + 2)
-        zeros = np.zeros(width)
-        return Ranker(zeros, zeros + 1, np.zeros((0, width)), zeros, 0.0, float(np.log(rate / (1 - rate))), np.full(len(good), rate))
+        none = np.zeros(0)
+        return Ranker(none, none, none, none, 0.0, float(np.log(rate / (1 - rate))), np.full(len(good), rate))
     mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
     z = np.clip((x - mean) / scale, -8, 8)
     knots = np.quantile(z, KNOTS, axis=0)

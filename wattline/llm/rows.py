@@ -77,3 +77,22 @@ def with_text(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.Recor
     for batch in batches:
         row = batch.column(0)
         yield pa.RecordBatch.from_arrays([row, pc.struct_field(row, [text]).cast(pa.string())], ["row", "text"])
+
+
+class Joined:
+    """Links that connect what was not yet connected: as few as connect the same."""
+
+    def __init__(self):
+        self.root: dict = {}
+        self.links: list[tuple] = []
+
+    def top(self, x):
+        while self.root.get(x, x) != x:
+            self.root[x] = x = self.root.get(self.root[x], self.root[x])
+        return x
+
+    def add(self, a, b) -> None:
+        p, q = self.top(a), self.top(b)
+        if p != q:
+            self.root[p] = q
+            self.links.append((a, b))

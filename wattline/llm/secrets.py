@@ -211,7 +211,7 @@ def find_secrets(docs: DataFrame, text: str = "text", least: float = 8.0, shorte
     span covers it, so placeholders such as "changeme" are left alone.  Values are judged whole, base spans
     always stay.  Null and empty texts have no spans.  No shuffle.
     """
-    kind = T.StructType([T.StructField("row", docs.schema)]).add("spans", "array<struct<kind:string,start:long,end:long,cost:double>>")
+    kind = T.StructType([T.StructField("row", docs.schema)]).add("spans", T.DataType.fromDDL("array<struct<kind:string,start:long,end:long,cost:double>>"))
     kind = kind.add("masked", "string")
     done = docs.select(F.struct("*").alias("row")).mapInArrow(lambda b: _scan(b, text, least, shortest, mark), kind)
     return spread(done, docs.columns, ["spans", "masked"])
