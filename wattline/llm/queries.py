@@ -132,3 +132,43 @@ def op8_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from wattline.llm.lattice_pairs import near_vectors
 
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+# ---------------------------------------------------------------- SQL where it can say the same
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op2_repeats"] = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)), rep AS (
+  SELECT k FROM win GROUP BY k HAVING count(*) > 1), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win WHERE k IN (SELECT k FROM rep)), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) a
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = a.doc_id AND g.p = a.p) GROUP BY doc_id)
+  SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+  FROM w LEFT JOIN kept USING (doc_id)"""
+
+# every id takes the smallest id among its links until nothing changes
+REACH = """reach AS (SELECT a AS id, a AS low FROM ids UNION SELECT l.b, r.low FROM reach r JOIN link l ON l.a = r.id), comp AS (
+  SELECT id, min(low) AS component_id FROM reach GROUP BY id)"""
+
+SQL["op7_near_texts"] = f"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS ws FROM documents), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), both_ AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2), link AS (
+  SELECT a, b FROM both_ JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)), ids AS (
+  SELECT doc_id AS a FROM documents), {REACH}
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+  FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON comp.id = d.doc_id"""
+
+SQL["op8_near_vectors"] = f"""WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0), u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS r FROM v), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_dot_product(x.e, y.e) / (x.r * y.r) >= 0.93), ids AS (SELECT vec_id AS a FROM embeddings), {REACH}
+  SELECT d.vec_id, (SELECT count(*) FROM link WHERE a = d.vec_id) AS n_links, component_id, d.vec_id = component_id AS kept
+  FROM embeddings d JOIN comp ON comp.id = d.vec_id"""
