@@ -29,10 +29,10 @@ def test_codes_and_data_categories(spark, monkeypatch):
     key = lambda r: str(r[0] or "z")
     assert sorted((tuple(r) for r in P.label_encode(df, "v").collect()), key=key) == want
     monkeypatch.setattr(P, "MAX_CODES", 1)
-    monkeypatch.setattr(P, "known_values", lambda d, c: None)
+    monkeypatch.setattr(P, "known_values", lambda d, c, n: None)
     assert sorted((tuple(r) for r in P.label_encode(df, "v").collect()), key=key) == want
     with pytest.raises(ValueError):
-        P.one_hot_data(df, "v")
+        P.one_hot_data(df, "v", limit=1)
 
 
 def test_first_category_is_dropped(spark):

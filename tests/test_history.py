@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from wattline.functions.fixed_values import METADATA_KEYS
 from wattline.operators import history as H
 
 RESULTS = "round int, client_id int, num_examples bigint, metrics map<string,double>"
@@ -95,7 +96,7 @@ def test_quality(spark):
         ("model:batch_mismatch", "WARNING", 1),
         ("train:two_classes", "WARNING", 1),
     ]
-    unscored = H.quality_checks(df, ["a"], "y")
+    unscored = H.quality_checks(df, ["a"], "y", meta=METADATA_KEYS)
     assert unscored.collect()[-1]["status"] == "SKIPPED"
     verdict = H.quality_report(unscored).first()
     assert (verdict["total"], verdict["warnings"], verdict["skipped"], verdict["overall"]) == (5, 3, 1, "MOSTLY HEALTHY")

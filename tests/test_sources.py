@@ -30,7 +30,8 @@ def test_client_files(spark, tmp_path):
         write(tmp_path / f"data{n}.csv", f"building_id,timestamp,meter_reading,anomaly\n{n},2016-01-01 00:00:00,1.5,0\n")
     got = S.read_client_files(spark, str(tmp_path), SCHEMA)
     assert {(r["building_id"], r["client_id"]) for r in got.collect()} == {(1, 0), (2, 1), (10, 9)}
-    assert S.read_client_files(spark, str(tmp_path), SCHEMA, clients=2).count() == 3
+    two = S.read_client_files(spark, str(tmp_path), SCHEMA, clients=2)
+    assert {(r["building_id"], r["client_id"]) for r in two.collect()} == {(1, 0), (2, 1)}
     with pytest.raises(FileNotFoundError, match="data3.csv"):
         S.read_client_files(spark, str(tmp_path), SCHEMA, clients=3)
     with pytest.raises(ValueError):
@@ -48,7 +49,10 @@ def test_parts_are_replaced_and_read_back(spark, tmp_path):
         F.col("id").cast("double").alias("meter_reading"), F.lit(0).alias("anomaly"),
     )
     S.write_client_parts(df.withColumn("client_id", F.lit(8)), folder, ["timestamp"])
+    write(tmp_path / "parts" / "notes.txt", "mine")
+    write(tmp_path / "parts" / "data2.csv", "old")
     S.write_client_parts(assign_nodes_random(df, "building_id", 3), folder, ["timestamp"])
+    assert sorted(p.name for p in (tmp_path / "parts").iterdir()) == [*[f"file=data{n}.csv" for n in (1, 2, 3)], "notes.txt"]
     back = S.load_clients(spark, folder, SCHEMA, "local", "anomaly", 3)
     assert sorted(r[0] for r in back.select("client_id").distinct().collect()) == [0, 1, 2]
     assert back.select(df.columns).exceptAll(df).count() == 0 and back.count() == 60
@@ -79,6 +83,10 @@ def test_checkpoint(spark, tmp_path):
     for got, want in zip(back["weights"], weights, strict=True):
         np.testing.assert_array_equal(got, want)
     assert (back["round"], back["threshold"], back["config"], back["metrics"]) == (2, 0.4, {"hidden": [2]}, {"f1": 0.5})
+    ST.save_checkpoint(spark, path, "a", 1, [w + 1 for w in weights])
+    again = ST.load_checkpoint(spark, path, "a")
+    assert again["round"] == 1 and len(again["weights"]) == 4
+    np.testing.assert_array_equal(again["weights"][0], weights[0] + 1)
     bare = ST.load_checkpoint(spark, path, "b")
     assert (bare["threshold"], bare["metrics"]) == (0.5, {})
     with pytest.raises(FileNotFoundError):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Mapping
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from wattline.functions.fixed_values import DEFAULT_THRESHOLD
@@ -30,6 +30,8 @@ class DataSettings:
     stride: int = 24
     gap_hours: float = 73
     normalize: bool = True
+    # 32-bit numbers where they hold the same values
+    narrow: bool = False
 
 
 def grid_settings(path: str, **more: Any) -> DataSettings:
@@ -92,6 +94,16 @@ class Experiment:
     def as_dict(self) -> dict:
         return asdict(self)
 
+    def with_trial(self, params: Mapping[str, Any]) -> Experiment:
+        """These settings with those of a trial (as text or numbers) in their place, such as the best one's."""
+        training = {k: float(params[p]) for k, p in (("learning_rate", "lr"), ("weight_decay", "weight_decay")) if p in params}
+        model: dict[str, Any] = {k: int(float(params[k])) for k in ("hidden_size", "num_layers") if k in params}
+        if "pos_weight_cap" in params:
+            model["pos_weight_cap"] = float(params["pos_weight_cap"])
+        if model.get("num_layers", 0) > 0 and model.get("hidden_size", 0) > 0:
+            model["name"] = "mlp"
+        return replace(self, training=replace(self.training, **training), model=replace(self.model, **model))
+
 
 class Registry:
     """Names to functions; an unknown name lists the known ones."""
@@ -116,5 +128,6 @@ class Registry:
 
 
 DATASETS = Registry("dataset")
+HELD_OUT = Registry("dataset with a held-out table")
 MODELS = Registry("model")
 LOSSES = Registry("loss")

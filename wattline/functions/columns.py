@@ -32,6 +32,22 @@ def nan_to_null(col: str | Column) -> Column:
     return F.nullif(_c(col), F.lit(float("nan")))
 
 
+def normalize_window(x: str | Column) -> Column:
+    """Rows of features, each feature less its mean over the rows and divided by its deviation there."""
+    x = _c(x)
+    n = F.size(x).cast("double")
+
+    def total(rows: Column) -> Column:
+        zeros = F.transform(F.element_at(x, 1), lambda v: F.lit(0.0))
+        return F.aggregate(rows, zeros, lambda acc, row: F.zip_with(acc, row, lambda a, v: a + v.cast("double")))
+
+    mean = F.transform(total(x), lambda s: s / n)
+    centred = F.transform(x, lambda row: F.zip_with(row, mean, lambda v, m: v.cast("double") - m))
+    squares = total(F.transform(centred, lambda row: F.transform(row, lambda v: v * v)))
+    scale = F.transform(squares, lambda s: F.sqrt(s / n + F.lit(NORM_EPSILON)))
+    return F.transform(centred, lambda row: F.zip_with(row, scale, lambda v, s: (v / s).cast("float")))
+
+
 def sigmoid(logit: str | Column) -> Column:
     return 1.0 / (1.0 + F.exp(-_c(logit)))
 

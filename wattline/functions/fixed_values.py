@@ -54,21 +54,6 @@ BASE_FEATURES = [
     "meter_zscore_24",
 ]
 
-# Numeric inputs and target of the grid security table.
-SECURITY_FEATURES = [
-    "voltage_level",
-    "frequency_signal",
-    "power_flow",
-    "reactive_power",
-    "access_behavior",
-    "temporal_entropy",
-    "spectral_energy",
-    "spatial_correlation",
-    "wavelet_coeff_avg",
-    "wavelet_coeff_std",
-]
-SECURITY_TARGET = "attack_type"
-
 # Class codes of the grid log labels.
 GRID_LABELS = {"Natural": 0, "Attack": 1}
 

@@ -62,7 +62,9 @@ def meter_features(
     max_rows: int = MAX_GROUP_ROWS,
     hot: DataFrame | None | str = CHECK,
 ) -> DataFrame:
-    """Seven lag and rolling features of ``value``."""
+    """Seven lag and rolling features of ``value``; NaN in it is a missing value."""
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        df = df.withColumn(value, C.nan_to_null(value))
     v, n = F.col(value), ROLL_ROWS
 
     def columns(series: WindowSpec) -> dict[str, Column]:
@@ -87,17 +89,21 @@ def one_hot_fixed(df: DataFrame, col: str, values: Sequence[str] = tuple(PRIMARY
     return df.select("*", *C.one_hot(col, values, col)).drop(col)
 
 
-def known_values(df: DataFrame, col: str, limit: int = MAX_CODES) -> list | None:
+def known_values(df: DataFrame, col: str, limit: int | None) -> list | None:
     """Sorted distinct values, or None when there are more than ``limit``."""
-    found = df.where(F.col(col).isNotNull()).select(col).distinct().take(limit + 1)
-    return None if len(found) > limit else sorted(r[0] for r in found)
+    distinct = df.where(F.col(col).isNotNull()).select(col).distinct()
+    found = distinct.collect() if limit is None else distinct.take(limit + 1)
+    return None if limit is not None and len(found) > limit else sorted(r[0] for r in found)
 
 
-def one_hot_data(df: DataFrame, col: str, drop_first: bool = True) -> DataFrame:
-    """One-hot with the values found in the data, sorted; the first one may be left out."""
-    values = known_values(df, col)
+def one_hot_data(df: DataFrame, col: str, drop_first: bool = True, limit: int | None = None) -> DataFrame:
+    """One-hot with the values found in the data, sorted; the first one may be left out.
+
+    Every value becomes a column, so the driver must know them all; a ``limit`` turns a surprise into an error.
+    """
+    values = known_values(df, col, limit)
     if values is None:
-        raise ValueError(f"{col} has more than {MAX_CODES} values; that many columns make no usable table")
+        raise ValueError(f"{col} has more than {limit} values")
     return df.select("*", *C.one_hot(col, values[1:] if drop_first else values, col)).drop(col)
 
 
@@ -107,7 +113,7 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     A short value list (seen to be short) is broadcast; a long one is ranked by range slices and joined.
     """
     out = out or f"{col}_code"
-    values = known_values(df, col)
+    values = known_values(df, col, MAX_CODES)
     if values is None:
         distinct = df.where(F.col(col).isNotNull()).select(col).distinct()
         codes = positions(distinct, [], [col]).select(col, F.col(POS).alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.fixed_values import DEFAULT_THRESHOLD, EVAL_METRICS, FIT_METRICS, METADATA_KEYS
-from wattline.operators.ordering import POS, positions
+from wattline.operators.ordering import POS, join_groups, positions
 
 PRIOR = (Window.unboundedPreceding, -1)
 
@@ -32,7 +32,7 @@ def weighted_metrics(
     sums = parts.groupBy(*by, "metric").agg(F.sum(F.col("_n") * F.col("value")).alias("_s"))
     totals = results.groupBy(*by).agg(F.sum(size).alias("_total")).where("_total > 0")
     if by:
-        joined = sums.join(totals, list(by))
+        joined = join_groups(sums, totals, list(by))
         total = F.col("_total")
     else:
         joined, total = sums, totals.scalar()
@@ -107,7 +107,7 @@ def median_prune(
     keys = [*by, step]
     placed = positions(best, keys, [value, trial])
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = placed.join(sizes.where(F.col("_n") > startup), keys)
+    ranked = join_groups(placed, sizes.where(F.col("_n") > startup), keys)
     middle = F.col(POS) - F.expr("_n div 2")
     near = ranked.where(middle.between(-1, 1)).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(POS, value))).alias("_at")
@@ -115,7 +115,7 @@ def median_prune(
     # 0-based places of the two middle values among the n - 1 others, then among all n
     low, high = F.expr("(_n - 2) div 2"), F.expr("(_n - 1) div 2")
     at = [F.element_at("_at", p + (p >= F.col(POS)).cast("bigint")) for p in (low, high)]
-    judged = ranked.join(near, keys).withColumn("median_others", (at[0] + at[1]) / 2.0)
+    judged = join_groups(ranked, near, keys).withColumn("median_others", (at[0] + at[1]) / 2.0)
     return judged.where(F.col("best") < F.col("median_others")).groupBy(*by, trial).agg(
         F.min(step).alias("pruned_at")
     )
@@ -132,10 +132,13 @@ STATUS_RANK = {"FAIL": 0, "WARNING": 1, "OK": 2, "SKIPPED": 3}
 
 
 def quality_checks(
-    df: DataFrame, features: Sequence[str], label: str, score: str | None = None, meta: Sequence[str] = tuple(METADATA_KEYS)
+    df: DataFrame, features: Sequence[str], label: str, score: str | None = None, meta: Sequence[str] | None = None
 ) -> DataFrame:
     """Rows (check, status, n): one aggregate over the table, turned into lines, worst first.
 
+    ``meta`` names the metadata at hand, such as the columns of :func:`wattline.operators.scaling.metadata`;
+    without it that check is skipped.
+
     ``n`` counts the offending rows (or missing keys, or classes found).
     """
     nan, inf = [], []
@@ -146,11 +149,11 @@ def quality_checks(
     any_nan, any_inf = nan[0], inf[0]
     for a, b in zip(nan[1:], inf[1:]):
         any_nan, any_inf = any_nan | a, any_inf | b
-    missing = [k for k in METADATA_KEYS if k not in meta]
+    missing = None if meta is None else sum(k not in meta for k in METADATA_KEYS)
     y = F.col(label)
     unscored = F.count_if(y.isNotNull()) - F.count(score) if score else F.lit(None).cast("bigint")
     sums = df.agg(
-        F.lit(len(missing)).cast("bigint").alias("meta"),
+        F.lit(missing).cast("bigint").alias("meta"),
         F.count_if(any_nan).alias("nan"),
         F.count_if(any_inf).alias("inf"),
         F.abs(unscored).alias("unscored"),

@@ -8,6 +8,7 @@ of history that a slice needs from the ones before it.  Results are the same eit
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,14 @@ def _asc(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where null is a group like any other; columns of ``left`` first, then those of ``right``."""
+    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(named)
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    return left.join(other, on, how).drop(*named.values())
+
+
 # ---------------------------------------------------------------- running totals over any number of rows
 
 
@@ -45,7 +54,7 @@ def running_totals(
     """Add ``ahead_<v>``: exact total of ``v`` over the rows of the same ``by`` group that come first.
 
     Totals per (group, slice) are a handful of rows; only those are scanned in sequence.  If the caller
-    knows that there are at most ``rows`` rows and that is few, a plain window does.  Group keys must not be null.
+    knows that there are at most ``rows`` rows and that is few, a plain window does.  A null key is a group too.
     """
     by = list(by)
     if rows is not None and rows <= MAX_GROUP_ROWS:
@@ -58,7 +67,7 @@ def running_totals(
         *by, SLICE, *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values]
     )
     inside = Window.partitionBy(*by, SLICE).orderBy(*_asc(order)).rowsBetween(*AHEAD)
-    joined = sliced.join(offsets, [*by, SLICE])
+    joined = join_groups(sliced, offsets, [*by, SLICE])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[
@@ -121,13 +130,13 @@ def over_series(
     by = list(by)
     if isinstance(hot, str):
         hot = hot_groups(df, by, max_rows)
-    cold = df if hot is None else df.join(hot, hot.columns, "left_anti")
+    cold = df if hot is None else join_groups(df, hot, hot.columns, "left_anti")
     first = Window.partitionBy(*by).orderBy(*_asc(order))
     plain = build(cold.withColumn(POS, (F.row_number().over(first) - 1).cast("bigint")), by)
     if hot is None:
         return plain
     size = max(unit, max_rows // 8 // unit * unit)
-    placed = positions(df.join(hot, hot.columns, "left_semi"), by, order)
+    placed = positions(join_groups(df, hot, hot.columns, "left_semi"), by, order)
     own = F.expr(f"{POS} div {size}")
     spread = placed.withColumn(SLICE, F.explode(F.sequence(own, F.expr(f"({POS} + {history}) div {size}"))))
     sliced = build(spread, [*by, SLICE]).where(own == F.col(SLICE)).drop(SLICE)
@@ -165,14 +174,26 @@ def _bucket_totals(tokens: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _cutoffs(tokens: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
-    """Token at rank ``_need`` inside each wanted (group, bucket): only those buckets are read and sorted."""
+    """Tokens at the ranks ``_needs`` inside each wanted (group, bucket): only those buckets are read and sorted.
+
+    ``_ties``: how many rows with that very token lie up to the rank, ``_same``: how many there are (1 and 1 where
+    tokens are unique).
+    """
     keys = [*by, "_bucket"]
-    inside = tokens.withColumn("_bucket", F.substring(TOKEN, 1, BUCKET_DIGITS)).join(
-        wanted.select(*keys, "_needs"), keys
+    inside = join_groups(
+        tokens.withColumn("_bucket", F.substring(TOKEN, 1, BUCKET_DIGITS)), wanted.select(*keys, "_needs"), keys
+    )
+    sorted_ = Window.partitionBy(*keys).orderBy(TOKEN)
+    ranked = inside.select(
+        "*", F.row_number().over(sorted_).alias("_rank"), F.rank().over(sorted_).alias("_first"),
+        F.count(F.lit(1)).over(sorted_.rangeBetween(Window.currentRow, Window.currentRow)).alias("_same"),
+    )
+    hits = ranked.where(F.array_contains("_needs", F.col("_rank").cast("bigint")))
+    cut = F.sort_array(F.collect_list(F.struct(TOKEN, (F.col("_rank") - F.col("_first") + 1).alias("tie"), "_same")))
+    at = F.col("_at")
+    return hits.groupBy(*keys).agg(cut.alias("_at")).select(
+        *keys, at[TOKEN].alias("_cuts"), at["tie"].alias("_ties"), at["_same"].alias("_same")
     )
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(TOKEN))
-    hits = inside.withColumn("_rank", place).where(F.array_contains("_needs", F.col("_rank").cast("bigint")))
-    return hits.groupBy(*keys).agg(F.sort_array(F.collect_list(TOKEN)).alias("_cuts"))
 
 
 def mark_lowest(
@@ -185,7 +206,8 @@ def mark_lowest(
     """Flag exactly ``take(group size)`` rows per group: those lowest in token order.
 
     Rows are counted per token prefix, one prefix per group is ranked exactly, and the rows themselves
-    are only compared with their group's cutoff token.
+    are only compared with their group's cutoff token.  Rows that share that very token (repeated keys) are
+    taken in the order of all their columns, so the number is exact.
     """
     by = list(by)
     rows = df.withColumn(TOKEN, token)
@@ -196,13 +218,21 @@ def mark_lowest(
     ).withColumn("_needs", F.array(F.col("_take") - F.col("_ahead")))
     cut = _cutoffs(tokens, by, border)
     if by:
-        cut = bounded(cut.select(*by, F.element_at("_cuts", 1).alias("_cut")))
-        marked = rows.join(cut, by, "left")
-        value = F.col("_cut")
+        cut = bounded(cut.select(*by, *[F.element_at(c, 1).alias(a) for c, a in (("_cuts", "_cut"), ("_ties", "_tie"), ("_same", "_same"))]))
+        most = cut.agg(F.max("_same")).first()[0]
+        marked = join_groups(rows, cut, by, "left")
     else:
-        marked = rows
-        value = cut.agg(F.max(F.element_at("_cuts", 1)).alias("_cut")).scalar()
-    return marked.withColumn(flag, F.coalesce(F.col(TOKEN) <= value, F.lit(False))).select(*df.columns, flag)
+        found = cut.select(*[F.element_at(c, 1) for c in ("_cuts", "_ties", "_same")]).first()  # one line at most
+        value, tie, most = found if found else (None, None, None)
+        marked = rows.withColumn("_cut", F.lit(value).cast("string")).withColumn("_tie", F.lit(tie).cast("int"))
+    if most is None or most == 1:
+        return marked.withColumn(flag, F.coalesce(F.col(TOKEN) <= F.col("_cut"), F.lit(False))).select(*df.columns, flag)
+    below = F.coalesce(F.col(TOKEN) < F.col("_cut"), F.lit(False))
+    equal = F.coalesce(F.col(TOKEN) == F.col("_cut"), F.lit(False))
+    clear = marked.where(~equal).select(*df.columns, below.alias(flag))
+    place = F.row_number().over(Window.partitionBy(*by, TOKEN).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    tied = marked.where(equal).withColumn("_place", place).select(*df.columns, (F.col("_place") <= F.col("_tie")).alias(flag))
+    return clear.unionAll(tied)
 
 
 def run_ends(rows: int, parts: int) -> list[int]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.operators.ordering import MAX_GROUP_ROWS, POS, hot_groups, over_series
+from wattline.operators.ordering import MAX_GROUP_ROWS, POS, hot_groups, join_groups, over_series
 from wattline.operators.windows import window_weight
 
 
@@ -47,7 +47,7 @@ def node_window_stats(
             F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_rows"),
         )
     else:
-        rows = over_series(df, keys, order, 0, lambda r, parts: r, max_rows).join(sizes, keys)
+        rows = join_groups(over_series(df, keys, order, 0, lambda r, parts: r, max_rows, hot=hot), sizes, keys)
     weighed = rows.withColumn("_w", window_weight(F.col(POS), F.col("_rows"), window, stride)).where("_w > 0")
     parts = weighed.groupBy(*keys, "_w").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -109,7 +109,7 @@ def standardize_per_node(
     stats = node_window_stats(df, node, order, cols, window, stride, max_rows)
     used = scaler_lookup(stats, node, cols)
     chosen = set(cols)
-    return df.join(used, ["split", node]).select(
+    return join_groups(df, used, ["split", node]).select(
         *[((F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}")).alias(c) if c in chosen else F.col(c)
           for c in df.columns],
         "fallback",

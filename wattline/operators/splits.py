@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.operators.ordering import AHEAD, CHECK, MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, hash_token, mark_lowest
+from wattline.operators.ordering import (
+    AHEAD, CHECK, MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, hash_token, join_groups, mark_lowest,
+)
+from wattline.session import frozen
 from wattline.operators.windows import stride_windows
 
 # widths of the histograms that narrow down a timestamp: hour, second, microsecond
@@ -45,6 +48,7 @@ def time_cutoffs(df: DataFrame, ts: str, ratio: float, by: Sequence[str] = ()) -
             first, last, crowd = (f(r[c] for r in found) for f, c in ((min, "low"), (max, "low"), (max, "n")))
             hits = F.broadcast(df.sparkSession.createDataFrame(found, hits.schema))
         else:
+            hits = frozen(hits)  # the next pass reads it, not the passes before it
             first, last, crowd = hits.agg(F.min("low"), F.max("low"), F.max("n")).first()
         if width == MICRO_US:
             return hits.select(*by, F.timestamp_micros("low").alias("cutoff"))
@@ -53,7 +57,7 @@ def time_cutoffs(df: DataFrame, ts: str, ratio: float, by: Sequence[str] = ()) -
         )
         if by:
             start, end = F.timestamp_micros("low"), F.timestamp_micros(F.col("low") + width)
-            rows = inside.join(hits.drop("n"), by).where((F.col(ts) >= start) & (F.col(ts) < end)).drop("low")
+            rows = join_groups(inside, hits.drop("n"), by).where((F.col(ts) >= start) & (F.col(ts) < end)).drop("low")
         else:
             rows = inside.withColumn("place", F.lit(found[0]["place"]))
         width, carried = SECOND_US if width == HOUR_US and crowd > FEW_ROWS else MICRO_US, True
@@ -71,7 +75,7 @@ def temporal_split(
     cut = time_cutoffs(df, ts, ratio, by) if cutoffs is None else cutoffs
     gap = int(gap_hours * 3_600_000_000)
     if by:
-        rows, micros = df.join(cut, list(by)), F.unix_micros("cutoff")
+        rows, micros = join_groups(df, cut, list(by)), F.unix_micros("cutoff")
     else:
         rows, micros = df, F.lit(cut.select(F.unix_micros("cutoff")).first()[0])
     end, begin = F.timestamp_micros(micros), F.timestamp_micros(micros + F.lit(gap))
@@ -109,7 +113,8 @@ def random_split(
 ) -> DataFrame:
     """Add ``split``: exactly ``int(rows * ratio)`` test rows per group, all others train.
 
-    With ``strict`` an empty side (or table) is an error, checked on the counts.
+    With ``strict`` an empty side (or table) is an error, checked on the counts.  Rows that share a key are
+    told apart by their other columns; a null group is a group.
     """
     if strict:
         sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.floor(F.col("n") * F.lit(ratio)))

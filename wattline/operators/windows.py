@@ -99,8 +99,8 @@ def window_stats(
 ) -> DataFrame:
     """Count, sum, mean and population variance of each feature per window, without building arrays.
 
-    Panes hold equally many rows, so counts and sums add up; variance is the mean of the pane variances
-    weighted by count plus the spread of the pane means.
+    Counts and sums of panes add up; the variance is the mean of the pane variances and squared distances of
+    the pane means from the window's mean, both weighted by the values present.
     """
     pane_cols: list[Column] = []
     for f in features:
@@ -114,24 +114,26 @@ def window_stats(
         cols = []
         for f in features:
             n, s, v = F.col(f"_n_{f}"), F.col(f"_s_{f}"), F.col(f"_v_{f}")
-            size = F.sum(n).over(frame)
-            # the frame's own mean is not at hand inside the frame; shift by the pane before the window's end
-            mean = F.try_divide(s, n)
-            between = F.var_pop(mean).over(frame)
-            equal = F.min(n).over(frame) == F.max(n).over(frame)
-            even = F.avg(v).over(frame) + between
-            moment = F.sum(n * (v + mean * mean)).over(frame) / size
-            total = F.sum(s).over(frame)
-            uneven = moment - (total / size) * (total / size)
+            size, total = F.sum(n).over(frame), F.sum(s).over(frame)
             cols += [
                 size.alias(f"n_{f}"),
                 total.alias(f"sum_{f}"),
                 F.try_divide(total, size).alias(f"mean_{f}"),
-                F.when(equal, even).when(size > 0, F.greatest(uneven, F.lit(0.0))).alias(f"var_{f}"),
+                F.collect_list(F.struct(n.alias("n"), F.try_divide(s, n).alias("m"), v.alias("v"))).over(frame).alias(f"_p_{f}"),
             ]
         return cols
 
-    return _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows, hot)
+    raw = _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows, hot)
+    kept = [c for c in raw.columns if not c.startswith("_p_")]
+    return raw.select(*kept, *[_merged_variance(f"_p_{f}", F.col(f"mean_{f}"), F.col(f"n_{f}")).alias(f"var_{f}") for f in features])
+
+
+def _merged_variance(panes: str, mean: Column, size: Column) -> Column:
+    """Population variance of a window from its panes' counts ``n``, means ``m`` and variances ``v``."""
+    def add(acc: Column, p: Column) -> Column:
+        return acc + F.when(p["n"] > 0, p["n"] * (p["v"] + (p["m"] - mean) * (p["m"] - mean))).otherwise(F.lit(0.0))
+
+    return F.try_divide(F.aggregate(panes, F.lit(0.0), add), size)
 
 
 def instance_norm(
@@ -147,7 +149,7 @@ def instance_norm(
 ) -> DataFrame:
     """Windows whose features ``x_<f>`` are normalised by the window's own mean and population variance.
 
-    Features must not be null (rows with nulls are dropped before), so all panes of a window weigh the same.
+    Missing values (null) count in neither and stay null in their place.
     """
     pane_cols = [
         F.transform(
@@ -156,24 +158,27 @@ def instance_norm(
         ).alias(f"_a_{f}")
         for f in features
     ]
-    pane_cols += [m for f in features for m in (F.avg(f).alias(f"_m_{f}"), F.var_pop(f).alias(f"_v_{f}"))]
+    for f in features:
+        pane_cols += [F.count(f).alias(f"_n_{f}"), F.avg(f).alias(f"_m_{f}"), F.var_pop(f).alias(f"_v_{f}")]
 
     def window_cols(frame) -> list[Column]:
         cols = []
         for f in features:
-            mean = F.avg(f"_m_{f}").over(frame)
-            var = F.avg(f"_v_{f}").over(frame) + F.var_pop(f"_m_{f}").over(frame)
+            n, m, v = F.col(f"_n_{f}"), F.col(f"_m_{f}"), F.col(f"_v_{f}")
+            size = F.sum(n).over(frame)
             cols += [
                 F.flatten(F.collect_list(f"_a_{f}").over(frame)).alias(f"_x_{f}"),
-                mean.alias(f"_mean_{f}"),
-                var.alias(f"_var_{f}"),
+                size.alias(f"_size_{f}"),
+                F.try_divide(F.sum(n * m).over(frame), size).alias(f"_mean_{f}"),
+                F.collect_list(F.struct(n.alias("n"), m.alias("m"), v.alias("v"))).over(frame).alias(f"_p_{f}"),
             ]
         return cols
 
     raw = _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows, hot)
 
     def normed(f: str) -> Column:
-        mean, var = F.col(f"_mean_{f}"), F.col(f"_var_{f}")
+        mean = F.col(f"_mean_{f}")
+        var = _merged_variance(f"_p_{f}", mean, F.col(f"_size_{f}"))
         return F.transform(f"_x_{f}", lambda v: C.instance_norm(v, mean, var)).alias(f"x_{f}")
 
     return raw.select(*by, "start", "start_ts", "label_ts", "y", *[normed(f) for f in features])

@@ -71,7 +71,10 @@ def _gradient(weights: Weights, x: np.ndarray, y: np.ndarray, pos_weight: float)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    flat_values = column.flatten()
+    if flat_values.null_count or column.null_count:
+        raise ValueError("a feature of a training row is null: drop or fill rows with nulls before a fit")
+    values = flat_values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return values.reshape(len(column), -1)
 
 

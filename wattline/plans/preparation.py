@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions import columns as C
 from wattline.functions.fixed_values import BASE_FEATURES, GRID_LABELS, PRIMARY_USES
 from wattline.operators import features as P
 from wattline.operators.ordering import CHECK, MAX_GROUP_ROWS, hot_groups
@@ -34,26 +35,30 @@ def prepare_readings(
 
 def building_windows(
     df: DataFrame, client: str = "client_id", ratio: float = 1.0 - 0.2, gap_hours: float = 73, window: int = 168,
-    stride: int = 24, max_rows: int = MAX_GROUP_ROWS,
+    stride: int = 24, max_rows: int = MAX_GROUP_ROWS, node: str = "building_id", time: str = "timestamp",
+    narrow: bool = False,
 ) -> DataFrame:
     """Train and validation windows of building readings that already carry their client.
 
     The prepared rows are stored once: the cutoff passes then read only their time column.
     """
-    hot = hot_groups(df, ["building_id"], max_rows)
-    ready = stored(prepare_readings(df, max_rows=max_rows, hot=hot))
+    hot = hot_groups(df, [node], max_rows)
+    ready = stored(prepare_readings(df, node, [time], narrow=narrow, max_rows=max_rows, hot=hot))
     return split_windows(
-        ready, "building_id", ["timestamp"], BUILDING_FEATURES, "anomaly", ratio, gap_hours, window, stride,
+        ready, node, [time], BUILDING_FEATURES, "anomaly", ratio, gap_hours, window, stride,
         client, max_rows, hot,
     )
 
 
-def building_test_windows(df: DataFrame, window: int = 168, stride: int = 24, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def building_test_windows(
+    df: DataFrame, window: int = 168, stride: int = 24, max_rows: int = MAX_GROUP_ROWS, node: str = "building_id",
+    time: str = "timestamp", narrow: bool = False,
+) -> DataFrame:
     """Windows of a held-out table: the same preparation, no split, one lazy plan."""
-    hot = hot_groups(df, ["building_id"], max_rows)
-    ready = prepare_readings(df, max_rows=max_rows, hot=hot)
+    hot = hot_groups(df, [node], max_rows)
+    ready = prepare_readings(df, node, [time], narrow=narrow, max_rows=max_rows, hot=hot)
     return stride_windows(
-        ready, ["building_id"], ["timestamp"], BUILDING_FEATURES, "anomaly", window, stride, max_rows, hot=hot
+        ready, [node], [time], BUILDING_FEATURES, "anomaly", window, stride, max_rows, hot=hot
     )
 
 
@@ -65,6 +70,7 @@ def prepare_grid_log(df: DataFrame, label: str = "marker", normalize: bool = Tru
     return standardize_global(clean, features) if normalize else clean
 
 
-def as_vectors(windows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Windows as flat vectors with their keys and label."""
-    return windows.select(*keep, F.flatten("x").alias("x"), F.col("y").cast("int").alias("y"))
+def as_vectors(windows: DataFrame, keep: Sequence[str], normalize: bool = False) -> DataFrame:
+    """Windows as flat vectors with their keys and label; ``normalize`` scales each feature within each window."""
+    x = C.normalize_window("x") if normalize else F.col("x")
+    return windows.select(*keep, F.flatten(x).alias("x"), F.col("y").cast("int").alias("y"))

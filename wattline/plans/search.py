@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wattline.functions.fixed_values import DEFAULT_THRESHOLD
 from wattline.operators import metrics as M
 from wattline.plans.fitting import gradient_pass, init_weights, score, step
-from wattline.sources.stores import TRIALS, append_trials
+from wattline.sources.stores import TRIALS, append_trials, trial_store
 
 # Ranges of the settings tried.
 SPACE = {
@@ -24,8 +24,10 @@ SPACE = {
 }
 
 
-def draw_trials(trials: int, seed: int = 42, hidden: Sequence[int] | None = None, layers: tuple[int, int] | None = None):
-    """Seeded draws: log-uniform rates, uniform cap, width and depth of the hidden layers."""
+def draw_trials(
+    trials: int, seed: int = 42, hidden: Sequence[int] | None = None, layers: tuple[int, int] | None = None, first: int = 0,
+) -> list[dict]:
+    """Seeded draws number ``first`` and on: log-uniform rates, uniform cap, width and depth of the hidden layers."""
     rng = np.random.default_rng(seed)
 
     def log_uniform(name: str) -> float:
@@ -41,15 +43,15 @@ def draw_trials(trials: int, seed: int = 42, hidden: Sequence[int] | None = None
             "hidden_size": int(rng.choice(widths)),
             "num_layers": int(rng.integers(depth[0], depth[1] + 1)),
         }
-        for _ in range(trials)
-    ]
+        for _ in range(first + trials)
+    ][first:]
 
 
 def fit_trials(
     train: DataFrame, val: DataFrame, settings: Sequence[dict], epochs: int = 10, patience: int = 10,
-    study: str = "study", seed: int = 42, warmup: int = 10, startup: int = 5,
+    study: str = "study", seed: int = 42, warmup: int = 10, startup: int = 5, first: int = 0,
 ) -> DataFrame:
-    """Fit one model per setting; report (trial, step, pr_auc, best threshold) after every pass.
+    """Fit one model per setting, numbered from ``first``; report (trial, step, pr_auc, best threshold) after every pass.
 
     One job computes the gradients of all running trials, one scores the validation rows with all of
     them.  A trial ends after ``patience`` passes without gain, or when its best value is below the median
@@ -63,9 +65,10 @@ def fit_trials(
         width = train.select(F.size("x")).first()[0]
         models = {
             i: init_weights(width, [s["hidden_size"]] * s["num_layers"] if s["hidden_size"] else [], seed + i)
-            for i, s in enumerate(settings)
+            for i, s in enumerate(settings, first)
         }
-        caps = {i: min(raw, s["pos_weight_cap"]) for i, s in enumerate(settings)}
+        settings = dict(enumerate(settings, first))
+        caps = {i: min(raw, s["pos_weight_cap"]) for i, s in settings.items()}
         best = {i: (0.0, DEFAULT_THRESHOLD, 0) for i in models}
         reports: list[tuple] = []
         running, val_rows = set(models), val.count()
@@ -101,9 +104,16 @@ def search(
     seed: int = 42, store: str | None = None, hidden: Sequence[int] | None = None,
     layers: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Draw settings, fit them all, append the reports to the trial table if one is named."""
+    """Draw settings, fit them all, append the reports to the trial table if one is named.
+
+    A study that the table already knows is continued: numbers and draws go on after its last trial.
+    """
+    first = 0
+    if store:
+        last = trial_store(train.sparkSession, store, study).agg(F.max("trial")).first()[0]
+        first = 0 if last is None else last + 1
     reports = fit_trials(
-        train, val, draw_trials(trials, seed, hidden, layers), epochs, patience, study, seed
+        train, val, draw_trials(trials, seed, hidden, layers, first), epochs, patience, study, seed, first=first
     )
     if store:
         append_trials(reports, store)

@@ -119,6 +119,19 @@ def prepared_windows(spark: SparkSession, sf: str, features: list[str]) -> DataF
     return W.stride_windows(prepared(spark, sf, hot), [NODE], ORDER, features, "anomaly", 6, 3, hot=hot)
 
 
+GAPS_SQL = FEATURES_SQL.replace("value AS meter_reading", "CASE WHEN event_id % 50 <> 7 THEN value END AS meter_reading")
+
+
+@query(f"""WITH {GAPS_SQL} SELECT node_id, row_key, {", ".join(f"{q6(c)} AS {c}" for c in METER)} FROM ff
+  WHERE meter_lag1 IS NOT NULL""")
+def meter_features_gaps(spark, sf):
+    """NaN readings are missing readings."""
+    value = F.when(F.col("row_key") % 50 != 7, F.col("meter_reading")).otherwise(F.lit(float("nan")))
+    rows = readings(spark, sf).withColumn("meter_reading", value)
+    out = prepare_readings(rows, NODE, ORDER, "meter_reading", "primary_use", USES)
+    return out.select(NODE, "row_key", *[r6(c).alias(c) for c in METER])
+
+
 @query(
     f"""WITH {FEATURES_SQL} SELECT node_id, row_key, {", ".join(f"{q6(c)} AS {c}" for c in METER)},
     {", ".join(f"primary_use_{u}" for u in USES)} FROM ff"""
@@ -239,6 +252,28 @@ def time_cutoff_groups(spark, sf):
     return cuts.select("primary_use", us("cutoff").alias("cutoff_us"))
 
 
+def null_use(df: DataFrame) -> DataFrame:
+    """Readings whose uses have a group without a name."""
+    return df.withColumn("primary_use", F.nullif("primary_use", F.lit("error")))
+
+
+def null_sql(sql: str) -> str:
+    return sql.replace("event_type AS primary_use", "nullif(event_type, 'error') AS primary_use")
+
+
+@query(null_sql(SQL["time_cutoff_groups"]))
+def time_cutoff_null_group(spark, sf):
+    cuts = D.time_cutoffs(null_use(readings(spark, sf)), "ts", RATIO, ["primary_use"])
+    return cuts.select("primary_use", us("cutoff").alias("cutoff_us"))
+
+
+@query("SELECT event_id AS row_key, epoch_us(ts) AS ts_us FROM events")
+def parse_time(spark, sf):
+    """Times written as text and read back."""
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return readings(spark, sf).select("row_key", us(C.parse_time(text, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts_us"))
+
+
 @query(f"WITH {CUT_SQL} SELECT row_key, split FROM sp")
 def temporal_split(spark, sf):
     return D.temporal_split(readings(spark, sf), "ts", RATIO, GAP_HOURS).select("row_key", "split")
@@ -409,6 +444,20 @@ def split_exact(spark, sf):
     )
 
 
+@query(null_sql(SQL["split_exact"]))
+def split_exact_null_group(spark, sf):
+    return D.random_split(null_use(readings(spark, sf)), "row_key", 0.2, 42, ["primary_use"]).select(
+        "row_key", "primary_use", "split"
+    )
+
+
+@query(f"""WITH {R_SQL} SELECT primary_use, count(*) AS n, CAST(floor(count(*) * 0.25e0) AS BIGINT) AS n_test FROM r GROUP BY primary_use""")
+def split_exact_repeated_keys(spark, sf):
+    """Nodes as keys: many rows share one, and still the number of test rows is exact."""
+    out = D.random_split(readings(spark, sf), NODE, 0.25, 42, ["primary_use"])
+    return out.groupBy("primary_use").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("n_test"))
+
+
 @query(f"""WITH RECURSIVE {R_SQL}, c AS (
   SELECT node_id, count(*) AS n_rows FROM r GROUP BY node_id), o AS (
   SELECT *, row_number() OVER (ORDER BY n_rows DESC, node_id) AS i FROM c), step AS (
@@ -515,12 +564,18 @@ def bce_loss(spark, sf):
 
 
 @query(f"""WITH e AS (
-  SELECT vec_id, label, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE)) AS s FROM embeddings), l AS (
+  SELECT vec_id, label, list_transform(range(0, 10), lambda i: list_sum(list_transform(range(i, len(embedding), 10),
+    lambda j: CAST(embedding[j + 1] AS DOUBLE)))) AS s FROM embeddings), l AS (
   SELECT *, list_max(s) AS top, list_sum(list_transform(s, lambda v: exp(v))) AS z FROM e)
   SELECT {q6("avg(ln(z) - s[label + 1])")} AS loss,
   count(*) FILTER (list_position(s, top) - 1 = label) AS correct, count(*) AS total FROM l""")
 def cross_entropy(spark, sf):
-    scores = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
+    """Ten scores of each vector: the sums of its components by position modulo ten."""
+    def at(i: int) -> Column:
+        mine = F.filter("embedding", lambda v, j: j % 10 == i)
+        return F.aggregate(mine, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+
+    scores = F.array(*[at(i) for i in range(10)])
     rows = table(spark, sf, "embeddings").select(scores.alias("scores"), F.col("label").alias("y"))
     return M.cross_entropy(rows).withColumn("loss", r6("loss"))
 
@@ -589,6 +644,11 @@ def avg_precision(spark, sf):
     return M.average_precision(scored(spark, sf), by=["primary_use"]).withColumn("pr_auc", r6("pr_auc"))
 
 
+@query(null_sql(SQL["avg_precision"]))
+def avg_precision_null_group(spark, sf):
+    return M.average_precision(null_use(scored(spark, sf)), by=["primary_use"]).withColumn("pr_auc", r6("pr_auc"))
+
+
 @query(f"""WITH {S_SQL}, k AS (
   SELECT y, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2e0 AS rk FROM s)
   SELECT {q6("(sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y)::DOUBLE * (count(*) - sum(y)))")} AS roc_auc FROM k""")
@@ -645,13 +705,14 @@ DIRTY_SQL = f"""{R_SQL}, d AS (SELECT *, primary_use = 'click' AND anomaly = 1 A
   primary_use = 'view' AND anomaly = 1 AS bad_inf FROM r)"""
 
 
-def checked(spark, sf):
+def checked(spark, sf, without=()):
     """Readings with missing and infinite values put in, so that each check has something to find."""
     use, y = F.col("primary_use"), F.col("anomaly")
     rows = readings(spark, sf)
     value = F.when((use == "click") & (y == 1), float("nan")).when((use == "view") & (y == 1), float("inf"))
     dirty = rows.withColumn("meter_reading", value.otherwise(F.col("meter_reading")))
-    return H.quality_checks(dirty, ["meter_reading", "prob"], "anomaly", "prob")
+    made = Z.metadata(dirty, ["meter_reading", "prob"], "anomaly").columns
+    return H.quality_checks(dirty, ["meter_reading", "prob"], "anomaly", "prob", [c for c in made if c not in without])
 
 
 @query(f"""WITH {DIRTY_SQL}, c AS (SELECT count(*) FILTER (bad_nan) AS nn, count(*) FILTER (bad_inf) AS ni,
@@ -665,6 +726,12 @@ def quality_checks(spark, sf):
     return checked(spark, sf)
 
 
+@query(SQL["quality_checks"].replace("'OK' AS status, 0::BIGINT AS n", "'WARNING' AS status, 1::BIGINT AS n"))
+def quality_missing_key(spark, sf):
+    """The same table, whose metadata lacks the task."""
+    return checked(spark, sf, ["task_type"])
+
+
 @query(f"""WITH {DIRTY_SQL}, w AS (SELECT CAST(max(bad_nan::INT) + max(bad_inf::INT) AS BIGINT) AS w FROM d)
   SELECT 5::BIGINT AS total, 5 - w AS ok, w AS warnings, 0::BIGINT AS failures, 0::BIGINT AS skipped,
   CASE WHEN w > 0 THEN 'MOSTLY HEALTHY' ELSE 'HEALTHY' END AS overall FROM w""")
@@ -738,6 +805,26 @@ def metric_history(spark, sf):
     return H.metric_history(client_results(spark, sf)).select("round", "metric", r6("value").alias("value"))
 
 
+@query(SQL["metric_history"])
+def history_store(spark, sf):
+    """Histories of two runs told to one table; the rows of one of them."""
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    told = H.metric_history(client_results(spark, sf))
+    ST.append_history(told, path, "other")
+    ST.append_history(told, path, "mine")
+    return ST.history_store(spark, path, "mine").select(F.col("round").alias("round"), "metric", r6("value").alias("value"))
+
+
+@query(
+    SQL["metric_history"].replace("c_nationkey AS round", "nullif(c_nationkey, 3) AS round")
+    .replace("JOIN t USING (round)", "JOIN t ON m.round IS NOT DISTINCT FROM t.round").replace("SELECT round, metric", "SELECT m.round, metric")
+    .replace("GROUP BY round, metric", "GROUP BY m.round, metric")
+)
+def metric_history_null_round(spark, sf):
+    told = client_results(spark, sf).withColumn("round", F.nullif("round", F.lit(3)))
+    return H.metric_history(told).select("round", "metric", r6("value").alias("value"))
+
+
 def epoch_history(spark, sf):
     """Suppliers as runs, order months as epochs, mean discount as the score of the epoch."""
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
@@ -798,6 +885,7 @@ def trial_store(spark, sf):
         F.lit(0.5).alias("best_threshold"),
     )
     ST.append_trials(told.where("step <= 15"), path)
+    ST.trial_store(spark, path).count()
     ST.append_trials(told.where("step > 15"), path)
     return ST.trial_store(spark, path).groupBy("study").agg(
         F.count(F.lit(1)).alias("n_reports"), r6(F.max("value")).alias("top"), F.max("step").alias("steps")
@@ -1042,6 +1130,8 @@ def saved_fit(spark, sf):
     """One round on the vectors, saved and loaded again."""
     path = f"{shared_folder(spark)}/checkpoint-{uuid.uuid4().hex}"
     rows = vectors(spark, sf)
+    # a longer run of the same name came first: its rounds must not come back
+    R.federated_rounds(rows, rows, 2, 1, LR / 2, 0.0, 0.0, 10.0, run="vectors", checkpoint=path, config={"lr": LR / 2})
     R.federated_rounds(rows, rows, 1, 1, LR, 0.0, 0.0, 10.0, run="vectors", checkpoint=path, config={"lr": LR})
     return ST.load_checkpoint(spark, path, "vectors")
 

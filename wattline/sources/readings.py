@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,6 @@ def check_columns(df: DataFrame, needed: Sequence[str]) -> DataFrame:
     return df
 
 
-def trim_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.strip() for c in df.columns])
-
-
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
     """Typed CSV: columns are found by header name, every file must carry the header of the first one.
 
@@ -75,7 +72,7 @@ def read_client_files(
     """One scan over all client files; client ``n - 1`` owns ``data<n>.csv`` (a file, or a folder
     ``file=data<n>.csv`` as written by :func:`write_client_parts`).
 
-    ``clients`` demands files for 0…clients−1.  Without a pattern ``folder`` itself is the only file.
+    ``clients`` demands files for 0…clients−1 and reads no others.  Without a pattern ``folder`` itself is the only file.
     """
     if not pattern:
         return read_readings(spark, folder, schema, target).withColumn(client, F.lit(0))
@@ -91,6 +88,8 @@ def read_client_files(
         if missing:
             raise FileNotFoundError(f"no client file {[pattern.format(n=n) for n in missing]} in {folder}")
     number = F.regexp_extract("_path", name, 1).cast("int")
+    if clients is not None:
+        df = df.where(number.between(1, clients))  # a filter on the path: Spark leaves the other files alone
     return df.withColumn(client, number - 1).drop("_path")
 
 
@@ -111,11 +110,13 @@ def write_client_parts(
     df: DataFrame, folder: str, order: Sequence[str], client: str = "client_id", pattern: str = "data{n}.csv",
     rows_per_file: int = 5_000_000, fmt: str = "csv",
 ) -> None:
-    """Replace the client files in ``folder`` by one folder of files per client.
+    """Replace the client files in ``folder`` by one folder of files per client; other files there stay.
 
     Range partitioning keeps a client's rows together in few files and still spreads a big client over
-    many tasks.
+    many tasks.  All is written beside the old files first, which go only when that has succeeded.
     """
+    spark = df.sparkSession
+    beside = f"{folder.rstrip('/')}/_parts-{uuid.uuid4().hex}"
     before, after = pattern.split("{n}")
     named = df.withColumn(
         "file", F.concat(F.lit(before), (F.col(client) + 1).cast("string"), F.lit(after))
@@ -123,10 +124,19 @@ def write_client_parts(
     (
         named.drop(client)
         .write.partitionBy("file")
-        .mode("overwrite")
         .option("header", True)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .option("maxRecordsPerFile", rows_per_file)
         .format(fmt)
-        .save(folder)
+        .save(beside)
     )
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = paths(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = re.compile("(file=)?" + re.escape(pattern).replace(re.escape("{n}"), "[0-9]+"))
+    for old in files.listStatus(paths(folder)):
+        if name.fullmatch(old.getPath().getName()):
+            files.delete(old.getPath(), True)
+    for new in files.listStatus(paths(beside)):
+        if name.fullmatch(new.getPath().getName()):
+            files.rename(new.getPath(), paths(f"{folder.rstrip('/')}/{new.getPath().getName()}"))
+    files.delete(paths(beside), True)

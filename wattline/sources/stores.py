@@ -16,7 +16,7 @@ TRIALS = (
 )
 CHECKPOINT = (
     "run string, round int, tensor int, shape array<int>, values array<double>, config string, "
-    "threshold double, metrics map<string,double>"
+    "threshold double, metrics map<string,double>, saved bigint"
 )
 HISTORY = "run string, round int, metric string, value double"
 
@@ -44,24 +44,40 @@ def trial_store(spark: SparkSession, path: str, study: str | None = None) -> Dat
     return trials if study is None else trials.where(F.col("study") == study)
 
 
+def append_history(history: DataFrame, path: str, run: str) -> None:
+    """Add the metrics of a run's rounds (round, metric, value) to the table of histories."""
+    append_table(history.select(F.lit(run).alias("run"), F.col("round").cast("int"), "metric", "value"), path, "run")
+
+
+def history_store(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """Stored rows (run, round, metric, value), as often as they were told; empty before the first."""
+    history = read_table(spark, path, HISTORY)
+    return history if run is None else history.where(F.col("run") == run)
+
+
 def save_checkpoint(
     spark: SparkSession, path: str, run: str, round_no: int, weights: Sequence[np.ndarray],
     config: Mapping | None = None, threshold: float = DEFAULT_THRESHOLD, metrics: Mapping[str, float] | None = None,
 ) -> None:
-    """One row per weight tensor, with settings, threshold and metrics."""
+    """One row per weight tensor, with settings, threshold and metrics.
+
+    Saves of a run are numbered: what was saved last counts, also when a round is saved again.
+    """
+    before = read_table(spark, path, CHECKPOINT).where(F.col("run") == run).agg(F.max("saved")).first()[0]
+    saved = 0 if before is None else before + 1
     rows = [
         (run, round_no, i, list(map(int, w.shape)), [float(v) for v in w.ravel()], json.dumps(dict(config or {})),
-         float(threshold), {k: float(v) for k, v in (metrics or {}).items()})
+         float(threshold), {k: float(v) for k, v in (metrics or {}).items()}, saved)
         for i, w in enumerate(weights)
     ]
     append_table(spark.createDataFrame(rows, CHECKPOINT), path, "run")
 
 
 def load_checkpoint(spark: SparkSession, path: str, run: str) -> dict:
-    """Weights in tensor order of the latest saved round, its settings, threshold (0.5) and metrics ({})."""
+    """Weights in tensor order of the last save of a run, its round, settings, threshold (0.5) and metrics ({})."""
     table = read_table(spark, path, CHECKPOINT).where(F.col("run") == run)
-    last = table.agg(F.max("round").alias("r")).scalar()
-    rows = table.where(F.col("round") == last).orderBy("tensor").collect()
+    last = table.agg(F.max("saved").alias("s")).scalar()
+    rows = table.where(F.col("saved") == last).orderBy("tensor").collect()
     if not rows:
         raise FileNotFoundError(f"no checkpoint of run {run!r} in {path}")
     first = rows[0]
