@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wattline.llm.rows import spread, with_text
 from wattline.llm.words import Words, pieces, run_hashes
 
-SAMPLE, PAIRS = 20_000, 40_000
+SAMPLE, PAIRS = 20_000, 20_000
 KNOTS = (0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98)
 _CLASS = np.zeros(256, dtype=np.int64)  # 0 lower-case letters and the rest of ASCII
 for _n, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;'\"-", b"!?", b"#$%&*+/<=>@\\^_`{}~", b"|", b"\n", b" \t\r:()[]"), 1):
@@ -70,7 +70,8 @@ def features(texts: pa.Array) -> np.ndarray:
 @dataclass(frozen=True)
 class Ranker:
     """Bradley-Terry strengths: score = expanded features x weights; ``slope`` and ``shift`` turn a score into
-    the chance of label 1, ``good`` holds the sorted chances of the labelled good texts."""
+    the chance of label 1 (``level`` is that before the logistic curve); ``good`` and ``bad`` hold the sorted levels
+    of the labelled texts."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -79,17 +80,35 @@ class Ranker:
     slope: float
     shift: float
     good: np.ndarray
+    bad: np.ndarray
 
-    def expand(self, x: np.ndarray) -> np.ndarray:
-        return expanded(x, self.mean, self.scale, self.knots)
+    def level(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.weights):
+            return np.full(len(x), self.shift)
+        return self.slope * (expanded(x, self.mean, self.scale, self.knots) @ self.weights) + self.shift
 
     def chances(self, x: np.ndarray) -> np.ndarray:
-        z = self.slope * (self.expand(x) @ self.weights) + self.shift if len(self.weights) else np.full(len(x), self.shift)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return chance(self.level(x))
 
     def threshold(self, share: float) -> float:
-        """Chance below which ``share`` of the labelled good texts lie; 0 where there is none."""
-        return float(np.quantile(self.good, share)) if len(self.good) else 0.0
+        """Least chance to keep: below it lie at most ``share`` of the labelled good texts (a quantile of their scores).
+
+        Where that quantile lies above all but ``share`` of the bad ones, half way between the two, so that good
+        texts unlike the sample have room.  Without good texts 0.
+        """
+        if not len(self.good):
+            return 0.0
+        low = float(np.quantile(self.good, share))
+        if len(self.bad):
+            high = float(np.quantile(self.bad, 1 - share))
+            low = min(low, (low + high) / 2) if high < low else low
+        else:
+            low = float("-inf")
+        return float(chance(np.array([low]))[0]) if np.isfinite(low) else 0.0
+
+
+def chance(level: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(level, -40, 40)))
 
 
 def expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, knots: np.ndarray) -> np.ndarray:
@@ -98,7 +117,7 @@ def expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, knots: np.ndarr
     return np.concatenate([z] + [np.maximum(z - k, 0) for k in knots], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30, bias: bool = False) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, bias: bool = False) -> np.ndarray:
     """Newton steps on the logistic loss with a ridge; ``bias`` leaves the last weight free of it."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
@@ -121,7 +140,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 4) -
     if not len(good) or not len(bad):  # nothing to prefer: the share of good ones is all there is to say
         rate = (len(good) + 1) / (len(good) + len(bad) + 2)
         none = np.zeros(0)
-        return Ranker(none, none, none, none, 0.0, float(np.log(rate / (1 - rate))), np.full(len(good), rate))
+        return Ranker(none, none, none, none, 0.0, float(np.log(rate / (1 - rate))), none, none)
     mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
     z = np.clip((x - mean) / scale, -8, 8)
     knots = np.quantile(z, KNOTS, axis=0)
@@ -132,8 +151,8 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 4) -
     weights = logistic(gap, np.ones(n), ridge=1.0)
     score = wide @ weights
     slope, shift = logistic(np.stack([score, np.ones(len(score))], axis=1), y.astype(float), ridge=1e-3, bias=True)
-    made = Ranker(mean, scale, knots, weights, float(slope), float(shift), np.zeros(0))
-    return Ranker(mean, scale, knots, weights, float(slope), float(shift), np.sort(made.chances(x[good])))
+    level = slope * score + shift
+    return Ranker(mean, scale, knots, weights, float(slope), float(shift), np.sort(level[good]), np.sort(level[bad]))
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
