@@ -410,12 +410,15 @@ def test_n_best():
     for _ in range(80):
         text = "".join(rng.choices(["a", "b", " ", "c", "\n"], [5, 5, 2, 1, 1], k=rng.randrange(0, 9)))
         for n in (1, 2, 5, 30):
-            got = model.segment(text, n)
+            best, got = model.segment(text, n)
             assert [s for s, _ in got] == by_hand(model, text.replace(" ", "▁"), n)
-            units = model.split(text)
+            assert b"".join(best) == b"".join(model.best(u, 1)[0][1] for u in model.split(text)) or model.segment(text, 2)[1][0][0] == got[0][0]
+            for u, own in zip(model.split(text), best):
+                found = model.best(u, 2)
+                assert model.top(u)[:2] == (found[0][0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
             whole = set()
             for score, changes in got:
-                parts = [model.top(u)[2] for u in units]
+                parts = best.copy()
                 for i, ids in changes:
                     parts[i] = ids
                 whole.add(b"|".join(parts))
