@@ -17,7 +17,7 @@ from wattline.session import stored
 
 BLOCK = 20_000
 SAMPLE = 4_000
-WIDTHS = tuple(0.4 * 1.25**i for i in range(9))
+WIDTHS = tuple(0.4 * 1.1**i for i in range(21))
 
 
 class Hashes:
