@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattline.config import ModelSettings
 from wattline.functions import columns as C
 from wattline.operators import clients as K
 from wattline.operators import features as P
@@ -817,12 +818,12 @@ def history_store(spark, sf):
 
 @query(
     SQL["metric_history"].replace("c_nationkey AS round", "nullif(c_nationkey, 3) AS round")
-    .replace("JOIN t USING (round)", "JOIN t ON m.round IS NOT DISTINCT FROM t.round").replace("SELECT round, metric", "SELECT m.round, metric")
+    .replace("JOIN t USING (round)", "JOIN t ON m.round IS NOT DISTINCT FROM t.round").replace("SELECT round, metric", "SELECT CAST(m.round AS VARCHAR) AS round, metric")
     .replace("GROUP BY round, metric", "GROUP BY m.round, metric")
 )
 def metric_history_null_round(spark, sf):
     told = client_results(spark, sf).withColumn("round", F.nullif("round", F.lit(3)))
-    return H.metric_history(told).select("round", "metric", r6("value").alias("value"))
+    return H.metric_history(told).select(F.col("round").cast("string").alias("round"), "metric", r6("value").alias("value"))
 
 
 def epoch_history(spark, sf):
@@ -1146,16 +1147,17 @@ def checkpoint(spark, sf):
 
 @query()
 def mlp_fit(spark, sf):
-    """Rounds with one hidden layer: metric history of the run."""
-    _, done = two_rounds(spark, sf, hidden=(16,))
+    """Rounds with the hidden layers of the settings: metric history of the run."""
+    model = ModelSettings()
+    _, done = two_rounds(spark, sf, hidden=(model.hidden_size,) * model.num_layers)
     return done.history.withColumn("value", r6("value", 4))
 
 
 @query()
 def search_trials(spark, sf):
-    """Six settings fitted together over the reading windows; all their reports."""
+    """Six settings of the whole space fitted together over the reading windows; all their reports."""
     rows = training_windows(spark, sf)
-    out = search(rows.where("split = 'train'"), rows.where("split = 'val'"), 6, 3, hidden=[8, 16], layers=(0, 2))
+    out = search(rows.where("split = 'train'"), rows.where("split = 'val'"), 6, 3)
     return out.select("study", "trial", "step", r6("value", 4).alias("value"), "best_threshold")
 
 
