@@ -15,6 +15,7 @@ from wattline.operators import metrics as M
 from wattline.operators.history import metric_history, weighted_all_metrics
 from wattline.operators.ordering import hash_token, mark_lowest
 from wattline.plans.fitting import Weights, average_weights, init_weights, local_fit, score, unflat, weight_rows
+from wattline.session import stored
 from wattline.sources.stores import save_checkpoint
 
 RESULTS = "round int, client_id int, num_examples bigint, metrics map<string,double>"
@@ -48,8 +49,10 @@ def evaluate_round(scores: DataFrame, cap: float | None = None, rows: int | None
 def evaluate_final(scores: DataFrame, threshold: float | None = None, cap: float | None = None) -> dict:
     """Held-out evaluation: summary row, class report, confusion matrix.
 
-    F1 in the summary is the one at the best threshold; report and matrix use ``threshold`` if given.
+    F1 in the summary is the one at the best threshold; report and matrix use ``threshold`` if given.  The scores are
+    stored first, so each row is scored once for all three.
     """
+    scores = stored(scores.select("y", "logit", "prob"))
     summary = M.evaluate_scores(scores, cap=cap).first()
     used = summary["best_threshold"] if threshold is None else threshold
     called = scores.select("y", C.decide("prob", used).alias("pred"))
