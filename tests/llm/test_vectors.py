@@ -113,7 +113,7 @@ def test_nearest_vectors(vectors, monkeypatch):
 
     rows = vectors.collect()
     asked = vectors.where("vec_id % 20 = 0")
-    for block in (20_000, 20):
+    for block in (10_000, 20):
         monkeypatch.setattr(probing, "BLOCK", block)
         want = nearest_by_hand(rows, 20)
         got = {}

@@ -15,7 +15,7 @@ from wattline.llm.vectors import by_dimension, stacked, usable
 from wattline.llm.words import mix
 from wattline.session import stored
 
-BLOCK = 20_000
+BLOCK = 10_000
 SAMPLE = 4_000
 WIDTHS = tuple(0.4 * 1.1**i for i in range(21))
 
@@ -195,7 +195,7 @@ def nearest_vectors(
     the corpus reaches ``aim`` at the distance its n-th neighbours have in the whole; everything is indexed.
 
     Equal vectors are one entry that holds its n + 1 smallest keys, which is all a result can need.  Cells are
-    dealt into blocks of about 20,000 vectors; a block that grew larger is cut further, and queries go to each
+    dealt into blocks of about 10,000 vectors; a block that grew larger is cut further, and queries go to each
     part.  A task holds one block's vectors, and its queries stream past.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a key, take no part;
