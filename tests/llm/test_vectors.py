@@ -181,3 +181,37 @@ def test_queries_run(spark):
     want = nearest_by_hand(rows, 20)
     met = sum(len({i for _, i in want[q]} & set(g.vec_id)) for q, g in found.groupby("query_id"))
     assert met >= 0.9 * sum(map(len, want.values()))
+
+
+def test_isolated_queries_have_all_their_neighbours(spark):
+    """Most vectors lie in tight clusters, which fix a narrow width; a few lie far from everything, one has no like."""
+    rng = np.random.default_rng(8)
+    centres = unit(rng.standard_normal((40, 64)))
+    x = np.concatenate([unit(centres[np.arange(5000) % 40] + 0.02 * rng.standard_normal((5000, 64))), unit(rng.standard_normal((75, 64)))])
+    rows = [(i, v.tolist(), 0, None) for i, v in enumerate(x)] + [(9000, [1.0, 2.0], 0, None), (9001, [2.0, 2.0], 0, None)]
+    df = spark.createDataFrame(rows, KIND)
+    got = {}
+    for r in nearest_vectors(df, df.where("vec_id % 50 = 0 OR vec_id >= 5000")).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    asked = [*range(0, 5000, 50), *range(5000, 5075)]
+    assert sorted(got) == [*asked, 9000, 9001] and all(len(got[q]) == 20 for q in asked) and got[9000] == [9001]
+    x = np.array([r[1] for r in rows[: len(x)]], dtype=np.float32).astype(float)
+    shares = []
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -9
+        shares.append(len(set(np.argsort(-score)[:20].tolist()) & set(got[q])) / 20)
+    assert min(shares[100:]) == 1.0 and np.mean(shares) >= 0.98
+
+
+def test_chance_to_meet_is_that_of_random_projections():
+    rng = np.random.default_rng(9)
+    q = unit(rng.standard_normal((400, 32)))
+    away = rng.standard_normal((400, 32))
+    away = unit(away - (away * q).sum(axis=1, keepdims=True) * q)
+    for cosine in (0.9, 0.5):
+        y = cosine * q + np.sqrt(1 - cosine**2) * away
+        h = Hashes(2, 4, 30, 0.8, 1.0)
+        codes = h.data(y)
+        seen = np.mean([any(codes[i, t] in h.query(q[i : i + 1], t)[0] for t in range(2)) for i in range(400)])
+        assert abs(seen - h.met(q, np.full(400, cosine)).mean()) < 0.08

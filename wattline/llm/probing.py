@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import product
+from math import erf
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,12 @@ from wattline.session import stored
 
 BLOCK = 10_000
 SAMPLE = 4_000
+# least share of a sample query's neighbours at the LOW quantile, and least estimated share of a query that is not searched exactly
+LEAST = 0.9
+LOW = 0.05
+# blocks of an exact pass, however few vectors there are
+EXACT_BLOCKS = 32
+_erf = np.frompyfunc(erf, 1, 1)
 WIDTHS = tuple(0.4 * 1.1**i for i in range(21))
 
 
@@ -47,22 +54,45 @@ class Hashes:
         extra = np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))
         return np.stack([self.code(np.floor(self._places(y, extra, t)).astype(np.int64), x.shape[1], t) for t in range(self.tables)], axis=1)
 
-    def query(self, q: np.ndarray, t: int) -> np.ndarray:
-        """Codes of the ``probes`` cells of table t a query most likely has its neighbours in, likeliest first.
-
-        A step over a cell's border costs the squared distance to it; the set of steps with the least sum comes first.
-        """
+    def _probed(self, q: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own cell of each query, its place in the cell, and the numbers of the steps to probe."""
         y = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
         at = self._places(y, np.zeros(len(q)), t)
         cell = np.floor(at)
         f = at - cell
         cost = f**2 @ self.down.T + (1 - f) ** 2 @ self.up.T
-        order = np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
-        return self.code(cell.astype(np.int64)[:, None, :] + self.steps[order], q.shape[1], t)
+        return cell.astype(np.int64), f, np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
+
+    def query(self, q: np.ndarray, t: int) -> np.ndarray:
+        """Codes of the ``probes`` cells of table t a query most likely has its neighbours in, likeliest first.
+
+        A step over a cell's border costs the squared distance to it; the set of steps with the least sum comes first.
+        """
+        cell, _, order = self._probed(q, t)
+        return self.code(cell[:, None, :] + self.steps[order], q.shape[1], t)
+
+    def met(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Chance that a vector with inner product ``score`` to a query lies in one of its probed cells.
+
+        A Gaussian projection of the difference is normal with the distance as its deviation.
+        """
+        cosine = score / (np.sqrt((q * q).sum(axis=1)) * self.longest)
+        scale = self.width / np.sqrt(2 * np.maximum(2 - 2 * cosine, 1e-12))
+        missed = np.ones(len(q))
+        for t in range(self.tables):
+            _, f, order = self._probed(q, t)
+            below = [_erf(scale[:, None] * (k - f)).astype(float) for k in (-1, 0, 1, 2)]
+            chance = np.stack([(b - a) / 2 for a, b in zip(below, below[1:])], axis=2)  # cell before, own, after
+            part = np.ones(order.shape)
+            for c in range(self.size):
+                part *= np.take_along_axis(chance[:, c], self.steps[order, c] + 1, axis=1)
+            missed *= 1 - np.minimum(part.sum(axis=1), 1.0)
+        return 1 - missed
 
 
 def fit_width(x: np.ndarray, total: int, nearest: int, tables: int, size: int, probes: int, aim: float, longest: float) -> float:
-    """Smallest width at which a sample's queries find the share ``aim`` of their neighbours.
+    """Smallest width at which a sample's queries find the share ``aim`` of their neighbours, and all but the share
+    ``LOW`` of them at least ``LEAST`` of their own.
 
     In a sample of m of N vectors, as many as ``nearest * m / N`` neighbours lie as far as the ``nearest`` of all do.
     """
@@ -80,7 +110,7 @@ def fit_width(x: np.ndarray, total: int, nearest: int, tables: int, size: int, p
         for t in range(tables):
             for i, probed in enumerate(h.query(ask, t)):
                 met[i] |= np.isin(codes[best[i], t], probed)
-        if met.mean() >= aim:
+        if met.mean() >= aim and np.quantile(met.mean(axis=1), LOW, method="lower") >= LEAST:
             return width
     return WIDTHS[-1]
 
@@ -146,7 +176,7 @@ class Block:
         if not full.any():
             return []
         at = np.concatenate([np.arange(a, b) for a, b in zip(low[full], high[full])])
-        rough = x[at] @ q
+        rough = x @ q if len(at) == len(x) else x[at] @ q
         if len(at) > n + 1:  # one more than asked for: the query's own vector may be among them
             at = at[rough >= np.partition(rough, len(at) - n - 1)[len(at) - n - 1] - 1e-9]
         score = (x[at] * q).sum(axis=1)
@@ -182,6 +212,27 @@ def _search(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array(found, kind_of)], ["query_id", "found"])
 
 
+def _unsure(batches: Iterable[pa.RecordBatch], h: Hashes) -> Iterator[pa.RecordBatch]:
+    """Keys of queries (id, vector, score of the last of n found or null) that may have missed more than 1 - ``LEAST``."""
+    for batch in batches:
+        for rows, q in by_dimension(batch.column(1)) if batch.num_rows else ():
+            last = batch.column(2).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.float64)
+            known = ~np.isnan(last)
+            low = ~known
+            for at in range(0, len(rows), 1000):
+                part = np.flatnonzero(known[at : at + 1000]) + at
+                low[part] = h.met(q[part], last[part]) < LEAST
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[low]))], ["id"])
+
+
+def _answers(both: DataFrame, n: int) -> DataFrame:
+    """query_id, found: the n best of each query in the slots it was sent to."""
+    answers = both.repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(
+        lambda b: _search(b, n), "query_id long, found array<struct<less:double,id:long>>"
+    )
+    return answers.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, n).alias("found"))
+
+
 def nearest_vectors(
     vectors: DataFrame, queries: DataFrame, n: int = 20, key: str = "vec_id", vector: str = "embedding",
     tables: int = 4, size: int = 6, probes: int = 200, aim: float = 0.98, sample: int = SAMPLE,
@@ -194,6 +245,10 @@ def nearest_vectors(
     precision.  The cells' width is fitted on at most ``sample`` vectors (first by a hash), so that a sample of
     the corpus reaches ``aim`` at the distance its n-th neighbours have in the whole; everything is indexed.
 
+    A query that found fewer than ``n``, or whose n-th found is so far away that a vector there lies in its probed
+    cells with a chance below ``LEAST``, is compared with all vectors, block by block.  So each query has ``n``
+    rows, or as many as it has candidates.
+
     Equal vectors are one entry that holds its n + 1 smallest keys, which is all a result can need.  Cells are
     dealt into blocks of about 10,000 vectors; a block that grew larger is cut further, and queries go to each
     part.  A task holds one block's vectors, and its queries stream past.
@@ -224,10 +279,21 @@ def nearest_vectors(
     held = held.join(parts, "slot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     sent = sent.join(parts, "slot").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     both = held.unionByName(sent).select(F.xxhash64("slot", "part").alias("slot"), *FIELDS[1:])
-    answers = both.repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(
-        lambda b: _search(b, n), "query_id long, found array<struct<less:double,id:long>>"
-    )
-    best = answers.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, n).alias("found"))
+    best = stored(_answers(both, n))
+
+    last = F.when(F.size("found") == n, -F.element_at("found", -1)["less"])
+    judged = asked.join(best.select(F.col("query_id").alias("id"), last.alias("last")), "id", "left")
+    unsure = stored(judged.mapInArrow(lambda b: _unsure(b, h), "id long").distinct())
+    if not unsure.isEmpty():
+        slots = max(EXACT_BLOCKS, blocks)
+        one = F.array(F.lit(0).cast("long"))
+        held = entries.select(F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot"), F.lit(0).alias("kind"), F.col("node").alias("id"), "vector", "ids", one.alias("codes"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))
+        sent = asked.join(unsure, "id", "left_semi").select(
+            every.alias("slot"), F.lit(1).alias("kind"), "id", "vector", F.lit(None).cast("array<long>").alias("ids"), one.alias("codes")
+        )
+        exact = _answers(held.unionByName(sent), n)
+        best = best.join(unsure, best["query_id"] == unsure["id"], "left_anti").unionByName(exact)
     return best.select("query_id", F.posexplode("found").alias("rank", "x")).select(
         "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.less")).alias("score")
     )
