@@ -346,6 +346,38 @@ def test_token_counts(spark, docs, empty, library):
     assert token_counts(empty, path, 20).count() == 0
 
 
+def test_prefixes_of_long_words(library):
+    """Exact counts of all prefixes; the library is not given more than the word a few times over."""
+    from wattline.llm import tokens
+
+    class Counted:
+        given = 0
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, parts, **more):
+            self.given += sum(map(len, parts))
+            return library.encode_batch_fast(parts, **more)
+
+    rng = random.Random(4)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "的一是在不了有和人这中大为上个国我以要他", "aAbB09=/+-'!?.,", "日本語カタカナひらがなé漢字😀ñ", "don'twe'llthey'rei've's"]
+    words = ["".join(rng.choices(a, k=rng.randrange(65, 160))) for a in letters for _ in range(4)] + ["=" * 300, "Ω" * 80 + "Σ"]
+    for word in words + ["e\u0301" * 40, "İ" * 70]:  # the last two are normalised otherwise than they stand there
+        cache = tokens.WordTokens(tokenizer(WORD_BPE), False)
+        cache.tokenizer = counted = Counted()
+        want = [len(e) for e in library.encode_batch_fast([word[:i] for i in range(len(word) + 1)], add_special_tokens=False)]
+        assert cache.inside(word) == want
+        assert word not in words or counted.given <= 4 * len(word)
+    long = "".join(rng.choices(letters[1], k=5000))
+    cache = tokens.WordTokens(tokenizer(WORD_BPE), False)
+    cache.tokenizer = counted = Counted()
+    raw = [long.encode()]
+    fit = tokens.longest_prefix(cache, long, raw, cache.values(raw), 2048)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert count(long[:fit]) <= 2048 < count(long[: fit + 1]) and counted.given <= 4 * len(long)
+
+
 def test_word_cache_starts_over(monkeypatch, library):
     from wattline.llm import tokens
 

@@ -1,14 +1,18 @@
 """Token ids and exact token counts of every prefix (operator 10).
 
 A pre-tokenizer that never joins text across white space makes a text's tokens the tokens of its words, one
-word after the other.  So the table of prefix counts is a running sum over words; inside a word, its own
-prefixes are counted once and kept.  Words are encoded by the library itself, once for each distinct word a
-worker meets, which is where nearly all of its time would go otherwise.
+word after the other.  So the table of prefix counts is a running sum over words.  Words are encoded by the
+library itself, once for each distinct word a worker meets, which is where nearly all of its time would go
+otherwise.  Prefixes inside a word are encoded by the library while the word is short.  A longer word falls
+apart into the pre-tokenizer's pieces, and a piece's prefixes are counted in one pass over its bytes
+(``PieceTable``), so time and memory grow with the length of the word.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -22,6 +26,9 @@ from pyspark.sql import functions as F
 from wattline.llm.words import pieces
 
 KEPT_WORDS = 500_000
+# longer words are counted by pieces and not kept; prefixes of words that cannot be are encoded some at a time
+LONG_WORD = 64
+AT_ONCE = 1 << 18
 
 
 def load(path: str):
@@ -32,6 +39,80 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+class PieceTable:
+    """Token counts of all prefixes of a piece under byte-pair merges whose words end in a suffix.
+
+    A sequence of tokens is what merging gives exactly if that holds for each two neighbours in it.  So the last
+    token of a prefix is the one that merging leaves beside the last token of the prefix before it, and its count
+    is that prefix's count and one.  Tokens with the suffix come only last.
+    """
+
+    def __init__(self, model: dict):
+        self.end = model.get("end_of_word_suffix") or ""
+        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        self.vocab = model["vocab"]
+        self.longest = max(map(len, self.vocab))
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def merged(self, parts: list[str]) -> list[str]:
+        while len(parts) > 1:
+            low = min((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if low[0] == len(self.rank):
+                break
+            parts[low[1] : low[1] + 2] = [parts[low[1]] + parts[low[1] + 1]]
+        return parts
+
+    def symbols(self, token: str, last: bool) -> list[str]:
+        out = list(token[: -len(self.end)]) if last else list(token)
+        return [*out[:-1], out[-1] + self.end] if last else out
+
+    def stays(self, a: str, b: str, last: bool) -> bool:
+        if (a, b) not in self.pairs:
+            if len(self.pairs) > KEPT_WORDS:
+                self.pairs.clear()
+            left = self.symbols(a, False) if a else []
+            self.pairs[a, b] = self.merged(left + self.symbols(b, last)) == ([a, b] if a else [b])
+        return self.pairs[a, b]
+
+    def last(self, piece: str, at: int, lasts: list[str], end: str) -> str | None:
+        for i in range(max(0, at - self.longest), at):
+            token = piece[i:at] + end
+            if token in self.vocab and (lasts[i] or not i) and self.stays(lasts[i], token, bool(end)):
+                return token
+        return None
+
+    def counts(self, piece: str, cuts: set[int]) -> list[int] | None:
+        """Counts of the prefixes (in symbols) at ``cuts``, in order; None where the vocabulary cannot spell one."""
+        lasts, plain, out = [""], [0], []
+        for at in range(1, len(piece) + 1):
+            if at in cuts:
+                token = self.last(piece, at, lasts, self.end)
+                if token is None:
+                    return None
+                out.append(plain[at - len(token) + len(self.end)] + 1)
+            token = self.last(piece, at, lasts, "")
+            if token is None:
+                return None
+            lasts.append(token)
+            plain.append(plain[at - len(token)] + 1)
+            if at > self.longest:
+                lasts[at - self.longest] = ""  # no token reaches back so far
+        return out
+
+
+def piece_table(tokenizer) -> PieceTable | None:
+    """None for tokenizers that do more than lower case, splits and byte-pair merges of bytes with a word suffix."""
+    made = json.loads(tokenizer.to_str())
+    model, normal, split = made["model"], made["normalizer"] or {}, made["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") and not (
+        model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("byte_fallback")
+    )
+    steps = [x["type"] for x in normal.get("normalizers", [normal])]
+    parts = [x["type"] for x in split.get("pretokenizers", [split])]
+    known = set(steps) <= {"NFC", "Replace", "Lowercase"} and parts == ["Split", "ByteLevel"]
+    return PieceTable(model) if plain and known else None
+
+
 class WordTokens:
     """Ids of words (``ids=True``: little-endian unsigned 32-bit) or their number, for words split at ASCII space.
 
@@ -41,6 +122,8 @@ class WordTokens:
     def __init__(self, path: str, ids: bool):
         self.tokenizer, self.ids, self.known = load(path), ids, {}
         self.inner: dict[str, list[int]] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.table: PieceTable | None | bool = False  # False: not made yet
 
     def values(self, words: list[bytes]) -> list:
         """The value of each word, in order."""
@@ -59,13 +142,51 @@ class WordTokens:
                 known.update((w, len(e)) for w, e in zip(part, found))
         return [known[w] for w in words]
 
+    def encoded(self, parts: Iterable[str]) -> list[int]:
+        """Token counts of ``parts``, which the library is given some at a time."""
+        out, some, size = [], [], 0
+        for part in parts:
+            some.append(part)
+            size += len(part)
+            if size > AT_ONCE:
+                out += map(len, self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
+                some, size = [], 0
+        return out + list(map(len, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+
     def inside(self, word: str) -> list[int]:
         """Token counts of a word's prefixes of 0, 1, … code points."""
+        if len(word) > LONG_WORD:
+            found = self.by_pieces(word)
+            return self.encoded(word[:i] for i in range(len(word) + 1)) if found is None else found
         if word not in self.inner:
-            found = self.tokenizer.encode_batch_fast([word[:i] for i in range(len(word) + 1)], add_special_tokens=False)
-            self.inner[word] = [len(e) for e in found]
+            self.inner[word] = self.encoded(word[:i] for i in range(len(word) + 1))
         return self.inner[word]
 
+    def by_pieces(self, word: str) -> list[int] | None:
+        """``inside`` by running totals over pieces; None where a prefix is not normalised as it is in the word."""
+        if self.table is False:
+            self.table = piece_table(self.tokenizer)
+        if self.table is None or not unicodedata.is_normalized("NFC", word) or any(t in word for t in self.added):
+            return None
+        lowered = "".join(c.lower() for c in word)
+        if len(lowered) != len(word) or self.tokenizer.normalizer.normalize_str(word) != lowered:
+            return None
+        out, at = [0], 0
+        for symbols, (start, stop) in self.tokenizer.pre_tokenizer.pre_tokenize_str(lowered):
+            if start != at:
+                return None
+            base, part = out[-1], lowered[start:stop]
+            if part in ("'re", "'ve", "'ll"):  # cut inside, they are no such piece
+                out += [base + n for n in self.encoded([part[:1], part[:2], part])]
+            else:
+                cuts = list(accumulate(len(c.encode()) for c in part))
+                found = self.table.counts(symbols, set(cuts)) if cuts[-1] == len(symbols) else None
+                if found is None:
+                    return None
+                out += [base + n for n in found]
+            at = stop
+        return out if len(out) == len(word) + 1 and out[-1] == self.values([word.encode()])[0] else None
+
 
 _OPEN: dict[tuple[str, bool], WordTokens] = {}
 
@@ -130,8 +251,8 @@ def token_counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", te
     """One row per row: ``key``, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``), fit_chars (code points
     of the longest prefix with at most ``limit`` tokens).
 
-    All come from the table of prefix counts; no text is encoded as a whole and none twice.  A null text
-    counts as empty.  No shuffle; the tokenizer file must be at ``path`` on each worker and must not join text
+    All come from running totals over words, and over the pieces of the word that crosses the limit; no text is
+    encoded as a whole.  A null text counts as empty.  No shuffle; the tokenizer file must be at ``path`` on each worker and must not join text
     across white space (the word-level vocabularies do not).
     """
     kind = docs.schema[key].dataType.simpleString()
