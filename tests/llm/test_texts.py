@@ -457,6 +457,27 @@ def test_n_best():
             assert len(whole) == len(got)
 
 
+def test_memory_of_a_long_unit():
+    """Memory grows with the length of a unit and not with its square, and long units are not kept."""
+    import tracemalloc
+
+    path = tokenizer(PIECE_BPE)
+    model = lattice(path)
+    rng = random.Random(3)
+    peaks = []
+    for size in (2000, 8000):
+        for text in ("=" * size, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=size))):
+            kept = model.top.cache_info().currsize, model.listed.cache_info().currsize
+            tracemalloc.start()
+            parts, got = model.segment(text, 4)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert len(got) == 4 and model.decode(b"".join(parts)) == text.encode()
+            assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+            assert kept == (model.top.cache_info().currsize, model.listed.cache_info().currsize)
+    assert peaks[2] < 8 * peaks[0] and peaks[3] < 8 * peaks[1]
+
+
 def test_segmentations(spark, docs, empty):
     import sentencepiece
 
