@@ -295,6 +295,22 @@ def test_message_passing_is_exact_on_trees():
     assert np.allclose(posteriors(g, field), want, atol=0.02)
 
 
+def test_a_label_reaches_all_repeats():
+    """Fifty equal tokens in a row, only the first observed: chances of the exact forward and backward pass."""
+    from wattline.llm.personal import HASHES, LABELS, Field, Graph, posteriors
+
+    skip = np.full((LABELS, LABELS), -5.0)
+    np.fill_diagonal(skip, 1.6)
+    field = Field(np.zeros((HASHES + 1, LABELS)), np.zeros((LABELS, LABELS)), skip)
+    for n in (50, 400):
+        edges = [(i, i + 1) for i in range(n - 1)]
+        got = posteriors(Graph([(0, 1)] * n, [[0]] * n, [3] + [-1] * (n - 1), [], edges), field)
+        step = np.exp(skip)
+        step /= step.sum(axis=1, keepdims=True)
+        want = [np.linalg.matrix_power(step, i)[3, 3] for i in range(n)]
+        assert np.allclose(got[:, 3], want, atol=1e-3)
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(5)
     word = ["stone", "river", "cloud", "over", "and", "the", "a", "of", "quick", "calm"]
