@@ -134,6 +134,33 @@ def op8_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
 
+@query
+def op11_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.spellings import spelling_variants
+
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
+
+
+@query
+def op12_languages(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.languages import fit_languages, predict_languages
+
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    model = fit_languages(docs.where(~held_out), tokenizer(MULTI_BPE))
+    return predict_languages(docs, model, held_out=held_out)
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from wattline.llm.whitening import whiten_vectors
+
+    return whiten_vectors(table(spark, folder, "embeddings"))
+
+
 # ---------------------------------------------------------------- SQL where it can say the same
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -172,3 +199,26 @@ SQL["op8_near_vectors"] = f"""WITH RECURSIVE v AS (
   WHERE list_dot_product(x.e, y.e) / (x.r * y.r) >= 0.93), ids AS (SELECT vec_id AS a FROM embeddings), {REACH}
   SELECT d.vec_id, (SELECT count(*) FROM link WHERE a = d.vec_id) AS n_links, component_id, d.vec_id = component_id AS kept
   FROM embeddings d JOIN comp ON comp.id = d.vec_id"""
+
+# crc32 by bytes; letters up to U+00FF take one byte or two
+SQL["op11_spellings"] = """WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab), run AS (
+  SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents)
+  WHERE length(w) >= 7 GROUP BY ALL), h AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM run, t), v AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2), cut AS (
+  SELECT word, n, i, left(word, i - 1) AS l, substr(word, i + 1) AS r FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM v)), near AS (
+  SELECT a.word, b.word AS o, b.n AS o_n FROM cut a JOIN cut b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.l || a.r = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.l || a.r = b.word), best AS (
+  SELECT word, count(*) AS n_near, min((-o_n, o)) AS b FROM near GROUP BY word), f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b[1] >= 10 * v.n THEN b[2] END AS form,
+    CASE WHEN -b[1] >= 10 * v.n THEN (-b[1])::BIGINT END AS form_n FROM v LEFT JOIN best USING (word)), walk AS (
+  SELECT word, word AS here, 0 AS step FROM f UNION ALL
+  SELECT w.word, f.form, step + 1 FROM walk w JOIN f ON f.word = w.here WHERE f.form IS NOT NULL)
+  SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, max_by(here, step) AS root FROM walk GROUP BY word) USING (word)"""
