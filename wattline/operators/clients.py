@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.operators.ordering import AHEAD, BUCKET_DIGITS, TOKEN, hash_parts, hash_token
+from wattline.operators.ordering import AHEAD, BUCKET_DIGITS, TOKEN, hash_parts, hash_token, join_groups
 
 
 def node_counts(df: DataFrame, node: str) -> DataFrame:
@@ -99,15 +99,15 @@ def _rank_in_count(counts: DataFrame, node: str) -> DataFrame:
 def client_rows(
     df: DataFrame, assignment: DataFrame, node: str, number: int | None = None, client: str = "client_id"
 ) -> DataFrame:
-    """Rows with their node's client, or only those of one client.
+    """Rows with their node's client, or only those of one client; a null node is a node like any other.
 
     No broadcast is forced: the node table grows with the data, so its measured size decides the join.
     """
     if number is None:
-        return df.join(assignment.select(node, client), node)
+        return join_groups(df, assignment.select(node, client), [node])
     if number < 0:
         raise ValueError(f"invalid client number {number}")
-    return df.join(assignment.where(F.col(client) == number).select(node), node, "left_semi")
+    return join_groups(df, assignment.where(F.col(client) == number).select(node), [node], "left_semi")
 
 
 def partition_stats(df: DataFrame, node: str, client: str = "client_id") -> DataFrame:

@@ -11,7 +11,7 @@ from wattline.operators.ordering import (
     AHEAD, CHECK, MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, hash_token, join_groups, mark_lowest,
 )
 from wattline.session import frozen
-from wattline.operators.windows import stride_windows
+from wattline.operators.windows import stride_windows, window_strips
 
 # widths of the histograms that narrow down a timestamp: hour, second, microsecond
 HOUR_US, SECOND_US, MICRO_US = 3_600_000_000, 1_000_000, 1
@@ -108,6 +108,16 @@ def split_windows(
     )
 
 
+def split_strips(
+    df: DataFrame, node: str, order: Sequence[str], features: Sequence[str], label: str, ratio: float = 0.8, gap_hours: float = 0,
+    window: int = 168, stride: int = 24, client: str | None = None, max_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None | str = CHECK,
+) -> DataFrame:
+    """The windows of :func:`split_windows` as strips that hold each row about once: what a fit stores."""
+    by = [client] if client else []
+    sides = temporal_split(df, order[0], ratio, gap_hours, by)
+    return window_strips(sides, [*by, "split", node], order, features, label, window, stride, max_rows, hot)
+
+
 def random_split(
     df: DataFrame, key: str, ratio: float, seed: int = 42, by: Sequence[str] = (), strict: bool = True
 ) -> DataFrame:

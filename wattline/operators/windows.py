@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wattline.functions import columns as C
 from wattline.operators.ordering import CHECK, MAX_GROUP_ROWS, POS, over_series
 
-PANE = "_pane"
+PANE, STRIP = "_pane", "_strip"
 
 
 def _over_panes(df, by, order, window, stride, label, pane_cols, window_cols, max_rows, hot) -> DataFrame:
@@ -72,8 +72,14 @@ def stride_windows(
     """Windows at 0, stride, … while ``start + window < rows``: ``x`` holds the feature rows in order as
     32-bit floats, ``y`` the label of the row right after the window.
 
-    Every row keeps its place even if some feature is null.  ``strict`` fails when there is no window.
+    Every row keeps its place even if some feature is null.  ``strict`` fails when there is no window.  Where neither of
+    window and stride divides the other, panes would be tiny, so windows are sliced from strips of rows instead.
     """
+    if window > 0 and stride > 0 and gcd(window, stride) < min(window, stride):
+        out = _sliced_windows(df, by, order, features, label, window, stride, max_rows, hot)
+        if strict and out.isEmpty():
+            raise ValueError("no series is longer than the window")
+        return out
     row = F.struct(F.col(POS), C.assemble(features).alias("v"))
     pane = F.transform(F.sort_array(F.collect_list(row)), lambda r: r["v"]).alias("_rows")
     out = _over_panes(
@@ -86,6 +92,73 @@ def stride_windows(
     return out
 
 
+def window_strips(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    features: Sequence[str],
+    label: str,
+    window: int = 168,
+    stride: int = 24,
+    max_rows: int = MAX_GROUP_ROWS,
+    hot: DataFrame | None | str = CHECK,
+    span: int = 8,
+) -> DataFrame:
+    """The windows of :func:`stride_windows` as strips: the rows that neighbouring windows share are there once.
+
+    A strip has its keys, ``start`` (position of its first window), ``x`` (feature rows one after the other, 32-bit
+    floats), ``y`` (the label after each of its windows), ``window`` and ``stride``; the i-th window is the
+    ``window`` rows from ``i * stride`` on.  It covers the labels of about ``span`` windows' worth of rows, so a row is stored
+    1 + 1 / span times, whatever the stride.
+    """
+    if window < 1 or stride < 1 or span < 1:
+        raise ValueError("window, stride and span must be positive")
+    start = F.element_at("_labels", 1)[POS] - window
+    count = (F.size("_labels") - 1) * stride + window
+    inside = F.slice("_rows", (start - F.element_at("_rows", 1)[POS] + 1).cast("int"), count)
+    columns = [
+        start.alias("start"), F.flatten(F.transform(inside, lambda r: r["v"])).alias("x"),
+        F.transform("_labels", lambda r: r["y"].cast("int")).alias("y"), F.lit(window).alias("window"), F.lit(stride).alias("stride"),
+    ]
+    row = F.struct(F.col(POS), C.assemble(features).alias("v"), F.col(label).alias("y"))
+    return _over_strips(df, by, order, window, stride, span, row, columns, max_rows, hot)
+
+
+def _over_strips(df, by, order, window, stride, span, row, columns, max_rows, hot) -> DataFrame:
+    """One row per strip with at least one window: keys and ``columns``, made of ``_rows`` (the strip's ``row`` structs in
+    order of position) and ``_labels`` (those of them that follow a window)."""
+    by, unit = list(by), -(-span * window // stride) * stride
+
+    def build(rows: DataFrame, parts: list[str]) -> DataFrame:
+        # a strip owns the labels at unit * strip and on, and also takes the window of rows before them
+        own = F.expr(f"{POS} div {unit}")
+        spread = rows.withColumn(STRIP, F.explode(F.sequence(own, F.expr(f"({POS} + {window}) div {unit}"))))
+        strips = spread.groupBy(*parts, STRIP).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+        first = F.col(STRIP) * unit
+
+        def ends_window(r: Column) -> Column:
+            return (r[POS] >= first) & (r[POS] >= window) & ((r[POS] - window) % stride == 0)
+
+        found = strips.withColumn("_labels", F.filter("_rows", ends_window)).where(F.size("_labels") > 0)
+        return found.select(*parts, first.alias(POS), *columns)
+
+    return over_series(df, by, order, window, build, max_rows, unit, hot).drop(POS)
+
+
+def _sliced_windows(df, by, order, features, label, window, stride, max_rows, hot, span: int = 8) -> DataFrame:
+    row = F.struct(F.col(POS), F.col(order[0]).alias("t"), C.assemble(features).alias("v"), F.col(label).alias("y"))
+
+    def cut(told: Column) -> Column:
+        at = told[POS] - window - F.element_at("_rows", 1)[POS] + 1
+        rows = F.slice("_rows", at.cast("int"), window)
+        return F.struct(
+            (told[POS] - window).alias("start"), F.element_at(rows, 1)["t"].alias("start_ts"), told["t"].alias("label_ts"),
+            told["y"].alias("y"), F.transform(rows, lambda r: r["v"]).alias("x"),
+        )
+
+    return _over_strips(df, by, order, window, stride, span, row, [F.inline(F.transform("_labels", cut))], max_rows, hot)
+
+
 def window_stats(
     df: DataFrame,
     by: Sequence[str],

@@ -12,8 +12,8 @@ from wattline.functions import columns as C
 from wattline.operators import metrics as M
 from wattline.operators.clients import assign_rows_random
 from wattline.operators.splits import random_split
-from wattline.plans.fitting import init_weights, score
-from wattline.plans.preparation import as_vectors, building_test_windows, building_windows, prepare_grid_log
+from wattline.plans.fitting import init_weights, input_width, score
+from wattline.plans.preparation import as_vectors, building_strips, building_test_windows, prepare_grid_log
 from wattline.plans.rounds import Federated, evaluate_final, federated_rounds
 from wattline.session import stored
 from wattline.sources.readings import building_schema, load_clients, read_readings
@@ -22,7 +22,7 @@ from wattline.sources.stores import load_checkpoint
 
 @dataclass
 class Prepared:
-    """Training rows (client_id, x, y) of both sides."""
+    """Training rows (client_id, x, y) of both sides, or strips of windows."""
 
     train: DataFrame
     val: DataFrame
@@ -36,12 +36,11 @@ def building_readings(spark: SparkSession, settings: Experiment) -> Prepared:
         spark, data.path, schema, federation.mode, data.target, federation.clients, data.node,
         pattern=data.pattern, seed=data.seed,
     )
-    windows = building_windows(
+    strips = stored(building_strips(
         rows, "client_id", 1.0 - data.test_share, data.gap_hours, data.window, data.stride, node=data.node or "building_id",
-        time=data.time, narrow=data.narrow,
-    )
-    vectors = stored(as_vectors(windows, ["client_id", "split"], data.normalize))
-    return Prepared(vectors.where("split = 'train'"), vectors.where("split = 'val'"))
+        time=data.time, narrow=data.narrow, normalize=data.normalize,
+    ))
+    return Prepared(strips.where("split = 'train'"), strips.where("split = 'val'"))
 
 
 @HELD_OUT.add("building_readings")
@@ -104,7 +103,7 @@ def run_experiment(spark: SparkSession, settings: Experiment, run: str = "run")
     check_settings(settings)
     ready = DATASETS[settings.data.name](spark, settings)
     model, training, federation = settings.model, settings.training, settings.federation
-    width = ready.train.select(F.size("x")).first()[0]
+    width = input_width(ready.train)
     return federated_rounds(
         ready.train, ready.val, federation.rounds, training.local_epochs, training.learning_rate,
         training.weight_decay, federation.mu, model.pos_weight_cap, start=MODELS[model.name](settings, width),

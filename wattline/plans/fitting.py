@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions import columns as C
+from wattline.functions.fixed_values import NORM_EPSILON
 from wattline.operators import metrics as M
+from wattline.operators.vectors import CHUNK, weighted_pieces
 
 # the functions below travel inside the tasks, so executors need no installed copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -78,8 +80,64 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+# ---------------------------------------------------------------- examples: flat rows, or windows in strips
+
+GEOMETRY = ("window", "stride", "scaled")
+
+
+def in_strips(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["y"].dataType, T.ArrayType)
+
+
+def example_columns(rows: DataFrame, *keys: str) -> list[str]:
+    return [*keys, "x", "y", *(GEOMETRY if in_strips(rows) else ())]
+
+
+def labels(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per example: keys and its label ``y``."""
+    return rows.select(*keys, F.explode("y").alias("y") if in_strips(rows) else F.col("y"))
+
+
+def input_width(rows: DataFrame) -> int:
+    """Features of an example."""
+    if not in_strips(rows):
+        return rows.select(F.size("x")).first()[0]
+    r = rows.select(F.size("x").alias("x"), F.size("y").alias("n"), "window", "stride").first()
+    return r["x"] // ((r["n"] - 1) * r["stride"] + r["window"]) * r["window"]
+
+
+def cut_windows(values: np.ndarray, count: int, window: int, stride: int, scaled: bool) -> np.ndarray:
+    """The ``count`` windows of a strip as flat rows; ``scaled``: each feature by its own mean and deviation in the window."""
+    rows = values.astype(np.float64).reshape((count - 1) * stride + window, -1)
+    cut = np.lib.stride_tricks.sliding_window_view(rows, window, axis=0)[::stride].transpose(0, 2, 1)
+    if scaled:
+        cut = (cut - cut.mean(axis=1, keepdims=True)) / np.sqrt(cut.var(axis=1, keepdims=True) + NORM_EPSILON)
+        cut = cut.astype(np.float32).astype(np.float64)  # as wide as stored windows are
+    return cut.reshape(count, -1)
+
+
+def examples(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers, features and labels of the examples of a batch; of strips one after the other."""
+    if not batch.num_rows:
+        return
+    y = batch.column("y")
+    if not pa.types.is_list(y.type):
+        yield np.arange(batch.num_rows), _matrix(batch.column("x")), y.to_numpy(zero_copy_only=False).astype(np.float64)
+        return
+    x, geometry = batch.column("x"), zip(*(batch.column(c).to_pylist() for c in GEOMETRY))
+    if x.flatten().null_count:
+        raise ValueError("a feature of a training row is null: drop or fill rows with nulls before a fit")
+    for i, (window, stride, scaled) in enumerate(geometry):
+        told = y[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+        yield np.full(len(told), i), cut_windows(x[i].values.to_numpy(zero_copy_only=False), len(told), window, stride, scaled), told
+
+
+def examples_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in table.to_batches():
+        yield from examples(batch)
+
+
 SUMS = "model int, chunk int, values array<double>"
-CHUNK = 4096
 
 
 def _chunk_batch(rows: Sequence[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -126,22 +184,19 @@ def gradient_pass(
         known, weight = sent.value
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = _matrix(batch.column("x"))
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
-            owner = None if shared else batch.column("client_id").to_numpy(zero_copy_only=False)
-            for m in known if shared else np.unique(owner).tolist():
-                mine = slice(None) if shared else owner == m
-                grad, loss = _gradient(known[m], x[mine], y[mine], weight.get(m, 1.0))
-                # loss and row count ride along behind the gradient
-                vector = np.concatenate([grad, [loss, len(y[mine])]])
-                sums[m] = sums[m] + vector if m in sums else vector
+            clients = None if shared else batch.column("client_id").to_numpy(zero_copy_only=False)
+            for at, x, y in examples(batch):
+                owner = None if shared else clients[at]
+                for m in known if shared else np.unique(owner).tolist():
+                    mine = slice(None) if shared else owner == m
+                    grad, loss = _gradient(known[m], x[mine], y[mine], weight.get(m, 1.0))
+                    # loss and row count ride along behind the gradient
+                    vector = np.concatenate([grad, [loss, len(y[mine])]])
+                    sums[m] = sums[m] + vector if m in sums else vector
         for m, v in sums.items():
             yield _chunk_batch([(m, k, v[i : i + CHUNK]) for k, i in enumerate(range(0, len(v), CHUNK))])
 
-    cols = ["x", "y"] if shared else ["client_id", "x", "y"]
-    parts = rows.select(*cols).mapInArrow(partials, SUMS)
+    parts = rows.select(*example_columns(rows, *([] if shared else ["client_id"]))).mapInArrow(partials, SUMS)
     found = parts.repartition("model", "chunk").mapInArrow(_add_up, SUMS).toArrow()
     sent.unpersist()
     vectors: dict[int, np.ndarray] = {}
@@ -234,10 +289,14 @@ def weight_rows(spark, fits: Mapping[int, Fit], round_no: int) -> DataFrame:
 
 
 def average_weights(updates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean of every weight position over the clients, weighted by their rows."""
-    n = F.col("num_examples")
-    long = updates.select(*by, n, F.posexplode("w").alias("pos", "value"))
-    return long.groupBy(*by, "pos").agg((F.sum(n * F.col("value")) / F.sum(n)).alias("value"))
+    """Mean of every weight position over the clients, weighted by their rows.
+
+    Vectors are added in pieces, first inside tasks, then per (group, piece); no position is a row before the end.
+    """
+    sums = weighted_pieces(updates, "num_examples", "w", by)
+    total = F.element_at("values", -1)
+    long = sums.select(*by, "chunk", total.alias("_n"), F.posexplode(F.expr("slice(values, 1, size(values) - 1)")).alias("_at", "_sum"))
+    return long.select(*by, (F.col("chunk") * CHUNK + F.col("_at")).alias("pos"), (F.col("_sum") / F.col("_n")).alias("value"))
 
 
 def score(
@@ -248,35 +307,36 @@ def score(
     With several models every row is scored by each, named in ``model``; or, not ``shared``, only by the
     model of its ``client_id``.
     """
-    many = isinstance(weights, Mapping)
+    many, flat_rows = isinstance(weights, Mapping), not in_strips(rows) if "y" in rows.columns else True
     sent = rows.sparkSession.sparkContext.broadcast(dict(weights) if many else {0: weights})
-    kept = rows.select(*keep).schema
+    kept = labels(rows, *(k for k in keep if k != "y")).select(*keep).schema
     extra = [T.StructField("model", T.IntegerType()), T.StructField("logit", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = _matrix(batch.column("x"))
-            columns = [batch.column(k) for k in keep]
             names = [*keep, "model", "logit"]
-            if shared:
-                for m, w in sent.value.items():
-                    logit = _activations(w, x)[-1][:, 0]
-                    yield pa.RecordBatch.from_arrays(
-                        [*columns, pa.array(np.full(len(x), m), pa.int32()), pa.array(logit)], names=names
-                    )
-                continue
-            owner = batch.column("client_id").to_numpy(zero_copy_only=False)
-            logit = np.empty(len(x))
-            for m in np.unique(owner).tolist():
-                mine = owner == m
-                logit[mine] = _activations(sent.value[m], x[mine])[-1][:, 0]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(owner, pa.int32()), pa.array(logit)], names=names
-            )
-
-    cols = [*keep, *(c for c in (["x"] if shared else ["x", "client_id"]) if c not in keep)]
-    out = rows.select(*cols).mapInArrow(run, T.StructType([*kept.fields, *extra]))
+            for at, x, y in examples(batch):
+                take = pa.array(at)
+                columns = [batch.column(k).take(take) if k != "y" or flat_rows else pa.array(y.astype(np.int32)) for k in keep]
+                if shared:
+                    for m, w in sent.value.items():
+                        logit = _activations(w, x)[-1][:, 0]
+                        yield pa.RecordBatch.from_arrays(
+                            [*columns, pa.array(np.full(len(x), m), pa.int32()), pa.array(logit)], names=names
+                        )
+                    continue
+                owner = batch.column("client_id").to_numpy(zero_copy_only=False)[at]
+                logit = np.empty(len(x))
+                for m in np.unique(owner).tolist():
+                    mine = owner == m
+                    logit[mine] = _activations(sent.value[m], x[mine])[-1][:, 0]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(owner, pa.int32()), pa.array(logit)], names=names
+                )
+
+    cols = example_columns(rows, *([] if shared else ["client_id"]))
+    if flat_rows and "y" not in keep:
+        rows = rows.withColumn("y", F.lit(0))  # rows to score need no label
+    out = rows.select(*[k for k in keep if k not in cols], *cols).mapInArrow(run, T.StructType([*kept.fields, *extra]))
     out = out.withColumn("prob", C.sigmoid("logit"))
     return out if many and shared else out.drop("model")

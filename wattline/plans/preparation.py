@@ -12,7 +12,7 @@ from wattline.functions.fixed_values import BASE_FEATURES, GRID_LABELS, PRIMARY_
 from wattline.operators import features as P
 from wattline.operators.ordering import CHECK, MAX_GROUP_ROWS, hot_groups
 from wattline.operators.scaling import standardize_global
-from wattline.operators.splits import split_windows
+from wattline.operators.splits import split_strips, split_windows
 from wattline.operators.windows import stride_windows
 from wattline.session import stored
 
@@ -50,6 +50,21 @@ def building_windows(
     )
 
 
+def building_strips(
+    df: DataFrame, client: str = "client_id", ratio: float = 1.0 - 0.2, gap_hours: float = 73, window: int = 168,
+    stride: int = 24, max_rows: int = MAX_GROUP_ROWS, node: str = "building_id", time: str = "timestamp",
+    narrow: bool = False, normalize: bool = False,
+) -> DataFrame:
+    """The windows of :func:`building_windows` as training examples in strips; ``normalize`` scales each feature within
+    each window when the window is cut."""
+    hot = hot_groups(df, [node], max_rows)
+    ready = stored(prepare_readings(df, node, [time], narrow=narrow, max_rows=max_rows, hot=hot))
+    strips = split_strips(
+        ready, node, [time], BUILDING_FEATURES, "anomaly", ratio, gap_hours, window, stride, client, max_rows, hot
+    )
+    return as_strips(strips, [client, "split"], normalize)
+
+
 def building_test_windows(
     df: DataFrame, window: int = 168, stride: int = 24, max_rows: int = MAX_GROUP_ROWS, node: str = "building_id",
     time: str = "timestamp", narrow: bool = False,
@@ -70,6 +85,11 @@ def prepare_grid_log(df: DataFrame, label: str = "marker", normalize: bool = Tru
     return standardize_global(clean, features) if normalize else clean
 
 
+def as_strips(strips: DataFrame, keep: Sequence[str], normalize: bool = False) -> DataFrame:
+    """Strips as training examples: keys, x, y and how to cut the windows (window, stride, scaled)."""
+    return strips.select(*keep, "x", "y", "window", "stride", F.lit(normalize).alias("scaled"))
+
+
 def as_vectors(windows: DataFrame, keep: Sequence[str], normalize: bool = False) -> DataFrame:
     """Windows as flat vectors with their keys and label; ``normalize`` scales each feature within each window."""
     x = C.normalize_window("x") if normalize else F.col("x")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions.fixed_values import DEFAULT_THRESHOLD
 from wattline.operators import metrics as M
-from wattline.plans.fitting import gradient_pass, init_weights, score, step
+from wattline.plans.fitting import example_columns, gradient_pass, init_weights, input_width, labels, score, step
 from wattline.sources.stores import TRIALS, append_trials, trial_store
 
 # Ranges of the settings tried.
@@ -58,11 +58,11 @@ def fit_trials(
     of the other trials at that step.
     """
     spark = train.sparkSession
-    train = train.select("x", "y").persist(StorageLevel.MEMORY_AND_DISK)
-    val = val.select("x", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.select(*example_columns(train)).persist(StorageLevel.MEMORY_AND_DISK)
+    val = val.select(*example_columns(val)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        raw = M.pos_weight(train).first()["pos_weight"]
-        width = train.select(F.size("x")).first()[0]
+        raw = M.pos_weight(labels(train)).first()["pos_weight"]
+        width = input_width(train)
         models = {
             i: init_weights(width, [s["hidden_size"]] * s["num_layers"] if s["hidden_size"] else [], seed + i)
             for i, s in enumerate(settings, first)
@@ -71,7 +71,7 @@ def fit_trials(
         caps = {i: min(raw, s["pos_weight_cap"]) for i, s in settings.items()}
         best = {i: (0.0, DEFAULT_THRESHOLD, 0) for i in models}
         reports: list[tuple] = []
-        running, val_rows = set(models), val.count()
+        running, val_rows = set(models), labels(val).count()
         for epoch in range(1, epochs + 1):
             live = {i: models[i] for i in sorted(running)}
             for i, (grad, _, _) in gradient_pass(train, live, caps, shared=True).items():

@@ -24,7 +24,7 @@ from wattline.operators import splits as D
 from wattline.operators import windows as W
 from wattline.plans import fitting as T
 from wattline.plans import rounds as R
-from wattline.plans.preparation import as_vectors, prepare_readings
+from wattline.plans.preparation import as_strips, prepare_readings
 from wattline.plans.search import fit_trials, search
 from wattline.operators.ordering import CHECK, hot_groups
 from wattline.session import shared_folder, stored, tune
@@ -329,6 +329,30 @@ def stride_windows(spark, sf):
     return window_summary(out, [NODE])
 
 
+@query(f"""WITH {R_SQL}, {windows_sql("r", "node_id", "ts, row_key", "anomaly", 24, 7, window_sums(VALUES))}
+  SELECT node_id, {WINDOW_OUT}""")
+def stride_windows_odd(spark, sf):
+    """A stride that does not divide the window."""
+    out = W.stride_windows(readings(spark, sf), [NODE], ORDER, VALUES, "anomaly", 24, 7)
+    return window_summary(out, [NODE])
+
+
+@query(f"""WITH {CUT_SQL}, {windows_sql("sp", "split, node_id", "ts, row_key", "anomaly", 6, 3, window_sums(VALUES))}
+  SELECT split, node_id, start, y, n_rows, total FROM (SELECT split, node_id, {WINDOW_OUT})""")
+def split_strips(spark, sf):
+    """The windows of both sides, cut again from strips that hold each row about once."""
+    strips = D.split_strips(readings(spark, sf), NODE, ORDER, VALUES, "anomaly", RATIO, GAP_HOURS, 6, 3)
+    windows = strips.select(
+        "split", NODE, F.posexplode("y").alias("i", "y"), "start", "stride", "window", F.lit(len(VALUES)).alias("width"), "x",
+    )
+    values = F.expr("slice(x, CAST(i * stride * width AS INT) + 1, window * width)")
+    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+    return windows.select(
+        "split", NODE, (F.col("start") + F.col("i") * F.col("stride")).alias("start"), "y",
+        (F.size(values) / F.col("width")).cast("int").alias("n_rows"), r6(total, 5).alias("total"),
+    )
+
+
 @query(f"""WITH {CUT_SQL}, {windows_sql("sp", "split, node_id", "ts, row_key", "anomaly", 6, 3, window_sums(VALUES))}
   SELECT split, node_id, {WINDOW_OUT}""")
 def split_windows(spark, sf):
@@ -435,6 +459,16 @@ def client_rows(spark, sf):
     return K.client_rows(rows, nodes, NODE, 2).select("row_key", NODE, "meter_reading")
 
 
+@query(f"""WITH {R_SQL}, u AS (SELECT row_key, CASE WHEN primary_use <> 'error' THEN primary_use END AS node FROM r), c AS (
+  SELECT node, ntile(3) OVER (ORDER BY md5('42:' || coalesce(node, 'null'))) - 1 AS client_id FROM (SELECT DISTINCT node FROM u))
+  SELECT row_key, u.node, CAST(client_id AS INTEGER) AS client_id FROM u JOIN c ON c.node IS NOT DISTINCT FROM u.node""")
+def client_rows_null_node(spark, sf):
+    """Every row with its node's client, one of the nodes being null."""
+    node = F.when(F.col("primary_use") != "error", F.col("primary_use"))
+    rows = readings(spark, sf).select("row_key", node.alias("node"))
+    return K.client_rows(rows, K.assign_nodes_random(rows.select("node").distinct(), "node", 3), "node")
+
+
 @query(f"""WITH {R_SQL}, h AS (
   SELECT row_key, primary_use, row_number() OVER (PARTITION BY primary_use ORDER BY md5('42:' || row_key)) AS i,
     count(*) OVER (PARTITION BY primary_use) AS n FROM r)
@@ -1091,15 +1125,15 @@ FINAL_SCALED = ["meter_reading", *METER]
 
 
 def training_windows(spark, sf):
-    """Readings to flat windows with client and split: the whole preparation of a training run."""
+    """Readings to strips of windows with client and split: the whole preparation of a training run."""
     rows = readings(spark, sf)
     hot = hot_groups(rows, [NODE])
     clean = prepare_readings(rows, NODE, ORDER, "meter_reading", "primary_use", USES, hot=hot)
     # several passes follow (scaling, cutoffs, windows), each over other columns
     ready = Z.standardize_global(stored(K.assign_nodes_random(clean, NODE, 3)), FINAL_SCALED)
     features = [*FINAL_SCALED, *[f"primary_use_{u}" for u in USES]]
-    out = D.split_windows(ready, NODE, ORDER, features, "anomaly", RATIO, GAP_HOURS, 6, 3, "client_id", hot=hot)
-    return stored(as_vectors(out, ["client_id", "split", NODE, "start"]))
+    out = D.split_strips(ready, NODE, ORDER, features, "anomaly", RATIO, GAP_HOURS, 6, 3, "client_id", hot=hot)
+    return stored(as_strips(out, ["client_id", "split"]))
 
 
 def two_rounds(spark, sf, hidden=(), **more):

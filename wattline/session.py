@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ RUNTIME = {
     # windows collect rows that are already sorted by series: a sort-based aggregate passes over them, while
     # the hash-based one gives up after 128 groups and sorts everything again
     "spark.sql.execution.useObjectHashAggregateExec": "false",
+    # rows that go to Python are texts or long vectors: ten thousand of them are too much to hold at once
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 DEFAULTS = {
     **RUNTIME,
@@ -57,6 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _STORED: list[str] = []
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -65,15 +69,29 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     _STORED.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[back] = path
+    return back
+
+
+def _delete(spark: SparkSession, place: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stored` returned and that nothing will read again."""
+    place = _PLACES.pop(df, None)
+    if place in _STORED:
+        _STORED.remove(place)
+        _delete(df.sparkSession, place)
 
 
 def clear_stored(spark: SparkSession) -> int:
     """Delete the tables that :func:`stored` wrote in this process; returns how many."""
-    context, removed = spark.sparkContext, 0
+    removed = 0
     while _STORED:
-        path = context._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        removed += bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))
+        removed += _delete(spark, _STORED.pop())
     return removed
 
 
