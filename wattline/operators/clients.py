@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattline.operators.ordering import AHEAD, BUCKET_DIGITS, TOKEN, hash_parts, hash_token, join_groups
@@ -110,6 +110,30 @@ def client_rows(
     return join_groups(df, assignment.where(F.col(client) == number).select(node), [node], "left_semi")
 
 
+def save_client_rows(
+    df: DataFrame, assignment: DataFrame, node: str, path: str, client: str = "client_id", rows_per_file: int = 5_000_000,
+) -> None:
+    """Write the rows as a table partitioned by their node's client, so that a reader of some clients opens their files only.
+
+    Range partitioning keeps a client's rows in few files and spreads a big client over many tasks.
+    """
+    rows = client_rows(df, assignment, node, client=client).repartitionByRange(client, node)
+    rows.write.partitionBy(client).option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def stored_client_rows(spark: SparkSession, path: str, clients: int | DataFrame, client: str = "client_id") -> DataFrame:
+    """Rows of one client, or of all in a table of clients, from a table of :func:`save_client_rows`.
+
+    A number prunes files while planning; a table of clients does when the join runs.
+    """
+    rows = spark.read.parquet(path)
+    if isinstance(clients, int):
+        if clients < 0:
+            raise ValueError(f"invalid client number {clients}")
+        return rows.where(F.col(client) == clients)
+    return rows.join(clients.select(client), client, "left_semi")
+
+
 def partition_stats(df: DataFrame, node: str, client: str = "client_id") -> DataFrame:
     """Rows and distinct nodes per client; counted per node first, so one big client costs no more."""
     per_node = df.groupBy(client, node).agg(F.count(F.lit(1)).alias("n"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from wattline.functions.fixed_values import DEFAULT_THRESHOLD
 from wattline.operators import metrics as M
+from wattline.operators.history import median_prune
 from wattline.plans.fitting import example_columns, gradient_pass, init_weights, input_width, labels, score, step
-from wattline.sources.stores import TRIALS, append_trials, trial_store
+from wattline.sources.stores import TRIALS, append_trials, take_trials
 
 # Ranges of the settings tried.
 SPACE = {
@@ -49,15 +50,16 @@ def draw_trials(
 
 def fit_trials(
     train: DataFrame, val: DataFrame, settings: Sequence[dict], epochs: int = 10, patience: int = 10,
-    study: str = "study", seed: int = 42, warmup: int = 10, startup: int = 5, first: int = 0,
+    study: str = "study", seed: int = 42, warmup: int = 10, startup: int = 5, numbers: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Fit one model per setting, numbered from ``first``; report (trial, step, pr_auc, best threshold) after every pass.
+    """Fit one model per setting, with the ``numbers`` given (from 0 otherwise); report (trial, step, pr_auc, best threshold) after every pass.
 
     One job computes the gradients of all running trials, one scores the validation rows with all of
-    them.  A trial ends after ``patience`` passes without gain, or when its best value is below the median
-    of the other trials at that step.
+    them.  A trial ends after ``patience`` passes without gain, or when :func:`median_prune`
+    says so of the reports so far.
     """
     spark = train.sparkSession
+    numbers = list(range(len(settings))) if numbers is None else list(numbers)
     train = train.select(*example_columns(train)).persist(StorageLevel.MEMORY_AND_DISK)
     val = val.select(*example_columns(val)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -65,9 +67,9 @@ def fit_trials(
         width = input_width(train)
         models = {
             i: init_weights(width, [s["hidden_size"]] * s["num_layers"] if s["hidden_size"] else [], seed + i)
-            for i, s in enumerate(settings, first)
+            for i, s in zip(numbers, settings)
         }
-        settings = dict(enumerate(settings, first))
+        settings = dict(zip(numbers, settings))
         caps = {i: min(raw, s["pos_weight_cap"]) for i, s in settings.items()}
         best = {i: (0.0, DEFAULT_THRESHOLD, 0) for i in models}
         reports: list[tuple] = []
@@ -86,10 +88,8 @@ def fit_trials(
                 told = {k: str(v) for k, v in settings[i].items()}
                 reports.append((study, i, epoch, float(areas[i]), told, float(best[i][1])))
             if epoch >= warmup and len(running) > startup:
-                for i in list(running):
-                    others = [areas[j] for j in areas if j != i]
-                    if best[i][0] < float(np.median(others)):
-                        running.discard(i)
+                pruned = median_prune(spark.createDataFrame(reports, TRIALS), warmup, startup)
+                running -= {r["trial"] for r in pruned.where(F.col("pruned_at") == epoch).collect()}
             running = {i for i in running if best[i][2] < patience}
             if not running:
                 break
@@ -106,15 +106,14 @@ def search(
 ) -> DataFrame:
     """Draw settings, fit them all, append the reports to the trial table if one is named.
 
-    A study that the table already knows is continued: numbers and draws go on after its last trial.
+    A study that the table already knows is continued: numbers and draws go on after its last trial.  Searches that
+    run at once in one study share its numbers, and the reports of one are added once, also when adding is tried again.
     """
-    first = 0
-    if store:
-        last = trial_store(train.sparkSession, store, study).agg(F.max("trial")).first()[0]
-        first = 0 if last is None else last + 1
+    numbers = take_trials(train.sparkSession, store, study, trials) if store else list(range(trials))
+    drawn = draw_trials(max(numbers, default=-1) + 1, seed, hidden, layers)
     reports = fit_trials(
-        train, val, draw_trials(trials, seed, hidden, layers, first), epochs, patience, study, seed, first=first
+        train, val, [drawn[i] for i in numbers], epochs, patience, study, seed, numbers=numbers
     )
-    if store:
-        append_trials(reports, store)
+    if store and numbers:
+        append_trials(reports, store, f"{study.encode().hex()}-{numbers[0]}")
     return reports

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1195,6 +1196,50 @@ def search_trials(spark, sf):
     return out.select("study", "trial", "step", r6("value", 4).alias("value"), "best_threshold")
 
 
+@query()
+def search_pruned(spark, sf):
+    """Eight small settings fitted together for twelve passes, weak ones stopped on the way: last step of each, and the
+    step at which the rule alone, applied to the reports, stops it."""
+    rows = vectors(spark, sf)
+    out = stored(search(rows, rows, 8, 12, hidden=[4], layers=(0, 1)))
+    pruned = H.median_prune(out).select("trial", "pruned_at")
+    last = out.groupBy("trial").agg(F.max("step").alias("last_step"), F.max("value").alias("best"))
+    return last.join(pruned, "trial", "left").select("trial", "last_step", "pruned_at", r6("best", 4).alias("best"))
+
+
+LINE = """CASE event_id % 50 WHEN 7 THEN concat(event_id, ',abc,', event_type) WHEN 9 THEN concat(event_id, ',', user_id)
+  WHEN 11 THEN concat(event_id, ',', user_id, ',', event_type, ',more') ELSE concat(event_id, ',', user_id, ',', event_type) END"""
+
+
+@query(f"""SELECT event_id % 50 NOT IN (7, 9, 11) AS good, {LINE} AS line FROM events""")
+def rejected_lines(spark, sf):
+    """Events as lines of a file, some of them malformed: what is read, and what is refused."""
+    place = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select(F.expr(LINE).alias("value"))
+
+    def headed(batches):  # every task writes a file of its own
+        yield pa.RecordBatch.from_arrays([pa.array(["event_id,user_id,event_type"])], ["value"])
+        yield from batches
+
+    events.mapInArrow(headed, "value string").write.text(f"{place}/in")
+    good = S.read_readings(spark, f"{place}/in", "event_id bigint, user_id bigint, event_type string", rejects=f"{place}/rejects", most=0.1)
+    refused = S.rejected_lines(spark, f"{place}/rejects")
+    return good.select(F.lit(True).alias("good"), F.concat_ws(",", "event_id", "user_id", "event_type").alias("line")).unionAll(
+        refused.select(F.lit(False), "line")
+    )
+
+
+@query(f"WITH {NODES_SQL} SELECT row_key, node_id, CAST(client_id AS INTEGER) AS client_id FROM r JOIN a USING (node_id) WHERE client_id % 2 = 1")
+def client_rows_stored(spark, sf):
+    """Rows of the odd clients from a table partitioned by client."""
+    rows = readings(spark, sf)
+    nodes = K.assign_nodes_random(rows.select(NODE).distinct(), NODE, 4)
+    path = f"{shared_folder(spark)}/clients-{uuid.uuid4().hex}"
+    K.save_client_rows(rows, nodes, NODE, path)
+    odd = nodes.select("client_id").distinct().where("client_id % 2 = 1")
+    return K.stored_client_rows(spark, path, odd).select("row_key", NODE, "client_id")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Features, windows and next-step labels: class counts per node."""
     out = prepared_windows(spark, sf, METER)

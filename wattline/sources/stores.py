@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.functions.fixed_values import DEFAULT_THRESHOLD
+from wattline.sources.commits import append_part, read_parts, take_numbers
 
 TRIALS = (
     "study string, trial int, step int, value double, params map<string,string>, best_threshold double"
@@ -21,37 +22,31 @@ CHECKPOINT = (
 HISTORY = "run string, round int, metric string, value double"
 
 
-def append_table(df: DataFrame, path: str, by: str) -> None:
-    df.write.mode("append").partitionBy(by).parquet(path)
+def append_trials(trials: DataFrame, path: str, token: str | None = None) -> bool:
+    """Add reports of trials; with a ``token`` an append that is tried again adds nothing."""
+    return append_part(trials, path, "study", token)
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table, or an empty one when nothing was written yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
-def append_trials(trials: DataFrame, path: str) -> None:
-    append_table(trials, path, "study")
+def take_trials(spark: SparkSession, path: str, study: str, count: int) -> list[int]:
+    """Numbers of new trials of a study, after those that the table knows; no two searches get the same."""
+    last = trial_store(spark, path, study).agg(F.max("trial")).first()[0]
+    return take_numbers(spark, path, study, count, 0 if last is None else last + 1)
 
 
 def trial_store(spark: SparkSession, path: str, study: str | None = None) -> DataFrame:
     """Reported values of a study; created by the first append, reread by everyone after it."""
-    trials = read_table(spark, path, TRIALS)
+    trials = read_parts(spark, path, TRIALS)
     return trials if study is None else trials.where(F.col("study") == study)
 
 
-def append_history(history: DataFrame, path: str, run: str) -> None:
+def append_history(history: DataFrame, path: str, run: str, token: str | None = None) -> bool:
     """Add the metrics of a run's rounds (round, metric, value) to the table of histories."""
-    append_table(history.select(F.lit(run).alias("run"), F.col("round").cast("int"), "metric", "value"), path, "run")
+    return append_part(history.select(F.lit(run).alias("run"), F.col("round").cast("int"), "metric", "value"), path, "run", token)
 
 
 def history_store(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
     """Stored rows (run, round, metric, value), as often as they were told; empty before the first."""
-    history = read_table(spark, path, HISTORY)
+    history = read_parts(spark, path, HISTORY)
     return history if run is None else history.where(F.col("run") == run)
 
 
@@ -61,21 +56,21 @@ def save_checkpoint(
 ) -> None:
     """One row per weight tensor, with settings, threshold and metrics.
 
-    Saves of a run are numbered: what was saved last counts, also when a round is saved again.
+    Saves of a run are numbered, and a number is given out once: what was saved last counts, also when a round is saved
+    again.  A save that stops on the way leaves the one before it.
     """
-    before = read_table(spark, path, CHECKPOINT).where(F.col("run") == run).agg(F.max("saved")).first()[0]
-    saved = 0 if before is None else before + 1
+    saved = take_numbers(spark, path, run, 1)[0]
     rows = [
         (run, round_no, i, list(map(int, w.shape)), [float(v) for v in w.ravel()], json.dumps(dict(config or {})),
          float(threshold), {k: float(v) for k, v in (metrics or {}).items()}, saved)
         for i, w in enumerate(weights)
     ]
-    append_table(spark.createDataFrame(rows, CHECKPOINT), path, "run")
+    append_part(spark.createDataFrame(rows, CHECKPOINT), path, "run")
 
 
 def load_checkpoint(spark: SparkSession, path: str, run: str) -> dict:
     """Weights in tensor order of the last save of a run, its round, settings, threshold (0.5) and metrics ({})."""
-    table = read_table(spark, path, CHECKPOINT).where(F.col("run") == run)
+    table = read_parts(spark, path, CHECKPOINT).where(F.col("run") == run)
     last = table.agg(F.max("saved").alias("s")).scalar()
     rows = table.where(F.col("saved") == last).orderBy("tensor").collect()
     if not rows:
