@@ -107,3 +107,11 @@ def test_grid_log(spark):
     rows = [(1.0, float("inf"), " Natural"), (3.0, 2.0, "Attack "), (9.0, 9.0, None)]
     got = prepare_grid_log(spark.createDataFrame(rows, "f1 double, f2 double, marker string")).collect()
     assert [(r["f1"], r["f2"], r["y"]) for r in got] == [(-1.0, -1.0, 0), (1.0, 1.0, 1)]
+
+
+def test_one_hot_has_a_bound_of_its_own(spark, monkeypatch):
+    df = spark.range(30).withColumn("v", F.col("id"))
+    with pytest.raises(ValueError, match="more than 20"):
+        P.one_hot_data(df, "v", limit=20)
+    assert P.one_hot_data.__defaults__ == (True, P.MAX_COLUMNS)
+    assert len(P.one_hot_data(df, "v", limit=None).columns) == 30

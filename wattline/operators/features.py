@@ -12,6 +12,7 @@ from wattline.functions.fixed_values import PRIMARY_USES, ROLL_ROWS
 from wattline.operators.ordering import CHECK, MAX_GROUP_ROWS, POS, over_series, positions
 
 MAX_CODES = 1000
+MAX_COLUMNS = 10_000
 
 
 def lag_rows(value: Column, n: int, series: WindowSpec) -> Column:
@@ -96,10 +97,11 @@ def known_values(df: DataFrame, col: str, limit: int | None) -> list | None:
     return None if limit is not None and len(found) > limit else sorted(r[0] for r in found)
 
 
-def one_hot_data(df: DataFrame, col: str, drop_first: bool = True, limit: int | None = None) -> DataFrame:
+def one_hot_data(df: DataFrame, col: str, drop_first: bool = True, limit: int | None = MAX_COLUMNS) -> DataFrame:
     """One-hot with the values found in the data, sorted; the first one may be left out.
 
-    Every value becomes a column, so the driver must know them all; a ``limit`` turns a surprise into an error.
+    Every value becomes a column, so the driver must know them all: more than ``limit`` are an error, and the driver takes
+    no more than one beyond it.  None is a choice to take any number.
     """
     values = known_values(df, col, limit)
     if values is None:

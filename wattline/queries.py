@@ -632,7 +632,8 @@ def binary_scores(spark, sf):
     return out.select("tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in ("precision", "recall", "accuracy", "f1")])
 
 
-@query(f"""WITH {S_SQL}, k AS (SELECT unnest([0, 1]) AS c), per AS (
+# class report of the rows s (y, pred)
+REPORT_SQL = f"""k AS (SELECT unnest([0, 1]) AS c), per AS (
   SELECT c, count(*) FILTER (y = c) AS support, count(*) FILTER (pred = c) AS called,
     count(*) FILTER (y = c AND pred = c) AS tp FROM s, k GROUP BY c), sc AS (
   SELECT CASE c WHEN 0 THEN 'Normal' ELSE 'Anomaly' END AS name, coalesce(tp / nullif(called, 0)::DOUBLE, 0e0) AS precision,
@@ -643,7 +644,10 @@ def binary_scores(spark, sf):
   UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM sc
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
     sum(f1 * support) / sum(support), sum(support)::BIGINT FROM sc)
-  SELECT name, {q6("precision")} AS precision, {q6("recall")} AS recall, {q6("f1")} AS f1, support FROM al""")
+  SELECT name, {q6("precision")} AS precision, {q6("recall")} AS recall, {q6("f1")} AS f1, support FROM al"""
+
+
+@query(f"WITH {S_SQL}, {REPORT_SQL}")
 def class_report(spark, sf):
     out = M.class_report(scored(spark, sf))
     return out.select("name", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
@@ -1059,6 +1063,17 @@ def final_scores(spark, sf):
                       r6("pr_auc", 5).alias("pr_auc"), r6("roc_auc", 5).alias("roc_auc"))
 
 
+@query(f"""WITH {VEC_SQL}, {pass_sql("w0", "w1")}, {mean_sql("w1", "a1")}, s AS (
+  SELECT vec_id, y, CASE WHEN 1 / (1 + exp(-sum(w * e))) >= 0.45e0 THEN 1 ELSE 0 END AS pred
+  FROM x JOIN m_a1 USING (pos) GROUP BY vec_id, y), {REPORT_SQL}""")
+def final_report(spark, sf):
+    """Class report of a final evaluation over the vectors at a threshold of its own."""
+    rows = vectors(spark, sf)
+    weights = R.federated_rounds(rows, rows, 1, 1, LR, 0.0, 0.0, 10.0).weights
+    out = R.evaluate_final(T.score(rows, weights, ["y"]), 0.45, 10.0)["report"]
+    return out.select("name", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 HIDDEN = 8
 
 
