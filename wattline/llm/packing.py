@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from wattline.llm.tokens import word_tokens
 from wattline.llm.words import Words, pieces
 
 FEATURES, DIMENSIONS, BITS = 256, 4, 15
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 17
+SAMPLE, SAMPLE_SHARE = 1 << 14, 1 / 64  # rows whose places bound the ranges: so many, or that share, at most MOST_RANGES * 16
 _PROJECT = np.random.default_rng(3).standard_normal((FEATURES, DIMENSIONS))
 
 
@@ -60,8 +63,44 @@ def curve_places(texts: pa.Array) -> np.ndarray:
 
 
 def _place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of (turn, text): (place, turn, bytes)."""
     for batch in pieces(batches, "text"):
-        yield pa.RecordBatch.from_arrays([pa.array(curve_places(batch.column(1))), batch.column(0), batch.column(1)], ["place", "id", "text"])
+        size = pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(curve_places(batch.column(1))), batch.column(0), size], ["place", "turn", "size"])
+
+
+def range_bounds(sample: DataFrame, share: float) -> np.ndarray:
+    """Least (place, turn) of every range but the first, from a sample of (place, turn, size): equal bytes in each.
+
+    The bounds only decide how evenly tasks are loaded, never which rows there are.
+    """
+    rows = sample.toArrow()
+    place, turn, size = (rows.column(c).to_numpy() for c in ("place", "turn", "size"))
+    order = np.lexsort((turn, place))
+    place, turn, ends = place[order], turn[order], np.cumsum(size[order] + 64)
+    ranges = int(min(MOST_RANGES, max(1, ends[-1] / share / RANGE_BYTES), max(1, len(order) // 8))) if len(order) else 1
+    cut = np.searchsorted(ends, ends[-1] * np.arange(1, ranges) / ranges) if ranges > 1 else np.zeros(0, dtype=np.int64)
+    return np.unique(np.stack([place[cut], turn[cut]], axis=1), axis=0) if len(cut) else np.zeros((0, 2), dtype=np.int64)
+
+
+def range_of(place: np.ndarray, turn: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The number of bounds that are not above (place, turn)."""
+    low = np.searchsorted(bounds[:, 0], place, "left")
+    high = np.searchsorted(bounds[:, 0], place, "right")
+    out = low
+    for p in np.unique(place[low < high]):  # a place of many copies may hold several bounds
+        at = np.flatnonzero(place == p)
+        part = slice(low[at[0]], high[at[0]])
+        out[at] += np.searchsorted(bounds[part, 1], turn[at], "right")
+    return out
+
+
+def _deal(batches: Iterable[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        place, turn = curve_places(batch.column(2)), batch.column(0).to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range_of(place, turn, bounds).astype(np.int32)), pa.array(place), *batch.columns], ["range", "place", "turn", "id", "text"]
+        )
 
 
 class Packer:
@@ -117,7 +156,7 @@ def _pack(batches: Iterable[pa.RecordBatch], path: str, end: int, length: int, w
 
     for batch in pieces(batches, "text"):
         kind = batch.column(1).type
-        split = [t.encode().split() if t else [] for t in batch.column(2).to_pylist()]
+        split = [cache.parts(t) if t else [] for t in batch.column(2).to_pylist()]
         found = cache.values([w for words in split for w in words])
         rows, at = [], 0
         for key, words in zip(batch.column(1).to_pylist(), split):
@@ -134,19 +173,29 @@ def pack_documents(
 ) -> DataFrame:
     """Pieces of sequences: ``key``, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Documents are range-sorted by Hilbert key, then ``key``, and laid end to end in that order; every
-    ``length`` ids make a sequence.  Each range packs on its own and cuts its last, partial sequence into
-    powers of two, so nothing is padded and no range waits for another.  A task holds one open sequence.
-    The ids are made after the sort, so each text is encoded once and only texts are shuffled; copies have one
-    curve place and are dealt out by ``key``.
+    Documents are range-sorted by Hilbert key and laid end to end in that order; every ``length`` ids make a
+    sequence.  The bounds of the ranges come from the places of a bounded sample of rows; then each text is
+    placed once.  Each range packs on its own and cuts its last, partial sequence into powers of two, so nothing
+    is padded and no range waits for another.  A task holds one open sequence.  The ids are made after the sort,
+    so each text is encoded once and only texts are shuffled.
 
     A document is the tokenizer's ids of its text (null: empty) and the id ``end``.  Rows that share a key are
-    separate documents.  An empty table gives no rows.
+    separate documents, equal rows as well; copies have one curve place and are dealt out by a hash of the row's
+    place in the table, so no number of them must meet in one range.  Rows in one range are in an order that their contents
+    fix.  Texts of any length are cut freely; columns other than ``key`` and ``text`` are not looked at.  An empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    placed = source.mapInArrow(_place, f"place long, id {kind}, text string")
-    ranged = placed.repartitionByRange("place", "id").sortWithinPartitions("place", "id")
+    turn = F.xxhash64(F.monotonically_increasing_id()).alias("turn")
+    source = docs.select(turn, F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.count()
+    share = min(1.0, max(SAMPLE / max(rows, 1), min(SAMPLE_SHARE, 16 * MOST_RANGES / max(rows, 1))))
+    drawn = source.select("turn", "text")
+    if share < 1:
+        drawn = drawn.where(F.pmod(F.col("turn"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    bounds = range_bounds(drawn.mapInArrow(_place, "place long, turn long, size long"), share)
+    dealt = source.mapInArrow(lambda b: _deal(b, bounds), f"range int, place long, turn long, id {kind}, text string")
+    ranged = dealt.repartitionById(len(bounds) + 1, F.col("range")).select("place", "id", "text")
+    ranged = ranged.sortWithinPartitions("place", "id", F.xxhash64("text"))
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     packed = ranged.mapInArrow(lambda b: _pack(b, path, end, length, with_ids), schema + (", ids array<int>" if with_ids else ""))
     return packed.withColumnRenamed("id", key)

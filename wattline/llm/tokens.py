@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from wattline.llm.words import pieces
 
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000  # of each of two generations
+JOINED_BYTES = 1 << 14  # of words that the library is given as one text
 # longer words are counted by pieces and not kept; prefixes of words that cannot be are encoded some at a time
 LONG_WORD = 64
 AT_ONCE = 1 << 18
@@ -113,34 +115,134 @@ def piece_table(tokenizer) -> PieceTable | None:
     return PieceTable(model) if plain and known else None
 
 
+# Fixed value: the pre-tokenizer pattern of the word-level vocabularies.  It takes letters, single digits and runs of
+# anything else apart, so punctuation after a letter or a digit is a piece of its own.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_TAIL = re.compile(rb"[.,;:!?](?<=[a-z0-9][.,;:!?])(?=[\x20\t\n\v\f\r]|\Z)")
+# a word between others that is one token of its own; words that hold the character are encoded alone
+MARK = "\x01"
+
+
+def splits_tails(tokenizer) -> bool:
+    """Whether the tokenizer lowers case and takes punctuation off words, so that a word's ids are those of its
+    lower-cased stem and of the punctuation mark behind it."""
+    made = json.loads(tokenizer.to_str())
+    normal, split = made["normalizer"] or {}, made["pre_tokenizer"] or {}
+    steps = [x["type"] for x in normal.get("normalizers", [normal])]
+    first = split.get("pretokenizers", [split])[0]
+    return steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first["pattern"] == {"Regex": SPLIT_PATTERN}
+
+
+def word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids are tokens that end a piece; None where the vocabulary does not mark them."""
+    model = json.loads(tokenizer.to_str())["model"]
+    suffix = model.get("end_of_word_suffix")
+    if not suffix:
+        return None
+    out = np.zeros(max(model["vocab"].values()) + 1 + len(tokenizer.get_added_tokens_decoder()), dtype=bool)
+    out[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+    return out
+
+
+def in_calls(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Words in lists of about ``JOINED_BYTES``."""
+    at, size = 0, 0
+    for i, w in enumerate(words):
+        if size > JOINED_BYTES:
+            yield words[at:i]
+            at, size = i, 0
+        size += len(w) + 1
+    if at < len(words):
+        yield words[at:]
+
+
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100: none of them joins with an ASCII letter before it when normalised."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokens:
     """Ids of words (``ids=True``: little-endian unsigned 32-bit) or their number, for words split at ASCII space.
 
-    Holds KEPT_WORDS words at most and starts over when full: a cache of pure values, so results never depend on it.
+    Holds two generations of at most KEPT_WORDS words and a batch; words met again move to the young one.  They are
+    pure values, so results never depend on what is kept.
     """
 
     def __init__(self, path: str, ids: bool):
-        self.tokenizer, self.ids, self.known = load(path), ids, {}
+        self.tokenizer, self.ids = load(path), ids
+        self.young: dict[bytes, bytes | int] = {}
+        self.old: dict[bytes, bytes | int] = {}
+        self.tails = splits_tails(self.tokenizer)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.ends = word_ends(self.tokenizer) if self.tails else None
         self.inner: dict[str, list[int]] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table: PieceTable | None | bool = False  # False: not made yet
 
+    def parts(self, text: str) -> list[bytes]:
+        """Words whose ids, one after the other, are the text's: its own, or lower-cased ones with marks taken off,
+        of which there are fewer different ones."""
+        raw = text.encode()
+        if self.tails and "<|" not in text and (text.isascii() or latin(text)):
+            raw = _TAIL.sub(rb" \g<0>", raw.lower())
+        return raw.split()
+
     def values(self, words: list[bytes]) -> list:
         """The value of each word, in order."""
-        known = self.known
-        new = list(set(words).difference(known))
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
+        if len(self.young) > KEPT_WORDS:
+            self.old, self.young = self.young, {}
             self.inner.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            if self.ids:
-                known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found))
+        young, old, new = self.young, self.old, []
+        for w in set(words):
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        self.encode(new)
+        return list(map(young.__getitem__, words))
+
+    def encode(self, words: list[bytes]) -> None:
+        """Words that the library has not seen yet, many in each call: no token crosses white space.
+
+        A word of letters is one piece and ends with the only token that has the suffix of words; after any other one
+        stands a mark.  Words that hold the mark's character are encoded alone.
+        """
+        plain, marked, alone = [], [], []
+        for w in words:
+            if self.ends is not None and (w.isalpha() or (not w.isascii() and latin(x := w.decode()) and x.isalpha())):
+                plain.append(w)
+            elif self.mark is None or b"\x01" in w:
+                alone.append(w)
             else:
-                known.update((w, len(e)) for w, e in zip(part, found))
-        return [known[w] for w in words]
+                marked.append(w)
+        for some in in_calls(plain):
+            ids = self.call(b" ".join(some))
+            self.keep(some, ids, [0, *(ends := (np.flatnonzero(self.ends[ids]) + 1).tolist())], ends)
+        for some in in_calls(marked):
+            ids = self.call(b" \x01 ".join([*some, b""]))
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            self.keep(some, ids, [0, *(e + 1 for e in ends)], ends)
+        for w in alone:
+            ids = self.call(w)
+            self.keep([w], ids, [0], [len(ids)])
+
+    def call(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def keep(self, words: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        if len(ends) != len(words):
+            raise ValueError("the tokens of some words cannot be told apart")
+        if self.ids:
+            raw = ids.tobytes()
+            self.young.update(zip(words, [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]))
+        else:
+            self.young.update(zip(words, [b - a for a, b in zip(starts, ends)]))
 
     def encoded(self, parts: Iterable[str]) -> list[int]:
         """Token counts of ``parts``, which the library is given some at a time."""
@@ -162,6 +264,21 @@ class WordTokens:
             self.inner[word] = self.encoded(word[:i] for i in range(len(word) + 1))
         return self.inner[word]
 
+    def fits(self, word: str, room: int) -> int:
+        """Code points of the longest prefix of a word with at most ``room`` tokens.
+
+        A long word that cannot be tabled is halved instead, so that the library encodes a prefix of it some twenty times:
+        then the prefix has at most ``room`` tokens and the one with the next code point has more.
+        """
+        counts = self.by_pieces(word) if len(word) > LONG_WORD else self.inside(word)
+        if counts is not None:
+            return max(i for i, n in enumerate(counts) if i == 0 or n <= room)
+        low, high = 0, len(word)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self.encoded([word[:middle]])[0] <= room else (low, middle)
+        return low
+
     def by_pieces(self, word: str) -> list[int] | None:
         """``inside`` by running totals over pieces; None where a prefix is not normalised as it is in the word."""
         if self.table is False:
@@ -225,22 +342,24 @@ def longest_prefix(cache: WordTokens, text: str, words: list[bytes], table: list
     for w in words[:whole]:
         at = raw.index(w, at) + len(w)
     following = raw.index(words[whole], at)
-    word, base = words[whole].decode(), table[whole - 1] if whole else 0
-    best = max(i for i, n in enumerate(cache.inside(word)) if i == 0 or base + n <= limit)
-    return len(raw[:following].decode()) + best
+    return len(raw[:following].decode()) + cache.fits(words[whole].decode(), limit - (table[whole - 1] if whole else 0))
 
 
 def _count(batches: Iterable[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     cache = word_tokens(path, False)
     for batch in pieces(batches, "text"):
-        texts = batch.column(1).to_pylist()
-        split = [t.encode().split() if t else [] for t in texts]
-        counts = iter(cache.values([w for words in split for w in words]))
-        totals, fits = [], []
-        for text, words in zip(texts, split):
-            table = list(accumulate(next(counts) for _ in words))
-            totals.append(table[-1] if table else 0)
-            fits.append(longest_prefix(cache, text or "", words, table, limit))
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        split = [cache.parts(t) for t in texts]
+        counts = cache.values([w for words in split for w in words])
+        totals, at = [], 0
+        for words in split:
+            totals.append(sum(counts[at : at + len(words)]))
+            at += len(words)
+        fits = [len(t) for t in texts]
+        for i, (t, n) in enumerate(zip(texts, totals)):
+            if n > limit:  # the running totals after each word say where
+                words = t.encode().split()
+                fits[i] = longest_prefix(cache, t, words, list(accumulate(cache.values(words))), limit)
         size = pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), size, pa.array(totals, pa.int64()), pa.array(fits, pa.int64())], ["id", "n_bytes", "n_tokens", "fit_chars"]
@@ -252,7 +371,9 @@ def token_counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", te
     of the longest prefix with at most ``limit`` tokens).
 
     All come from running totals over words, and over the pieces of the word that crosses the limit; no text is
-    encoded as a whole.  A null text counts as empty.  No shuffle; the tokenizer file must be at ``path`` on each worker and must not join text
+    encoded as a whole.  Where that word is long and normalisation changes its length (decomposed letters), fit_chars is
+    a prefix that fits while the next longer one does not.  Very long texts and words take time in proportion to their length.  A null text
+    counts as empty; rows that share a key are separate rows.  No shuffle; the tokenizer file must be at ``path`` on each worker and must not join text
     across white space (the word-level vocabularies do not).
     """
     kind = docs.schema[key].dataType.simpleString()
