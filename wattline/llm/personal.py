@@ -97,10 +97,20 @@ def same_key(token: str) -> str | None:
     core = token.strip(EDGE)
     if "@" in core:
         return core.lower()
-    digits = "".join(c for c in core if "0" <= c <= "9")
+    digits = "".join(c for c in core if "0" <= c <= "9").lstrip("0")
     return digits if len(digits) >= 5 else None
 
 
+def span_keys(span: str, kind: int) -> set[str]:
+    """Keys under which a base match of one or more tokens is met again: its digits, of a phone number also those
+    without a country's one to three."""
+    if kind == 0:
+        return {span.lower()}
+    digits = "".join(c for c in span if "0" <= c <= "9")
+    found = [digits, *(digits[n:] for n in (1, 2, 3) if KINDS[kind] == "phone")]
+    return {k for d in found if len(k := d.lstrip("0")) >= 5}
+
+
 @dataclass
 class Graph:
     """The uncertain tokens of one text: spans, hashed features, base labels (-1: none), chain and skip edges."""
@@ -114,7 +124,8 @@ class Graph:
 
 def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
     """Tokens with a digit or an @ are nodes; any other token is surely no personal data, which cuts the chain
-    exactly there.  Neighbouring nodes share a chain edge, a node and the next one with its key a skip edge."""
+    exactly there.  Neighbouring nodes share a chain edge, a node and the next one with its key a skip edge; the
+    last token of a base match also stands for the whole match, under all of its keys."""
     g = Graph([], [], [], [], [])
     if not base and not any(c in text for c in "@0123456789"):
         return g
@@ -133,9 +144,11 @@ def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
             end -= 1
         while at < len(marks) and marks[at][1] <= start:
             at += 1
-        label, look = -1, at
+        label, look, keys = -1, at, set()
         while look < len(marks) and marks[look][0] < end:
             label = marks[look][2]
+            if marks[look][1] <= m.end():
+                keys |= span_keys(text[marks[look][0] : marks[look][1]], label)
             look += 1
         core = text[start:end]
         digits = sum("0" <= c <= "9" for c in core)
@@ -151,9 +164,10 @@ def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
         last_end = m.end()
         key = same_key(core)
         if key is not None:
-            if key in seen:
-                g.skip.append((seen[key], n))
-            seen[key] = n
+            keys.add(key)
+        for other in sorted({seen[k] for k in keys if k in seen}):
+            g.skip.append((other, n))
+        seen.update(dict.fromkeys(keys, n))
         before = token
     return g
 
@@ -332,7 +346,8 @@ def find_personal(docs: DataFrame, field: Field, text: str = "text", least: floa
     field gives a kind with a chance of at least ``least``, by kind, then start.
 
     Base matches are observed labels; message passing carries them to repeated tokens ("+49 30 1234567" and
-    later "301234567") and to neighbours.  Null and empty texts have no spans.  No shuffle.
+    later "301234567") and to neighbours.  Null and empty texts have no spans; equal rows have equal ones.  Whole texts are
+    scanned, however long, in time proportional to their tokens and edges.  Columns of ``docs`` stay, but one named spans is replaced.  No shuffle.
     """
     kind = T.StructType([T.StructField("row", docs.schema)]).add("spans", T.DataType.fromDDL("array<struct<kind:string,start:long,end:long,base:boolean>>"))
     done = docs.select(F.struct("*").alias("row")).mapInArrow(lambda b: _scan(b, text, field, least), kind)
