@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -50,16 +51,15 @@ def draw_trials(
 
 def fit_trials(
     train: DataFrame, val: DataFrame, settings: Sequence[dict], epochs: int = 10, patience: int = 10,
-    study: str = "study", seed: int = 42, warmup: int = 10, startup: int = 5, numbers: Sequence[int] | None = None,
+    study: str = "study", seed: int = 42, warmup: int = 10, startup: int = 5, first: int = 0,
 ) -> DataFrame:
-    """Fit one model per setting, with the ``numbers`` given (from 0 otherwise); report (trial, step, pr_auc, best threshold) after every pass.
+    """Fit one model per setting, numbered from ``first``; report (trial, step, pr_auc, best threshold) after every pass.
 
     One job computes the gradients of all running trials, one scores the validation rows with all of
     them.  A trial ends after ``patience`` passes without gain, or when :func:`median_prune`
     says so of the reports so far.
     """
     spark = train.sparkSession
-    numbers = list(range(len(settings))) if numbers is None else list(numbers)
     train = train.select(*example_columns(train)).persist(StorageLevel.MEMORY_AND_DISK)
     val = val.select(*example_columns(val)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -67,9 +67,9 @@ def fit_trials(
         width = input_width(train)
         models = {
             i: init_weights(width, [s["hidden_size"]] * s["num_layers"] if s["hidden_size"] else [], seed + i)
-            for i, s in zip(numbers, settings)
+            for i, s in enumerate(settings, first)
         }
-        settings = dict(zip(numbers, settings))
+        settings = dict(enumerate(settings, first))
         caps = {i: min(raw, s["pos_weight_cap"]) for i, s in settings.items()}
         best = {i: (0.0, DEFAULT_THRESHOLD, 0) for i in models}
         reports: list[tuple] = []
@@ -111,9 +111,12 @@ def search(
     """
     numbers = take_trials(train.sparkSession, store, study, trials) if store else list(range(trials))
     drawn = draw_trials(max(numbers, default=-1) + 1, seed, hidden, layers)
-    reports = fit_trials(
-        train, val, [drawn[i] for i in numbers], epochs, patience, study, seed, numbers=numbers
-    )
+    # numbers follow each other unless another search took some in between; each run of them is fitted together
+    starts = [n for n in numbers if n - 1 not in numbers]
+    ends = [n + 1 for n in numbers if n + 1 not in numbers]
+    reports = reduce(DataFrame.unionAll, [
+        fit_trials(train, val, drawn[a:b], epochs, patience, study, seed, first=a) for a, b in zip(starts, ends)
+    ] or [train.sparkSession.createDataFrame([], TRIALS)])
     if store and numbers:
         append_trials(reports, store, f"{study.encode().hex()}-{numbers[0]}")
     return reports
