@@ -30,7 +30,8 @@ GRID = 1 << 16  # letters whose edits are generated at once
 LANES = 8  # a block of a filter is eight 32-bit lanes, one bit of each is a word's
 WORDS_A_BLOCK = 16
 LEAST_BLOCKS = 1 << 11  # 64 KB: the few words of a rare length hardly ever take a wrong edit for one of them
-SEGMENT = 1 << 13  # blocks of a filter that one group builds
+SEGMENT = 1 << 10  # blocks of a filter that one group builds, from some 16,000 words
+PROBED = 40_000  # words whose edits one task looks up, about
 ROUND_BLOCKS = 1 << 21  # 64 MB of filters are broadcast at once; more words take more rounds
 _BASE = 0xA0761D6478BD642F
 _LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -183,8 +184,21 @@ def rounds(shards: dict[int, Shard]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _keys(batches: Iterable[pa.RecordBatch], shards: dict[int, Shard]) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until there are enough words for some hundreds of each length, or 4 MB."""
+    held, rows, size = [], 0, 0
     for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= GRID // 2 or size >= 4 << 20:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _keys(batches: Iterable[pa.RecordBatch], shards: dict[int, Shard]) -> Iterator[pa.RecordBatch]:
+    for batch in gathered(batches):
         for _, letters in _by_length(batch.column(0)):
             size = letters.shape[1]
             shard = shards[shard_of(size)]
@@ -244,7 +258,7 @@ class Filters:
 
 def _positives(batches: Iterable[pa.RecordBatch], filters: Filters) -> Iterator[pa.RecordBatch]:
     """Edits that a filter takes for words: (edit, word, n)."""
-    for batch in batches:
+    for batch in gathered(batches):
         words, counts = batch.column(0), batch.column(1)
         for rows, letters in _by_length(words):
             size = letters.shape[1]
@@ -273,6 +287,8 @@ def near_words(words: DataFrame) -> DataFrame:
     size = F.length("word")
     shard = F.when(size < 64, size).otherwise(58 + F.length(F.bin(size)))
     shards = {r["shard"]: Shard(r["words"]) for r in words.groupBy(shard.alias("shard")).agg(F.count("*").alias("words")).collect()}
+    total = words.count()
+    dealt = words.repartition(-(-total // PROBED) or 1, "word")  # few bytes, but each word has hundreds of edits
     keys = words.select("word").mapInArrow(lambda b: _keys(b, shards), "shard int, part long, segment long, hash long")
     found = None
     for pieces in rounds(shards):
@@ -284,7 +300,7 @@ def near_words(words: DataFrame) -> DataFrame:
         for r in built.collect():
             filters.fill(r["shard"], r["part"], r["segment"], r["bits"])
         sent = spark.sparkContext.broadcast(filters)
-        some = words.mapInArrow(lambda b, sent=sent: _positives(b, sent.value), "edit string, word string, n long")
+        some = dealt.mapInArrow(lambda b, sent=sent: _positives(b, sent.value), "edit string, word string, n long")
         found = some if found is None else found.union(some)
     if found is None:
         return words.select("word", "n", F.col("word").alias("edit"), F.col("n").alias("edit_n")).limit(0)
