@@ -61,18 +61,25 @@ def _sign(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     for batch in pieces(batches, "text"):
         h, first = shingle_sets(batch.column(1), width)
         full, marks, minima = signatures(h, first)
-        mark, keys, bytes_ = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
         posted = (minima[:, :POSTED] >> np.uint64(32)).astype(np.int64) | coordinate
         small = (minima >> np.uint64(56)).astype(np.uint8)
-        for i, m, k, b in zip(full.tolist(), marks, posted, small):
-            mark[i], keys[i], bytes_[i] = m.tobytes(), k, b.tobytes()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * POSTED), pa.array(posted.ravel()))
+        at = np.full(batch.num_rows, -1, dtype=np.int64)
+        at[full] = np.arange(len(full))
+        take = pa.array(at, mask=at < 0)  # texts without words have none of the three
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(mark, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary()), batch.column(2)],
+            [batch.column(0), pa.array(np.diff(first), pa.int64()), _packed(marks.view(np.uint8)).take(take), lists.take(take),
+             _packed(small).take(take), batch.column(2)],
             ["id", "n", "mark", "keys", "sig", "place"],
         )
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         h, first = shingle_sets(batch.column(0), width)
@@ -237,13 +244,12 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
 
     def in_blocks(pairs: DataFrame, info: DataFrame) -> DataFrame:
         """Rows (mark, hub) with their node's columns, for every pair of blocks of a hub whose components differ."""
-        full = pairs.join(info, "mark")
-        mixed = full.groupBy("hub").agg(
+        mixed = pairs.join(info.select("mark", "n", "component"), "mark").groupBy("hub").agg(
             F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"),
             F.min("component").alias("p"), F.max("component").alias("q"),
         )
         dealt = (
-            full.join(mixed.where("p != q").select("hub", "blocks"), "hub")
+            pairs.join(mixed.where("p != q").select("hub", "blocks"), "hub").join(info, "mark")
             .withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))

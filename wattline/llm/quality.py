@@ -172,6 +172,16 @@ def text_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return source.mapInArrow(_features, f"id {kind}, x array<double>")
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`fit_ranker` could learn from: those of the ``sample`` labelled keys that come first
+    by a hash.  Only keys are compared with the labels; at most ``sample`` keys are sent to the rows."""
+    marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key).distinct()
+    first = marked.join(docs.select(key), key, "left_semi").orderBy(F.xxhash64(key), key).limit(sample)
+    return docs.join(F.broadcast(first), key, "left_semi")
+
+
 def fit_ranker(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Ranker:
     """Strengths learnt from at most ``sample`` labelled rows, first by a hash of their key.
 
