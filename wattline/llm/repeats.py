@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.llm.rows import carried, spread, text_bytes
-from wattline.llm.words import BATCH, Words, run_hashes
+from wattline.llm.words import Words, give_back, run_hashes
 
 KEY_BYTES = 10
-BUCKET_BYTES = 4 << 20
+BATCH, BUCKET_BYTES = 2 << 20, 8 << 20
 
 
 def window_keys(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,15 +94,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """All rows and columns of ``docs`` with n_words, n_removed, spans (removed word intervals) and kept_text.
 
     A window is ``window`` consecutive words of one text; each word in a window whose words also begin
-    anywhere else is removed, judged on the input.  The texts are dealt into chunks of about 4 MB by a hash of
-    ``key`` and the text.
+    anywhere else is removed, judged on the input.  The texts are dealt into chunks of about 2 MB by a
+    hash of the row's place in the table, so no number of equal rows meets in one chunk.
     A chunk sends each distinct window key (80 bits) once, packed by key range; each range counts its keys
     over all chunks, and one bit a key goes back to the chunk, where repeated windows merge into maximal
     intervals.  A window that fills a third of the corpus is still one key a chunk.  Both numbers of groups
     grow with the bytes, so a group stays small.
 
     A null or empty text has no words (0, 0, no spans, empty kept_text); a text shorter than the window is
-    kept; equal rows repeat each other.  Results replace input columns of the same name.
+    kept; equal rows repeat each other.  Results replace input columns of the same name.  ``docs`` must give its rows
+    in the same partitions whenever it is read (as files and stored tables do): a chunk that finds other windows than it sent is an error.
     """
     names = docs.columns
     size = text_bytes(docs, text)
@@ -111,7 +112,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     while ranges * BUCKET_BYTES < size * 2:
         ranges *= 2
     bits = ranges.bit_length() - 1
-    dealt = carried(docs, chunk=F.pmod(F.xxhash64(key, text), F.lit(chunks)))
+    dealt = carried(docs, chunk=F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)))
 
     def bucket_of(high: np.ndarray) -> np.ndarray:
         return (high >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(high), dtype=np.int64)
@@ -142,19 +143,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return pa.table({
             "chunk": table.column("chunk"), "bucket": table.column("bucket"),
             "flags": pa.array([np.packbits(x).tobytes() for x in flags], pa.binary()),
+            "mark": pa.array([int(np.bitwise_xor.reduce(x).view(np.int64)) for x in high], pa.int64()),
         })
 
     def cut(texts: pa.Table, flags: pa.Table) -> pa.Table:
         words = Words(_text(texts, text))
         at, high, low = window_keys(words, window)
         high, low, _, place = distinct_keys(high, low)
-        sizes = np.bincount(bucket_of(high), minlength=ranges)
-        known = sorted(zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()))
+        buckets = bucket_of(high)
+        sizes = np.bincount(buckets, minlength=ranges)
+        first = np.cumsum(sizes) - sizes
+        known = sorted(zip(*(flags.column(c).to_pylist() for c in ("bucket", "flags"))))
+        sent = dict(zip(flags.column("bucket").to_pylist(), flags.column("mark").to_pylist()))
+        if {b: int(np.bitwise_xor.reduce(high[first[b] : first[b] + sizes[b]]).view(np.int64)) for b in np.unique(buckets).tolist()} != sent:
+            raise RuntimeError("the rows of a chunk changed between two readings of the table: store it first")
         repeated = np.concatenate(
             [np.zeros(0, dtype=bool)]
             + [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=sizes[b]).astype(bool) for b, x in known]
         )
         removed = covered(at[repeated[place]], window, len(words.doc))
+        give_back()
         return pa.table({
             "row": texts.column("row"),
             "n_words": pa.array(np.diff(words.first), pa.int64()),
@@ -164,7 +172,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         })
 
     sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, high binary, low binary, again binary")
-    told = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, flags binary")
+    told = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, flags binary, mark long")
     kind = T.StructType([
         T.StructField("row", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),

@@ -8,13 +8,14 @@ memory follows the number of words, not some multiple of the bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
-BATCH = 4 << 20
+SLICE = 1 << 20  # bytes of text that a task works on at once
 _MASK = (1 << 64) - 1
 _BASE, _RUN = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93 | 5
 _SPACE = np.zeros(256, dtype=bool)
@@ -110,7 +111,16 @@ def run_hashes(values: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are kept between stages, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def pieces(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``size`` bytes of text; a longer text is a slice of its own."""
     import pyarrow.compute as pc
 
@@ -125,3 +135,4 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, size: int = BATCH) -> I
             stop = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
