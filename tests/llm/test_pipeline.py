@@ -34,10 +34,15 @@ def test_quality_stage(spark, kept):
     assert all(after[i] == before[i] for i in after)
 
 
-def test_near_stage(kept):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_stage(spark, kept, percent):
+    """The stage takes a similarity of 0.8; its argument may ask for another."""
     before, after = kept[0][1], kept[0][2]
+    if percent != corpus_pipeline.NEAR_PERCENT:
+        rows = spark.createDataFrame([tuple(r.values()) for r in before.values()], "doc_id long, text string, lang string, source string, n_chars long")
+        after = {r["doc_id"]: r.asDict() for r in corpus_pipeline.near_duplicates(spark, rows, FOLDER, percent=percent).collect()}
     ids = sorted(before)
-    smallest = components_by_hand(ids, [shingles(before[i]["text"]) for i in ids], lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
+    smallest = components_by_hand(ids, [shingles(before[i]["text"]) for i in ids], lambda a, b: 100 * len(a & b) >= percent * len(a | b))
     assert set(after) == set(smallest.values()) and all(after[i] == before[i] for i in after)
 
 
