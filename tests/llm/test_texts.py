@@ -513,6 +513,31 @@ def test_segmentations(spark, docs, empty):
     assert lattice(path) is lattice(path)
 
 
+def test_many_units_at_once():
+    """Units searched together have the best score, gap and ids that each has alone, also with characters that have no piece."""
+    rng = random.Random(10)
+    model = Lattice.load(tokenizer(PIECE_BPE))
+    alphabet = "abcdeéß▁=0龥語😀͸"
+    units = {"".join(rng.choices(alphabet, k=rng.randrange(1, 70))) for _ in range(3000)} | {"▁the", "the", "\n", "▁"}
+    units = sorted(units)
+    assert model._tops(units[:500]) == [model._top(u) for u in units[:500]]
+    assert model.tops(units) == [model._top(u) for u in units] == model.tops(units)
+
+
+def test_query_segments_in_full(spark, tmp_path):
+    """The query makes all four segmentations of a text, not the best one only, and says what their ids are."""
+    texts = [(1, "The lattice of a text falls apart.\nUnits  ͸ 😀"), (2, None), (3, ""), (4, "a"), (5, "a"), (None, "Wörter zählen")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = best_segmentations(spark.read.parquet(str(tmp_path / "documents.parquet")), tokenizer(PIECE_BPE), 4, with_ids=True).collect()
+    ids = spark.createDataFrame([(s,) for r in made for s in r["segmentations"]], "ids array<int>")
+    known = {tuple(r["ids"]): r["h"] for r in ids.select("ids", F.xxhash64("ids").alias("h")).collect()}
+    want = sorted([known[tuple(s)] for s in r["segmentations"]] for r in made)
+    got = QUERIES["op9_segmentations"](spark, str(tmp_path)).collect()
+    assert sorted(r["segmentations_xxhash64"] for r in got) == want
+    assert all(r["round_trip"] and len(r["segmentations_xxhash64"]) == len(r["scores"]) for r in got)
+    assert {len(r["scores"]) for r in got if r["doc_id"] in (1, None)} == {4}
+
+
 @pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n not in ("op6_neighbours", "op8_near_vectors", "op11_spellings", "op13_whitening")])
 def test_queries_run(spark, name):
     df = QUERIES[name](spark, FOLDER)

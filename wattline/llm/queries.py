@@ -119,7 +119,9 @@ PIECE_BPE = "piece_bpe_32k.model"
 def op9_segmentations(spark: SparkSession, folder: str) -> DataFrame:
     from wattline.llm.segment import best_segmentations
 
-    return best_segmentations(table(spark, folder, "documents"), tokenizer(PIECE_BPE), 4)
+    done = best_segmentations(table(spark, folder, "documents"), tokenizer(PIECE_BPE), 4, with_ids=True)
+    every = F.transform("segmentations", lambda ids: F.xxhash64(ids))
+    return done.select("doc_id", "scores", "lengths", "best_crc32", "round_trip", every.alias("segmentations_xxhash64"))
 
 
 @query

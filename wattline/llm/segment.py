@@ -6,17 +6,19 @@ A-star pops complete segmentations best first and never has to reconsider one.
 
 No piece crosses from the end of a word into white space, so the lattice of a text falls apart into units
 between such places.  A unit's best score and the gap to its second (forward and backward scores give both at once)
-are kept for the distinct units met last; the N best of a text differ from its best one only in the N - 1 units
-with the smallest gaps, so only those are searched for N, and their lists are merged.
+are kept for the distinct units met last, and found for many new ones of like length at once; the N best of a text
+differ from its best one only in the N - 1 units with the smallest gaps, so only those are searched for N, and their
+lists are merged.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
-from itertools import product
+from itertools import chain, count, product
 from operator import itemgetter
 from zlib import crc32
 
@@ -32,6 +34,57 @@ UNKNOWN_PENALTY = 10.0
 KEPT_UNITS = 400_000
 KEPT_LENGTH = 1000  # longer units are not kept
 ONLY_PREFIX = float("inf")
+# units of at most LONG code points are searched together, FEW or more of lengths within STEP, as many as a table of GRID entries holds
+LONG, STEP, FEW, GRID = 64, 4, 8, 1 << 18
+
+
+class Trie:
+    """Pieces by their code points; the edges are an open hash table."""
+
+    def __init__(self, scores: dict[str, float], ids: dict[str, int]):
+        edges: dict[int, int] = {}
+        ends: list[str | None] = [None]
+        for piece in scores:
+            node = 0
+            for c in map(ord, piece):
+                child = edges.setdefault(node << 21 | c, len(ends))
+                if child == len(ends):
+                    ends.append(None)
+                node = child
+            ends[node] = piece
+        self.whole = np.array([p is not None for p in ends])
+        self.score = np.array([scores.get(p, 0.0) for p in ends])
+        self.id = np.array([ids.get(p, -1) for p in ends], dtype=np.int32)
+        self.bits = (4 * len(edges) + 4).bit_length()
+        self.key = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.child = np.full(1 << self.bits, -1, dtype=np.int64)
+        keys, children = np.array(list(edges), dtype=np.int64), np.array(list(edges.values()), dtype=np.int64)
+        slot = self.slot(keys)
+        while len(keys):  # of those that want one slot the first gets it, the others move on
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.key[slot[first]] < 0]
+            self.key[slot[first]], self.child[slot[first]] = keys[first], children[first]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, children, slot = keys[rest], children[rest], (slot[rest] + 1) & (len(self.key) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The child of each node by a code point, -1 where it has none."""
+        keys = nodes << 21 | points
+        slot = self.slot(keys)
+        here = self.key[slot]
+        out = np.where(here == keys, self.child[slot], -1)
+        open_ = np.flatnonzero((here != keys) & (here >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.key) - 1)
+            here = self.key[slot[open_]]
+            hit = here == keys[open_]
+            out[open_[hit]] = self.child[slot[open_[hit]]]
+            open_ = open_[~hit & (here >= 0)]
+        return out
 
 
 class Lattice:
@@ -48,8 +101,12 @@ class Lattice:
         # scores of pieces, and a mark for texts with which only longer pieces begin
         self.known = {p[:i]: ONLY_PREFIX for p in scores for i in range(1, len(p))} | scores
         self.id_bytes = {p: int(i).to_bytes(4, "little") for p, i in ids.items()}
-        # pure values of the units met last
-        self.top = lru_cache(KEPT_UNITS)(self._top)
+        # pure values of the units met last, most of them in two generations
+        self.trie = Trie(scores, ids)
+        self.rooms: dict[str, np.ndarray] = {}
+        self.young: dict[str, tuple[float, float, bytes]] = {}
+        self.old: dict[str, tuple[float, float, bytes]] = {}
+        self.top = lru_cache(KEPT_UNITS // 20)(self._top)
         self.listed = lru_cache(KEPT_UNITS // 20)(self.best)
         self.spelling: list[bytes] | None = None
 
@@ -156,6 +213,110 @@ class Lattice:
                 second = s + ahead[i]
         return ahead[n], ahead[n] - second, b"".join(reversed(parts))
 
+    def _spelled(self, point: int) -> bytes:
+        return b"".join(self.byte_ids[b].to_bytes(4, "little") for b in chr(point).encode())
+
+    def _room(self, name: str, shape: tuple[int, ...], value: float, kind: type = np.float64) -> np.ndarray:
+        """An array of one value in memory that is used again: fresh pages cost more than the search."""
+        size = int(np.prod(shape))
+        if name not in self.rooms or len(self.rooms[name]) < size:
+            self.rooms[name] = np.empty(size, dtype=kind)
+        out = self.rooms[name][:size].reshape(shape)
+        out.fill(value)
+        return out
+
+    def _tops(self, units: list[str]) -> list[tuple[float, float, bytes]]:
+        """:meth:`_top` of units of like length, all at once.
+
+        ``into[e, q, r]`` is the score of the piece of unit r from place e - k + q to place e, where k is the longest
+        piece: of equal sums the earliest start comes first, as it does there.
+        """
+        n, size = len(units), max(map(len, units))
+        k, low = min(self.longest, size), float("-inf")
+        lengths = np.array([len(u) for u in units])
+        points = np.zeros((n, size), dtype=np.int64)
+        inside = np.arange(size) < lengths[:, None]
+        points[inside] = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")
+        into, number = self._room("into", (size + 1, k, n), low), self._room("number", (size + 1, k, n), -1, np.int32)
+        row, start = np.nonzero(inside)
+        node = np.zeros(len(row), dtype=np.int64)
+        for d in range(1, k + 1):
+            if d > 1:
+                more = start + d <= lengths[row]
+                row, start, node = row[more], start[more], node[more]
+            node = self.trie.step(node, points[row, start + d - 1])
+            whole = self.trie.whole[node] & (node >= 0)
+            at = start[whole] + d, k - d, row[whole]
+            into[at], number[at] = self.trie.score[node[whole]], self.trie.id[node[whole]]
+            if d == 1:  # a character without a piece
+                into[start[~whole] + 1, k - 1, row[~whole]] = self.unknown
+            lives = node >= 0
+            row, start, node = row[lives], start[lives], node[lives]
+        # place p of a unit is line k + p, so that starts before the unit are there too
+        ahead, rest = (self._room(name, (k + size + 1, n), low) for name in ("ahead", "rest"))
+        sums = self._room("sums", (k, n), low)
+        ahead[k] = 0.0
+        for e in range(1, size + 1):
+            np.add(into[e], ahead[e : e + k], out=sums).max(axis=0, out=ahead[k + e])
+        own = np.full((size + 1, n), -1)
+        ids, first = np.zeros((n, size), dtype=np.int64), np.full(n, size)
+        live, place, starts = np.arange(n), lengths.copy(), np.arange(k)
+        while len(live):
+            at = place[live]
+            ways = into[at, :, live] + ahead[at[:, None] + starts, live[:, None]]
+            own[at, live] = q = (ways == ahead[k + at, live][:, None]).argmax(axis=1)
+            first[live] -= 1
+            found = number[at, q, live]
+            ids[live, first[live]] = np.where(found >= 0, found, -1 - points[live, at - 1])
+            place[live] = at - k + q
+            live = live[place[live] > 0]
+        each = np.arange(n)
+        rest[k + lengths, each] = 0.0
+        second = np.full(n, low)
+        for e in range(size, 0, -1):
+            np.add(into[e], rest[k + e], out=sums)
+            np.maximum(rest[e : e + k], sums, out=rest[e : e + k])
+            sums += ahead[e : e + k]
+            on = np.flatnonzero(own[e] >= 0)
+            sums[own[e, on], on] = low
+            np.maximum(second, sums.max(axis=0), out=second)
+        total = ahead[k + lengths, each]
+        ends = np.cumsum(size - first).tolist()
+        data = ids[np.arange(size) >= first[:, None]].astype("<u4").tobytes()
+        parts = [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        for r in np.flatnonzero((ids < 0).any(axis=1)).tolist():
+            parts[r] = b"".join(int(i).to_bytes(4, "little") if i >= 0 else self._spelled(-1 - int(i)) for i in ids[r, first[r] :])
+        return list(zip(total.tolist(), (total - second).tolist(), parts))
+
+    def tops(self, units: Sequence[str]) -> list[tuple[float, float, bytes]]:
+        """Best score, gap and ids of distinct units; those met last are kept, long ones are not."""
+        done = list(map(self.young.get, units))
+        alike: dict[int, list[int]] = {}
+        for i, known in enumerate(done):
+            if known is None:
+                u = units[i]
+                done[i] = known = self.old.get(u)
+                if known is None:
+                    alike.setdefault(-(-len(u) // STEP) if len(u) <= LONG else 0, []).append(i)
+                else:
+                    self.young[u] = known
+        for size, group in alike.items():
+            step = max(1, GRID // ((size * STEP + 1) * min(self.longest, size * STEP or 1)))
+            for at in range(0, len(group), step):
+                part = group[at : at + step]
+                names = [units[i] for i in part]
+                if size and len(part) >= FEW:
+                    found = self._tops(names)
+                else:
+                    found = [self.top(u) if len(u) <= KEPT_LENGTH else self._top(u) for u in names]
+                for i, f in zip(part, found):
+                    done[i] = f
+                if size:
+                    self.young.update(zip(names, found))
+        if len(self.young) > KEPT_UNITS // 2:
+            self.old, self.young = self.young, {}
+        return done
+
     def split(self, text: str) -> list[str]:
         body = text.replace(" ", SPACE)
         return self.units.findall(SPACE + body if self.dummy and body else body)
@@ -163,22 +324,49 @@ class Lattice:
     def segment(self, text: str, n: int) -> tuple[list[bytes], list[tuple[float, list[tuple[int, bytes]]]]]:
         """The ids of the best segmentation, unit by unit, and the n best of the text as (score, [(unit number, ids)])
         with the units in which each differs from the best."""
-        units = self.split(text)
-        if max(map(len, units), default=0) > KEPT_LENGTH:
-            tops = [self.top(u) if len(u) <= KEPT_LENGTH else self._top(u) for u in units]
-        else:
-            tops = list(map(self.top, units))
-        total = sum(map(itemgetter(0), tops))
-        gaps = list(map(itemgetter(1), tops))
-        near = [i for i in nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__) if gaps[i] != float("inf")]
-        merged: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
-        for i in near:
-            best, own = tops[i][0], tops[i][2]
-            listed = self.listed if len(units[i]) <= KEPT_LENGTH else self.best
-            others = [(s, ids) for s, ids in listed(units[i], n) if ids != own]  # of equal scores the search may find another first
-            choices = [(0.0, ()), *((best - s, ((i, ids),)) for s, ids in others[: n - 1])]
-            merged = nsmallest(n, ((a + c, p + q) for (a, p), (c, q) in product(merged, choices)))
-        return [t[2] for t in tops], [(total - gap, list(changes)) for gap, changes in merged]
+        ids, ends, found = next(self.segment_all([text], n))
+        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())], found
+
+    def segment_all(
+        self, texts: Sequence[str], n: int
+    ) -> Iterator[tuple[bytes, np.ndarray, list[tuple[float, list[tuple[int, bytes]]]]]]:
+        """For each text the ids of the best segmentation, the end of each unit among them, and the n best as in :meth:`segment`."""
+        split = list(map(self.split, texts))
+        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        number: defaultdict[str, int] = defaultdict(count().__next__)  # distinct units in the order they are met
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=counts.sum())
+        tops = self.tops(list(number))
+        best, gap = (np.fromiter(map(itemgetter(c), tops), dtype=np.float64, count=len(tops))[at] for c in (0, 1))
+        parts = list(map(itemgetter(2), tops))
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        own, whole = sizes[at], np.frombuffer(b"".join(parts), dtype="<u4")
+        ends = np.cumsum(own)
+        ids = whole[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own), own) + np.arange(own.sum())]
+        stop = 0
+        for names, size in zip(split, counts.tolist()):
+            first, stop = stop, stop + size
+            total, gaps = sum(best[first:stop].tolist()), gap[first:stop]
+            near = np.arange(size)
+            if n == 1:
+                near = near[:0]
+            elif size > n - 1:
+                near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2])
+            near = near[np.argsort(gaps[near], kind="stable")][: n - 1]
+            merged: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
+            for i in near[gaps[near] != float("inf")].tolist():
+                score, _, mine = tops[at[first + i]]
+                listed = self.listed if len(names[i]) <= KEPT_LENGTH else self.best
+                others = [(s, b) for s, b in listed(names[i], n) if b != mine]  # of equal scores the search may find another first
+                choices = [(0.0, ()), *((score - s, ((i, b),)) for s, b in others[: n - 1])]
+                merged = nsmallest(n, ((a + c, p + q) for (a, p), (c, q) in product(merged, choices)))
+            before = ends[first - 1] if first else 0
+            here = ends[first:stop] - before
+            yield ids[before : before + here[-1] if size else before].tobytes(), here, [(total - g, list(changes)) for g, changes in merged]
+
+    def same(self, ids: bytes, other: bytes) -> bool:
+        """Whether two lists of ids spell the same."""
+        a, b = (b"".join(map(self.spelling.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in (ids, other))
+        return a == b
 
     def decode(self, ids: bytes) -> bytes:
         """The text that ids spell; bytes of unknown characters come back as they were."""
@@ -198,29 +386,41 @@ def lattice(path: str) -> Lattice:
 def _segment(batches: Iterable[pa.RecordBatch], path: str, n: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     model = lattice(path)
     for batch in pieces(batches, "text", 1 << 20):
-        rows = []
-        for text in batch.column(1).to_pylist():
-            text = text or ""
-            parts, found = model.segment(text, n)
-            best = b"".join(parts)
-            lengths = [len(best) // 4 + sum(len(ids) - len(parts[i]) for i, ids in changes) // 4 for _, changes in found]
-            every = []
-            for _, changes in found if with_ids else ():
-                own = parts.copy()
-                for i, ids in changes:
-                    own[i] = ids
-                every.append(np.frombuffer(b"".join(own), dtype="<u4").astype(np.int32))
-            rows.append(([s for s, _ in found], lengths, crc32(best), model.decode(best) == text.encode(), every))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = (pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.list_(pa.list_(pa.int32())))
-        arrays = [batch.column(0)] + [pa.array(c, k) for c, k in zip(columns, kinds)]
-        names = ["id", "scores", "lengths", "best_crc32", "round_trip", "segmentations"]
-        yield pa.RecordBatch.from_arrays(arrays[: 6 if with_ids else 5], names[: 6 if with_ids else 5])
+        texts = [text or "" for text in batch.column(1).to_pylist()]
+        scores, lengths, best, right, every = [], [], [], [], []
+        for text, (ids, ends, found) in zip(texts, model.segment_all(texts, n)):
+            # ids are spelled one after the other: another segmentation gives the text if its other units spell as the best's do
+            made, trip = [], model.decode(ids) == text.encode()
+            for _, changes in found:
+                place, parts = 0, []
+                for i, other in sorted(changes):
+                    a, b = 4 * int(ends[i - 1]) if i else 0, 4 * int(ends[i])
+                    trip = trip and model.same(ids[a:b], other)
+                    parts += [ids[place:a], other]
+                    place = b
+                made.append(b"".join([*parts, ids[place:]]))
+            scores.append([s for s, _ in found])
+            lengths.append([len(x) // 4 for x in made])
+            best.append(crc32(ids))
+            right.append(trip)
+            if with_ids:
+                every.append(made)
+        kinds = (pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int64(), pa.bool_())
+        arrays = [batch.column(0)] + [pa.array(c, k) for c, k in zip((scores, lengths, best, right), kinds)]
+        names = ["id", "scores", "lengths", "best_crc32", "round_trip"]
+        if with_ids:
+            counts = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+            sizes = np.fromiter(chain.from_iterable(lengths), dtype=np.int64, count=counts.sum())
+            values = np.frombuffer(b"".join(chain.from_iterable(every)), dtype="<u4").astype(np.int32)
+            outer, inner = (pa.array(np.concatenate([[0], np.cumsum(c)]).astype(np.int32)) for c in (counts, sizes))
+            arrays.append(pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(values))))
+            names.append("segmentations")
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
 
 def best_segmentations(docs: DataFrame, path: str, n: int = 4, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row: ``key``, scores and lengths (in pieces) of the ``n`` best segmentations, best first, best_crc32
-    (of the best one's ids, unsigned 32-bit), round_trip (decoding them gives the text) and, if asked for,
+    (of the best one's ids, unsigned 32-bit), round_trip (decoding each of them gives the text) and, if asked for,
     segmentations (ids of each).
 
     A text with fewer segmentations has fewer entries; an empty or null text has one without pieces, score 0.
