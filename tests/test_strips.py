@@ -139,3 +139,19 @@ def test_client_rows_keep_a_null_node(spark):
     assert sorted(r["v"] for r in K.client_rows(df, nodes, "node").collect()) == [1, 2, 3, 4, 5]
     parts = [sorted(r["v"] for r in K.client_rows(df, nodes, "node", i).collect()) for i in (0, 1)]
     assert sorted(parts[0] + parts[1]) == [1, 2, 3, 4, 5] and K.client_rows(df, nodes, "node", 0).columns == ["node", "v"]
+
+
+def test_examples_of_many_strips_meet_in_one_product(both_forms, monkeypatch):
+    """Strips of a few windows are put together before a model sees them, up to a bound, and none is lost or moved."""
+    _, strips = both_forms(False)
+    batches = strips.select(*T.example_columns(strips, "client_id")).toArrow().to_batches(max_chunksize=2)
+    single = [(batch.column("client_id").take(T.pa.array(at)).to_pylist(), x, y) for batch in batches for at, x, y in T.examples(batch)]
+    for block, most in ((4096, 1), (7, len(single))):
+        monkeypatch.setattr(T, "BLOCK", block)
+        found = list(T.example_blocks(iter(batches), "client_id"))
+        assert 1 <= len(found) <= most and len(single) > 3
+        assert sum((k[0].to_pylist() for k, _, _ in found), []) == sum((k for k, _, _ in single), [])
+        assert np.array_equal(np.concatenate([x for _, x, _ in found]), np.concatenate([x for _, x, _ in single]))
+        assert np.array_equal(np.concatenate([y for _, _, y in found]), np.concatenate([y for _, _, y in single]))
+        assert all(len(x) <= max(block, max(len(s[1]) for s in single)) for _, x, _ in found)
+    assert list(T.example_blocks(iter([]), "client_id")) == []

@@ -132,6 +132,36 @@ def examples(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield np.full(len(told), i), cut_windows(x[i].values.to_numpy(zero_copy_only=False), len(told), window, stride, scaled), told
 
 
+BLOCK = 4096  # examples of a matrix product, and at most about BLOCK_VALUES of their features
+BLOCK_VALUES = 1 << 22
+
+
+def example_blocks(
+    batches: Iterator[pa.RecordBatch], *keys: str
+) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """Key columns, features and labels of the examples of many rows and batches together.
+
+    A strip holds few windows, and a product of few rows with large weights spends its time on reading the weights.
+    """
+    held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []
+    rows = values = 0
+
+    def together() -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+        columns = [pa.concat_arrays([h[0][i] for h in held]) for i in range(len(keys))]
+        return columns, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+
+    for batch in batches:
+        for at, x, y in examples(batch):
+            take = pa.array(at)
+            if held and (rows + len(x) > BLOCK or values + x.size > BLOCK_VALUES or x.shape[1] != held[0][1].shape[1]):
+                yield together()
+                held, rows, values = [], 0, 0
+            held.append(([batch.column(k).take(take) for k in keys], x, y))
+            rows, values = rows + len(x), values + x.size
+    if held:
+        yield together()
+
+
 def examples_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in table.to_batches():
         yield from examples(batch)
@@ -183,16 +213,17 @@ def gradient_pass(
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = sent.value
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            clients = None if shared else batch.column("client_id").to_numpy(zero_copy_only=False)
-            for at, x, y in examples(batch):
-                owner = None if shared else clients[at]
-                for m in known if shared else np.unique(owner).tolist():
-                    mine = slice(None) if shared else owner == m
-                    grad, loss = _gradient(known[m], x[mine], y[mine], weight.get(m, 1.0))
-                    # loss and row count ride along behind the gradient
-                    vector = np.concatenate([grad, [loss, len(y[mine])]])
-                    sums[m] = sums[m] + vector if m in sums else vector
+        for keys, x, y in example_blocks(batches, *([] if shared else ["client_id"])):
+            owner = None if shared else keys[0].to_numpy(zero_copy_only=False)
+            for m in known if shared else np.unique(owner).tolist():
+                mine = slice(None) if shared else owner == m
+                grad, loss = _gradient(known[m], x[mine], y[mine], weight.get(m, 1.0))
+                # loss and row count ride along behind the gradient
+                vector = np.concatenate([grad, [loss, len(y[mine])]])
+                if m in sums:
+                    sums[m] += vector
+                else:
+                    sums[m] = vector
         for m, v in sums.items():
             yield _chunk_batch([(m, k, v[i : i + CHUNK]) for k, i in enumerate(range(0, len(v), CHUNK))])
 
@@ -313,26 +344,26 @@ def score(
     extra = [T.StructField("model", T.IntegerType()), T.StructField("logit", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [*keep, "model", "logit"]
-            for at, x, y in examples(batch):
-                take = pa.array(at)
-                columns = [batch.column(k).take(take) if k != "y" or flat_rows else pa.array(y.astype(np.int32)) for k in keep]
-                if shared:
-                    for m, w in sent.value.items():
-                        logit = _activations(w, x)[-1][:, 0]
-                        yield pa.RecordBatch.from_arrays(
-                            [*columns, pa.array(np.full(len(x), m), pa.int32()), pa.array(logit)], names=names
-                        )
-                    continue
-                owner = batch.column("client_id").to_numpy(zero_copy_only=False)[at]
-                logit = np.empty(len(x))
-                for m in np.unique(owner).tolist():
-                    mine = owner == m
-                    logit[mine] = _activations(sent.value[m], x[mine])[-1][:, 0]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(owner, pa.int32()), pa.array(logit)], names=names
-                )
+        names = [*keep, "model", "logit"]
+        carried = [k for k in keep if k != "y" or flat_rows]
+        for keys, x, y in example_blocks(batches, *carried, *([] if shared else ["client_id"])):
+            found = dict(zip(carried, keys))
+            columns = [found[k] if k in found else pa.array(y.astype(np.int32)) for k in keep]
+            if shared:
+                for m, w in sent.value.items():
+                    logit = _activations(w, x)[-1][:, 0]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(np.full(len(x), m), pa.int32()), pa.array(logit)], names=names
+                    )
+                continue
+            owner = keys[-1].to_numpy(zero_copy_only=False)
+            logit = np.empty(len(x))
+            for m in np.unique(owner).tolist():
+                mine = owner == m
+                logit[mine] = _activations(sent.value[m], x[mine])[-1][:, 0]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(owner, pa.int32()), pa.array(logit)], names=names
+            )
 
     cols = example_columns(rows, *([] if shared else ["client_id"]))
     if flat_rows and "y" not in keep:
