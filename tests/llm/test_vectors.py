@@ -215,3 +215,24 @@ def test_chance_to_meet_is_that_of_random_projections():
         codes = h.data(y)
         seen = np.mean([any(codes[i, t] in h.query(q[i : i + 1], t)[0] for t in range(2)) for i in range(400)])
         assert abs(seen - h.met(q, np.full(400, cosine)).mean()) < 0.08
+
+
+@pytest.mark.parametrize("cells,sharing", [(1, 1), (7, 7), (60, 40), (600, 5)])
+def test_a_block_answers_from_the_probed_cells(cells, sharing):
+    """Few or many candidates, in any order of the cells: the best of the probed cells and nothing else."""
+    import pyarrow as pa
+
+    from wattline.llm.probing import Block
+
+    rng = np.random.default_rng(cells)
+    x, codes = rng.standard_normal((600, 8)), rng.integers(0, cells, 600)
+    parts = [pa.RecordBatch.from_arrays(
+        [pa.array([[i] for i in range(600)], pa.list_(pa.int64())), pa.array([[int(c)] for c in codes], pa.list_(pa.int64())),
+         pa.array(list(x), pa.list_(pa.float64()))], ["ids", "codes", "vector"])]
+    own, probed = list(range(0, 600, 6)), [rng.permutation(cells)[:sharing].tolist() for _ in range(100)]
+    got = Block(parts).nearest(own, x[own], probed, 5)
+    for i, cell, found in zip(own, probed, got):
+        score = (x * x[i]).sum(axis=1)
+        allowed = [j for j in np.flatnonzero(np.isin(codes, cell)).tolist() if j != i]
+        assert [f["id"] for f in found] == sorted(allowed, key=lambda j: (-score[j], j))[:5]
+        assert [-f["less"] for f in found] == [score[f["id"]] for f in found]

@@ -23,6 +23,8 @@ LEAST = 0.9
 LOW = 0.05
 # blocks of an exact pass, however few vectors there are
 EXACT_BLOCKS = 32
+# queries of a matrix product, which is taken where their cells hold more than one in PART of a block's vectors
+ASKED, PART = 64, 16
 _erf = np.frompyfunc(erf, 1, 1)
 WIDTHS = tuple(0.4 * 1.1**i for i in range(21))
 
@@ -167,22 +169,34 @@ class Block:
             order = np.argsort(codes[rows], kind="stable")
             self.groups[x.shape[1]] = (codes[rows][order], rows[order], x[order])
 
-    def nearest(self, own: int, q: np.ndarray, probed: np.ndarray, n: int) -> list[dict]:
-        if len(q) not in self.groups:
-            return []
-        codes, rows, x = self.groups[len(q)]
-        low, high = np.searchsorted(codes, probed, "left"), np.searchsorted(codes, probed, "right")
-        full = high > low
-        if not full.any():
-            return []
-        at = np.concatenate([np.arange(a, b) for a, b in zip(low[full], high[full])])
-        rough = x @ q if len(at) == len(x) else x[at] @ q
-        if len(at) > n + 1:  # one more than asked for: the query's own vector may be among them
-            at = at[rough >= np.partition(rough, len(at) - n - 1)[len(at) - n - 1] - 1e-9]
-        score = (x[at] * q).sum(axis=1)
-        order = np.lexsort((self.least[rows[at]], -score))[: n + 1]
-        out = [(-score[k], i) for k in order for i in self.ids[rows[at[k]]] if i != own]
-        return [{"less": s, "id": i} for s, i in sorted(out)[:n]]
+    def nearest(self, own: list[int], q: np.ndarray, probed: list[list[int]], n: int) -> list[list[dict]]:
+        """The n best of each query (a row of ``q``) in the cells it probes.
+
+        The cells alone say what is compared.  Where queries probe a large part of the block, their inner products are
+        one matrix product, of which each takes what lies in its cells; otherwise the vectors of its cells are gathered.
+        """
+        if q.shape[1] not in self.groups:
+            return [[] for _ in own]
+        codes, rows, x = self.groups[q.shape[1]]
+        places, out = [], []
+        for cells in probed:
+            cells = np.array(cells, dtype=np.int64)
+            low = np.searchsorted(codes, cells, "left")
+            size = np.searchsorted(codes, cells, "right") - low
+            places.append(np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum()))
+        for first in range(0, len(own), ASKED):
+            part = places[first : first + ASKED]
+            many = sum(map(len, part)) * PART > len(x) * len(part)
+            product = q[first : first + ASKED] @ x.T if many else None
+            for i, at in enumerate(part, first):
+                if len(at) > n + 1:  # one more than asked for: the query's own vector may be among them
+                    rough = product[i - first][at] if many else x[at] @ q[i]
+                    at = at[rough >= np.partition(rough, len(at) - n - 1)[len(at) - n - 1] - 1e-9]
+                score = (x[at] * q[i]).sum(axis=1)
+                order = np.lexsort((self.least[rows[at]], -score))[: n + 1]
+                met = [(-score[k], other) for k in order for other in self.ids[rows[at[k]]] if other != own[i]]
+                out.append([{"less": s, "id": other} for s, other in sorted(met)[:n]])
+        return out
 
 
 def _search(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -205,10 +219,10 @@ def _search(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
                 block = Block(parts)
             if block is None:
                 continue
-            found = [
-                block.nearest(own, np.array(q, dtype=np.float64), np.array(probed, dtype=np.int64), n)
-                for own, q, probed in zip(*(part.column(c).to_pylist() for c in (2, 3, 5)))
-            ]
+            own, probed, found = part.column(2).to_pylist(), part.column(5).to_pylist(), [[]] * part.num_rows
+            for asked, q in by_dimension(part.column(3)):
+                for i, best in zip(asked.tolist(), block.nearest([own[i] for i in asked], q, [probed[i] for i in asked], n)):
+                    found[i] = best
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array(found, kind_of)], ["query_id", "found"])
 
 
