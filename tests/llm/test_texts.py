@@ -524,6 +524,61 @@ def test_many_units_at_once():
     assert model.tops(units) == [model._top(u) for u in units] == model.tops(units)
 
 
+def test_units_of_many_texts():
+    """Texts cut and told apart together have the units that each has alone."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("ab é▁語😀\n\t\0", k=rng.randrange(0, 40))) for _ in range(400)] + ["", " ", "\n", "▁ ", " \n ", ""]
+    for dummy in (True, False):
+        model = Lattice({"a": -1.0, "▁": -2.0}, {"a": 0, "▁": 1}, list(range(1000, 1256)), dummy=dummy)
+        for some in (texts, texts[:1], ["", ""], []):
+            counts, names, at = model.split_all(some)
+            assert counts.tolist() == [len(model.split(t)) for t in some] and len(set(names)) == len(names)
+            assert [names[i] for i in at.tolist()] == [u for t in some for u in model.split(t)]
+
+
+def test_kept_units_change(monkeypatch):
+    """Units are found alike when kept ones are dropped, come back from the older generation and stand beside long ones."""
+    rng = random.Random(12)
+    model = Lattice.load(tokenizer(PIECE_BPE))
+    pool = sorted({"".join(rng.choices("abcdeé▁=龥͸", k=rng.choice([3, 7, 12, 40, 80, 1100]))) for _ in range(400)})
+    want = {u: model._top(u) for u in pool}
+    monkeypatch.setattr("wattline.llm.segment.KEPT_UNITS", 200)
+    dropped = 0
+    for _ in range(30):
+        units = rng.sample(pool, rng.choice([1, 5, 90]))
+        before = model.old
+        assert model.tops(units) == [want[u] for u in units]
+        dropped += model.old is not before
+        assert not any(len(u) > 64 for kept in (model.young, model.old) for u in kept.row)
+    assert dropped > 2
+
+
+def test_known_units_cost_less_than_cutting_texts_one_by_one():
+    """The best segmentations of texts with known units take less time than a regular expression and a dictionary take
+    to cut the texts and number their units."""
+    from time import process_time
+
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 12))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=2000)) for _ in range(150)]
+    model = Lattice.load(tokenizer(PIECE_BPE))
+
+    def cut():
+        number = {}
+        return [[number.setdefault(u, len(number)) for u in model.split(t)] for t in texts]
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = process_time()
+            f()
+            took.append(process_time() - began)
+        return min(took)
+
+    assert sum(len(ids) for ids, _, _ in model.segment_all(texts, 1)) > 0  # from here on all units are known
+    assert least(lambda: list(model.segment_all(texts, 1))) < least(cut)
+
+
 def test_query_segments_in_full(spark, tmp_path):
     """The query makes all four segmentations of a text, not the best one only, and says what their ids are."""
     texts = [(1, "The lattice of a text falls apart.\nUnits  ͸ 😀"), (2, None), (3, ""), (4, "a"), (5, "a"), (None, "Wörter zählen")]

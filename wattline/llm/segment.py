@@ -8,22 +8,21 @@ No piece crosses from the end of a word into white space, so the lattice of a te
 between such places.  A unit's best score and the gap to its second (forward and backward scores give both at once)
 are kept for the distinct units met last, and found for many new ones of like length at once; the N best of a text
 differ from its best one only in the N - 1 units with the smallest gaps, so only those are searched for N, and their
-lists are merged.
+lists are merged.  A batch's units are cut, told apart, looked up and put together as arrays.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
-from itertools import chain, count, product
-from operator import itemgetter
+from itertools import chain, product
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +30,17 @@ from wattline.llm.words import pieces
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-KEPT_UNITS = 400_000
+KEPT_UNITS = 800_000
 KEPT_LENGTH = 1000  # longer units are not kept
 ONLY_PREFIX = float("inf")
 # units of at most LONG code points are searched together, FEW or more of lengths within STEP, as many as a table of GRID entries holds
 LONG, STEP, FEW, GRID = 64, 4, 8, 1 << 18
+SPELLED = 1 << 18  # ids spelled at once
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Trie:
@@ -55,10 +60,16 @@ class Trie:
         self.whole = np.array([p is not None for p in ends])
         self.score = np.array([scores.get(p, 0.0) for p in ends])
         self.id = np.array([ids.get(p, -1) for p in ends], dtype=np.int32)
-        self.bits = (4 * len(edges) + 4).bit_length()
+        self.first = np.full(0x110000, -1, dtype=np.int32)  # children of the root
+        for edge, child in edges.items():
+            if edge < 1 << 21:
+                self.first[edge] = child
+        self.inner = np.zeros(len(ends), dtype=bool)
+        self.inner[[edge >> 21 for edge in edges]] = True
+        self.bits = (2 * len(edges) + 4).bit_length()
         self.key = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.child = np.full(1 << self.bits, -1, dtype=np.int64)
-        keys, children = np.array(list(edges), dtype=np.int64), np.array(list(edges.values()), dtype=np.int64)
+        self.child = np.full(1 << self.bits, -1, dtype=np.int32)
+        keys, children = np.array(list(edges), dtype=np.int64), np.array(list(edges.values()), dtype=np.int32)
         slot = self.slot(keys)
         while len(keys):  # of those that want one slot the first gets it, the others move on
             _, first = np.unique(slot, return_index=True)
@@ -73,7 +84,7 @@ class Trie:
 
     def step(self, nodes: np.ndarray, points: np.ndarray) -> np.ndarray:
         """The child of each node by a code point, -1 where it has none."""
-        keys = nodes << 21 | points
+        keys = nodes.astype(np.int64) << 21 | points
         slot = self.slot(keys)
         here = self.key[slot]
         out = np.where(here == keys, self.child[slot], -1)
@@ -87,6 +98,45 @@ class Trie:
         return out
 
 
+class Found:
+    """Best score, gap and ids of units, by number; the number of a kept unit is in ``row``."""
+
+    def __init__(self, units: int = 1 << 12):
+        self.row: dict[str, int] = {}
+        self.n = self.used = 0
+        self.best, self.gap = np.empty(units), np.empty(units)
+        self.start, self.size = np.empty(units, dtype=np.int64), np.empty(units, dtype=np.int32)
+        self.ids = np.empty(4 * units, dtype="<u4")
+
+    @staticmethod
+    def _grown(kept: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty(max(size, len(kept) * 3 // 2), dtype=kept.dtype)
+        out[: len(kept)] = kept
+        return out
+
+    def add(self, best: np.ndarray, gap: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The numbers of units whose ids stand one after the other."""
+        n, used = self.n + len(best), self.used + len(ids)
+        if n > len(self.best):
+            self.best, self.gap, self.start, self.size = (self._grown(c, n) for c in (self.best, self.gap, self.start, self.size))
+        if used > len(self.ids):
+            self.ids = self._grown(self.ids, used)
+        self.best[self.n : n], self.gap[self.n : n], self.size[self.n : n] = best, gap, size
+        self.start[self.n : n] = self.used + np.cumsum(size) - size
+        self.ids[self.used : used] = ids
+        numbers = np.arange(self.n, n)
+        self.n, self.used = n, used
+        return numbers
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size = self.size[rows].astype(np.int64)
+        return self.best[rows], self.gap[rows], size, self.ids[spans(self.start[rows], size)]
+
+    def rows(self, units: Sequence[str]) -> np.ndarray:
+        get = self.row.get
+        return np.fromiter([get(u, -1) for u in units], dtype=np.int64, count=len(units))
+
+
 class Lattice:
     """Pieces and scores of one vocabulary.  A character without a piece is spelled by its bytes, at the lowest
     score minus ten, as unknown characters are."""
@@ -104,11 +154,11 @@ class Lattice:
         # pure values of the units met last, most of them in two generations
         self.trie = Trie(scores, ids)
         self.rooms: dict[str, np.ndarray] = {}
-        self.young: dict[str, tuple[float, float, bytes]] = {}
-        self.old: dict[str, tuple[float, float, bytes]] = {}
+        self.young, self.old = Found(), Found()
         self.top = lru_cache(KEPT_UNITS // 20)(self._top)
         self.listed = lru_cache(KEPT_UNITS // 20)(self.best)
         self.spelling: list[bytes] | None = None
+        self.spelled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def load(cls, path: str) -> Lattice:
@@ -129,6 +179,8 @@ class Lattice:
                 spelling.append(piece.replace(SPACE, " ").encode())
         made = cls(scores, ids, byte_ids)
         made.spelling = spelling
+        sizes = np.array(list(map(len, spelling)))
+        made.spelled = np.frombuffer(b"".join(spelling), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
         return made
 
     def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -216,45 +268,64 @@ class Lattice:
     def _spelled(self, point: int) -> bytes:
         return b"".join(self.byte_ids[b].to_bytes(4, "little") for b in chr(point).encode())
 
-    def _room(self, name: str, shape: tuple[int, ...], value: float, kind: type = np.float64) -> np.ndarray:
-        """An array of one value in memory that is used again: fresh pages cost more than the search."""
+    def _room(self, name: str, shape: tuple[int, ...], value: float | None, kind: type = np.float64) -> np.ndarray:
+        """An array of one value (None: any) in memory that is used again: fresh pages cost more than the search."""
         size = int(np.prod(shape))
         if name not in self.rooms or len(self.rooms[name]) < size:
             self.rooms[name] = np.empty(size, dtype=kind)
         out = self.rooms[name][:size].reshape(shape)
-        out.fill(value)
+        if value is not None:
+            out.fill(value)
         return out
 
     def _tops(self, units: list[str]) -> list[tuple[float, float, bytes]]:
-        """:meth:`_top` of units of like length, all at once.
+        """:meth:`_top` of units of like length, all at once."""
+        return self._listed(*self._search(units))
+
+    @staticmethod
+    def _listed(best: np.ndarray, gap: np.ndarray, size: np.ndarray, ids: np.ndarray) -> list[tuple[float, float, bytes]]:
+        ends, data = (4 * np.cumsum(size)).tolist(), ids.tobytes()
+        return list(zip(best.tolist(), gap.tolist(), (data[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _search(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best score, gap, number of ids and ids (one unit's after the other's) of units of like length.
 
         ``into[e, q, r]`` is the score of the piece of unit r from place e - k + q to place e, where k is the longest
-        piece: of equal sums the earliest start comes first, as it does there.
+        piece in them: of equal sums the earliest start comes first, as it does in :meth:`_top`.
         """
-        n, size = len(units), max(map(len, units))
-        k, low = min(self.longest, size), float("-inf")
-        lengths = np.array([len(u) for u in units])
+        n, low = len(units), float("-inf")
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=n)
+        size = int(lengths.max())
         points = np.zeros((n, size), dtype=np.int64)
         inside = np.arange(size) < lengths[:, None]
         points[inside] = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")
-        into, number = self._room("into", (size + 1, k, n), low), self._room("number", (size + 1, k, n), -1, np.int32)
         row, start = np.nonzero(inside)
-        node = np.zeros(len(row), dtype=np.int64)
-        for d in range(1, k + 1):
-            if d > 1:
-                more = start + d <= lengths[row]
-                row, start, node = row[more], start[more], node[more]
+        node = self.trie.first[points[inside]]
+        whole = self.trie.whole[node] & (node >= 0)
+        strange = row[~whole], start[~whole]  # characters without a piece
+        held, k = [(row[whole], start[whole], node[whole])], 1
+        go = np.flatnonzero(self.trie.inner[node] & (node >= 0))
+        for d in range(2, min(self.longest, size) + 1):
+            go = go[start[go] + d <= lengths[row[go]]]
+            row, start, node = row[go], start[go], node[go]
             node = self.trie.step(node, points[row, start + d - 1])
-            whole = self.trie.whole[node] & (node >= 0)
-            at = start[whole] + d, k - d, row[whole]
-            into[at], number[at] = self.trie.score[node[whole]], self.trie.id[node[whole]]
-            if d == 1:  # a character without a piece
-                into[start[~whole] + 1, k - 1, row[~whole]] = self.unknown
-            lives = node >= 0
+            lives = np.flatnonzero(node >= 0)
             row, start, node = row[lives], start[lives], node[lives]
+            if not len(lives):
+                break
+            whole = np.flatnonzero(self.trie.whole[node])
+            held.append((row[whole], start[whole], node[whole]))
+            k = d if len(whole) else k
+            go = np.flatnonzero(self.trie.inner[node])
+        into, number = self._room("into", (size + 1, k, n), low), self._room("number", (size + 1, k, n), None, np.int32)
+        for d, (row, start, node) in enumerate(held[:k], 1):
+            at = ((start + d) * k + k - d) * n + row
+            into.reshape(-1)[at], number.reshape(-1)[at] = self.trie.score[node], self.trie.id[node]
+        row, start = strange
+        into[start + 1, k - 1, row], number[start + 1, k - 1, row] = self.unknown, -1
         # place p of a unit is line k + p, so that starts before the unit are there too
         ahead, rest = (self._room(name, (k + size + 1, n), low) for name in ("ahead", "rest"))
-        sums = self._room("sums", (k, n), low)
+        sums = self._room("sums", (k, n), None)
         ahead[k] = 0.0
         for e in range(1, size + 1):
             np.add(into[e], ahead[e : e + k], out=sums).max(axis=0, out=ahead[k + e])
@@ -281,46 +352,87 @@ class Lattice:
             sums[own[e, on], on] = low
             np.maximum(second, sums.max(axis=0), out=second)
         total = ahead[k + lengths, each]
-        ends = np.cumsum(size - first).tolist()
-        data = ids[np.arange(size) >= first[:, None]].astype("<u4").tobytes()
-        parts = [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-        for r in np.flatnonzero((ids < 0).any(axis=1)).tolist():
-            parts[r] = b"".join(int(i).to_bytes(4, "little") if i >= 0 else self._spelled(-1 - int(i)) for i in ids[r, first[r] :])
-        return list(zip(total.tolist(), (total - second).tolist(), parts))
-
-    def tops(self, units: Sequence[str]) -> list[tuple[float, float, bytes]]:
-        """Best score, gap and ids of distinct units; those met last are kept, long ones are not."""
-        done = list(map(self.young.get, units))
+        counts, ids = size - first, ids[np.arange(size) >= first[:, None]]
+        unknown = ids < 0
+        if unknown.any():
+            spelled = [self._spelled(-1 - i) for i in ids[unknown].tolist()]
+            each = np.ones(len(ids), dtype=np.int64)
+            each[unknown] = [len(x) // 4 for x in spelled]
+            ids, unknown = np.repeat(ids, each), np.repeat(unknown, each)
+            ids[unknown] = np.frombuffer(b"".join(spelled), dtype="<u4")
+            counts = np.add.reduceat(each, np.cumsum(counts) - counts)
+        return total, total - second, counts, ids.astype("<u4")
+
+    def _alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of units that are searched one by one."""
+        best, gap, ids = zip(*(self.top(u) if len(u) <= KEPT_LENGTH else self._top(u) for u in units))
+        return np.array(best), np.array(gap), np.array(list(map(len, ids))) // 4, np.frombuffer(b"".join(ids), dtype="<u4")
+
+    def found(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best scores, gaps, numbers of ids and ids of distinct units; those met last are kept, long ones are not."""
+        rows, out = self.young.rows(units), Found(len(units))
+        new = np.flatnonzero(rows < 0)
+        if self.old.n and len(new):
+            names = [units[i] for i in new.tolist()]
+            known = self.old.rows(names)
+            again = np.flatnonzero(known >= 0)
+            rows[new[again]] = numbers = self.young.add(*self.old.take(known[again]))
+            self.young.row.update(zip([names[i] for i in again.tolist()], numbers.tolist()))
+            new = new[known < 0]
         alike: dict[int, list[int]] = {}
-        for i, known in enumerate(done):
-            if known is None:
-                u = units[i]
-                done[i] = known = self.old.get(u)
-                if known is None:
-                    alike.setdefault(-(-len(u) // STEP) if len(u) <= LONG else 0, []).append(i)
-                else:
-                    self.young[u] = known
+        for i in new.tolist():
+            size = len(units[i])
+            alike.setdefault(-(-size // STEP) if size <= LONG else 0, []).append(i)
+        apart: list[int] = []
         for size, group in alike.items():
             step = max(1, GRID // ((size * STEP + 1) * min(self.longest, size * STEP or 1)))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 names = [units[i] for i in part]
-                if size and len(part) >= FEW:
-                    found = self._tops(names)
-                else:
-                    found = [self.top(u) if len(u) <= KEPT_LENGTH else self._top(u) for u in names]
-                for i, f in zip(part, found):
-                    done[i] = f
+                made = self._search(names) if size and len(part) >= FEW else self._alone(names)
                 if size:
-                    self.young.update(zip(names, found))
-        if len(self.young) > KEPT_UNITS // 2:
-            self.old, self.young = self.young, {}
-        return done
+                    rows[part] = numbers = self.young.add(*made)
+                    self.young.row.update(zip(names, numbers.tolist()))
+                else:
+                    apart += part
+                    out.add(*made)
+        if apart:  # kept ones behind those that are not
+            kept = np.flatnonzero(rows >= 0)
+            out.add(*self.young.take(rows[kept]))
+            order = np.empty(len(units), dtype=np.int64)
+            order[np.concatenate([np.array(apart), kept])] = np.arange(len(units))
+            made = out.take(order)
+        else:
+            made = self.young.take(rows)
+        if self.young.n > KEPT_UNITS // 2:
+            self.old, self.young = self.young, Found()
+        return made
+
+    def tops(self, units: Sequence[str]) -> list[tuple[float, float, bytes]]:
+        """Best score, gap and ids of distinct units, as :meth:`found` has them."""
+        return self._listed(*self.found(units))
 
     def split(self, text: str) -> list[str]:
         body = text.replace(" ", SPACE)
         return self.units.findall(SPACE + body if self.dummy and body else body)
 
+    def split_all(self, texts: Sequence[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The number of units of each text, the distinct units of all, and which of them each unit is; as :meth:`split`."""
+        parts = [(SPACE + text if self.dummy and text else text).replace(SPACE, " ").encode() for text in texts]
+        data, own = b"".join(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        stops = np.cumsum(own)
+        firsts, raw = stops - own, np.frombuffer(data, dtype=np.uint8)
+        space, begins = raw == 32, raw == 10
+        begins[1:] |= begins[:-1].copy()
+        begins[1:] |= space[1:] & ~space[:-1]
+        begins[firsts[own > 0]] = True
+        starts = np.flatnonzero(begins)
+        counts = np.searchsorted(starts, stops) - np.searchsorted(starts, firsts)
+        bounds = np.append(starts, len(raw))
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        names = pc.replace_substring(coded.dictionary, " ", SPACE).to_numpy(zero_copy_only=False).tolist()
+        return counts, names, coded.indices.to_numpy()
+
     def segment(self, text: str, n: int) -> tuple[list[bytes], list[tuple[float, list[tuple[int, bytes]]]]]:
         """The ids of the best segmentation, unit by unit, and the n best of the text as (score, [(unit number, ids)])
         with the units in which each differs from the best."""
@@ -331,19 +443,14 @@ class Lattice:
         self, texts: Sequence[str], n: int
     ) -> Iterator[tuple[bytes, np.ndarray, list[tuple[float, list[tuple[int, bytes]]]]]]:
         """For each text the ids of the best segmentation, the end of each unit among them, and the n best as in :meth:`segment`."""
-        split = list(map(self.split, texts))
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        number: defaultdict[str, int] = defaultdict(count().__next__)  # distinct units in the order they are met
-        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=counts.sum())
-        tops = self.tops(list(number))
-        best, gap = (np.fromiter(map(itemgetter(c), tops), dtype=np.float64, count=len(tops))[at] for c in (0, 1))
-        parts = list(map(itemgetter(2), tops))
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        own, whole = sizes[at], np.frombuffer(b"".join(parts), dtype="<u4")
+        counts, names, at = self.split_all(texts)
+        best, gap, sizes, whole = self.found(names)
+        first_id = np.cumsum(sizes) - sizes
+        own = sizes[at]
         ends = np.cumsum(own)
-        ids = whole[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own), own) + np.arange(own.sum())]
-        stop = 0
-        for names, size in zip(split, counts.tolist()):
+        ids = whole[spans(first_id[at], own)]
+        stop, alone, best, gap = 0, best, best[at], gap[at]
+        for size in counts.tolist():
             first, stop = stop, stop + size
             total, gaps = sum(best[first:stop].tolist()), gap[first:stop]
             near = np.arange(size)
@@ -354,9 +461,10 @@ class Lattice:
             near = near[np.argsort(gaps[near], kind="stable")][: n - 1]
             merged: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
             for i in near[gaps[near] != float("inf")].tolist():
-                score, _, mine = tops[at[first + i]]
-                listed = self.listed if len(names[i]) <= KEPT_LENGTH else self.best
-                others = [(s, b) for s, b in listed(names[i], n) if b != mine]  # of equal scores the search may find another first
+                u = int(at[first + i])
+                score, mine = float(alone[u]), whole[first_id[u] : first_id[u] + sizes[u]].tobytes()
+                listed = self.listed if len(names[u]) <= KEPT_LENGTH else self.best
+                others = [(s, b) for s, b in listed(names[u], n) if b != mine]  # of equal scores the search may find another first
                 choices = [(0.0, ()), *((score - s, ((i, b),)) for s, b in others[: n - 1])]
                 merged = nsmallest(n, ((a + c, p + q) for (a, p), (c, q) in product(merged, choices)))
             before = ends[first - 1] if first else 0
@@ -370,7 +478,12 @@ class Lattice:
 
     def decode(self, ids: bytes) -> bytes:
         """The text that ids spell; bytes of unknown characters come back as they were."""
-        spelled = b"".join(map(self.spelling.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        data, starts, sizes = self.spelled
+        numbers, parts = np.frombuffer(ids, dtype="<u4"), []
+        for at in range(0, len(numbers), SPELLED):
+            part = numbers[at : at + SPELLED]
+            parts.append(data[spans(starts[part], sizes[part])].tobytes())
+        spelled = b"".join(parts)
         return spelled[1:] if self.dummy and spelled[:1] == b" " else spelled
 
 
