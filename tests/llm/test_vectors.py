@@ -236,3 +236,58 @@ def test_a_block_answers_from_the_probed_cells(cells, sharing):
         allowed = [j for j in np.flatnonzero(np.isin(codes, cell)).tolist() if j != i]
         assert [f["id"] for f in found] == sorted(allowed, key=lambda j: (-score[j], j))[:5]
         assert [-f["less"] for f in found] == [score[f["id"]] for f in found]
+
+
+@pytest.mark.parametrize("n,scale", [(3, 1.0), (20, 1.0), (600, 1.0), (5000, 1.0), (5000, 1e25)])
+def test_a_scan_of_a_block_compares_all_its_vectors(n, scale):
+    """Near ties, equal scores and vectors of very different lengths included, with a bound and without."""
+    from wattline.llm.probing import Block
+
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 8)).round(1)
+    x[0] *= scale
+    x[1::7] = x[1] * (1 + 1e-9 * np.arange(len(x[1::7])))[:, None]
+    keys = rng.permutation(2 * n).reshape(n, 2)
+    keys.sort(axis=1)
+    part = {"size": 8, "many": np.full(n, 2, dtype=np.int32), "ids": keys.ravel(), "codes": None, "x": x}
+    block, q = Block.of_packed([part]), x[rng.integers(0, n, 70)]
+    score = (x * q[:, None, :]).sum(axis=2)
+    every = [sorted((-s, int(k)) for s, two in zip(own, keys) for k in two) for own in score]
+    for least in (np.full(70, -np.inf), np.array([-e[4][0] for e in every])):
+        of, less, ids = block.scanned(q, least, 5)
+        for i, want in enumerate(every):
+            assert list(zip(less[of == i].tolist(), ids[of == i].tolist())) == want[:5]
+
+
+def test_candidates_grow_less_than_the_vectors():
+    """A hundred times the vectors: more projections and narrower cells, in which neighbours are met all the same."""
+    from wattline.llm.probing import fit_hashes
+
+    rng = np.random.default_rng(10)
+    x = unit(np.tanh(rng.standard_normal((6000, 6)) @ rng.standard_normal((6, 32))) + 0.05 * rng.standard_normal((6000, 32)))
+    q, x = x[:60], x[60:]
+    near = np.linspace(0.975, 0.95, 20)[None].repeat(60, axis=0)
+    pairs = []
+    for total in (10**5, 10**7):
+        h = fit_hashes(q, near, x, total, total // 20, 4, 6, 200, 0.98, 1.0)
+        codes = h.data(x)
+        share = np.mean([[np.isin(codes[:, t], probed).mean() for probed in h.query(q, t)] for t in range(h.tables)])
+        pairs.append(share * h.tables * total)
+        assert (h.met(q, near[:, -1]) >= 0.9).mean() >= 0.95
+    assert pairs[1] < 30 * pairs[0]
+
+
+def test_vectors_without_structure_asked_several_times(spark):
+    """Nothing is near to anything: all the same, every query has its neighbours, equal ones and repeated keys included."""
+    rng = np.random.default_rng(11)
+    x = unit(rng.standard_normal((1500, 64))).astype(np.float32)
+    rows = [(i, v.tolist(), 0, None) for i, v in enumerate(x)]
+    rows += [(20 * i, v.tolist(), 0, None) for i, v in enumerate(x[1000:1005])] + [(2000 + 20 * i, x[0].tolist(), 0, None) for i in range(30)]
+    df = spark.createDataFrame(rows, KIND)
+    got = {}
+    for r in nearest_vectors(df, df.where("vec_id % 20 = 0 AND vec_id >= 100")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    want = {q: [i for _, i in best] for q, best in nearest_by_hand(df.collect(), 20).items() if q >= 100}
+    assert sorted(got) == sorted(want) and all(len(found) == 20 for found in got.values())
+    share = [len(set(want[q]) & {i for _, i in found}) / 20 for q, found in got.items()]
+    assert np.mean(share) >= 0.98 and min(share) >= 0.8
