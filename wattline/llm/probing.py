@@ -19,8 +19,9 @@ from wattline.session import stored
 # vectors of a slot, and slots of a table, however few vectors there are
 BLOCK, BLOCKS = 50_000, 8
 SAMPLE = 4_000
-# least estimated share of a query that is not searched exactly
+# least share of a sample query's neighbours at the LOW quantile, and least estimated share of a query that is not searched exactly
 LEAST = 0.9
+LOW = 0.05
 # blocks of an exact pass, however few vectors there are, and vectors of one where there are many
 EXACT_BLOCKS, EXACT_BLOCK = 32, 200_000
 # queries packed in a row, vectors packed in a row, vectors gathered before they are dealt out
@@ -34,10 +35,10 @@ PAIRS = 1 << 16
 # nanoseconds of a pair in a matrix product, a gathered pair, a vector in a table, a query in a table, and a neighbour
 # that a block of the exact pass returns; only the choice of hashes depends on them
 PAIR, GATHER, HELD, PROBED, RETURNED = 3.0, 60.0, 15_000.0, 400_000.0, 300.0
-# sample queries of the fit
-TRIED = 100
+# sample queries of the choice by work, and nanoseconds of all queries together up to which it is not made
+TRIED, LITTLE = 100, 30e9
 _erf = np.frompyfunc(erf, 1, 1)
-WIDTHS = tuple(0.4 * 1.2**i for i in range(11))
+WIDTHS = tuple(0.4 * 1.1**i for i in range(21))
 
 
 def moves(size: int) -> np.ndarray:
@@ -134,6 +135,40 @@ class Hashes:
         return 1 - np.prod([self.missed(q, score[:, None], t)[:, 0] for t in range(self.tables)], axis=0)
 
 
+def fit_width(x: np.ndarray, total: int, nearest: int, tables: int, size: int, probes: int, aim: float, longest: float) -> float:
+    """Smallest width at which a sample's queries find the share ``aim`` of their neighbours, and all but the share
+    ``LOW`` of them at least ``LEAST`` of their own.
+
+    In a sample of m of N vectors, as many as ``nearest * m / N`` neighbours lie as far as the ``nearest`` of all do.
+    """
+    ask = x[: min(len(x), 200)]
+    k = max(1, min(len(x) - 1, round(nearest * len(x) / max(total, 1))))
+    if len(x) < 2:
+        return WIDTHS[-1]
+    scores = ask @ x.T
+    scores[np.arange(len(ask)), np.arange(len(ask))] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :k]
+    for width in WIDTHS:
+        h = Hashes(tables, size, probes, width, longest)
+        codes = h.data(x)
+        met = np.zeros(best.shape, dtype=bool)
+        for t in range(tables):
+            for i, probed in enumerate(h.query(ask, t)):
+                met[i] |= np.isin(codes[best[i], t], probed)
+        if met.mean() >= aim and np.quantile(met.mean(axis=1), LOW, method="lower") >= LEAST:
+            return width
+    return WIDTHS[-1]
+
+
+def work_of(h: Hashes, q: np.ndarray, x: np.ndarray, total: int, asked: int) -> float:
+    """Nanoseconds that a query makes with one table of the hashes, its share of the indexing included."""
+    codes, held = np.unique(h.code(h.cells(x, 0), x.shape[1], 0), return_counts=True)
+    asks = h.query(q, 0)
+    at = np.minimum(np.searchsorted(codes, asks), len(codes) - 1)
+    share = (held[at] * (codes[at] == asks)).sum() / (len(q) * len(x))
+    return HELD * total / asked + PROBED * len(h.steps) / 729 + GATHER * share * total
+
+
 def fit_hashes(
     q: np.ndarray, near: np.ndarray, x: np.ndarray, total: int, asked: int, tables: int, size: int, probes: int, aim: float,
     longest: float,
@@ -148,16 +183,12 @@ def fit_hashes(
     tops = near[:, [0, near.shape[1] // 2, -1]]
     best = None
     for s in (size, size + 3, size + 6):
-        for width in WIDTHS:
+        for width in WIDTHS[::2]:
             h = Hashes(tables, s, probes, width, longest)
-            codes, held = np.unique(h.code(h.cells(x, 0), x.shape[1], 0), return_counts=True)
-            asks = h.query(q, 0)
-            at = np.minimum(np.searchsorted(codes, asks), len(codes) - 1)
-            share = (held[at] * (codes[at] == asks)).sum() / (len(q) * len(x))
+            one = work_of(h, q, x, total, asked)
             missed = np.ones(tops.shape)
             for t in range(tables):
-                pairs = (t + 1) * share * total
-                work = (t + 1) * (HELD * total / asked + PROBED * len(h.steps) / 729) + GATHER * pairs
+                work = (t + 1) * one
                 if best is not None and (False, work) >= best[0]:
                     break  # more work than the best, before anything of it goes to the exact pass
                 missed *= h.missed(q, tops, t)
@@ -563,14 +594,20 @@ def _fitted(
     entries: DataFrame, chunks: DataFrame, total: int, asked: int, longest: float, n: int, tables: int, size: int, probes: int,
     aim: float, sample: int,
 ) -> Hashes:
-    """Hashes for these vectors and queries, chosen by a sample of both and by all neighbours of the sample's queries."""
+    """Hashes for these vectors and queries.
+
+    All tables and the narrowest cells that reach the aim in a sample of the vectors, while that makes little work;
+    otherwise those that make least, by a sample of both and by all neighbours of the sample's queries.
+    """
     taken = entries.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toArrow().column(0)
     found = {x.shape[1]: x for _, x in by_dimension(stacked(taken))} if total else {}
-    x = max(found.values(), key=len) if found else None
+    x = max(found.values(), key=len) if found else np.zeros((0, 0))
+    width = fit_width(x, total, n, tables, size, probes, aim, longest) if found else WIDTHS[-1]
+    h = Hashes(tables, size, probes, width, longest)
     some = chunks.orderBy("chunk").limit(8).toArrow().to_batches()
-    q = [row["x"].astype(np.float64) for row in unpacked_rows(some) if x is not None and row["size"] == x.shape[1]]
-    if not q:
-        return Hashes(1, size, probes, WIDTHS[-1], longest)
+    q = [row["x"].astype(np.float64) for row in unpacked_rows(some) if row["size"] == x.shape[1]]
+    if not q or asked * tables * work_of(h, np.concatenate(q)[:TRIED], x, total, asked) <= LITTLE:
+        return h
     q = np.concatenate(q)[:TRIED]
     rows = entries.select("vector").mapInArrow(lambda b: _tops(b, q, n + 1), "best binary").toArrow().column(0).to_pylist()
     near = -np.sort(-largest([np.frombuffer(r).reshape(len(q), n + 1) for r in rows], n + 1), axis=1)
@@ -595,9 +632,10 @@ def nearest_vectors(
 
     Every vector is in one cell of each table.  A query visits the ``probes`` cells of each table in the order of
     their estimated success; what the tables find is merged and ranked by the exact inner product in double
-    precision.  ``tables`` is the most and ``size`` the least: how many tables and projections there are and how wide a
-    cell is follows from the number of vectors and from a sample, by the work a query makes (:func:`fit_hashes`), so
-    that a sample reaches ``aim``; everything is indexed.
+    precision.  The cells' width is fitted on at most ``sample`` vectors (first by a hash), so that a sample of
+    the corpus reaches ``aim`` at the distance its n-th neighbours have in the whole; everything is indexed.  Where that
+    makes much work, ``tables`` is the most and ``size`` the least: how many tables and projections there are and how
+    wide a cell is then follow from the work of a query at the same aim (:func:`fit_hashes`).
 
     A query that found fewer than ``n``, or whose n-th found is so far away that a vector there lies in its probed
     cells with a chance below ``LEAST``, is compared with all vectors, block by block.  What it found already bounds
